@@ -13,13 +13,14 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .fixed import ERAS, MARKERS, PREFECTURES, PRIVATE_USE, UNKNOWN_CHARACTER
 
 KANJI = {"〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -32,12 +33,12 @@ def kanji_number(text: str) -> int:
     return (KANJI[tens[-1]] if tens and KANJI.get(tens[-1]) else 1) * 10 + (KANJI[ones[-1]] if ones else 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _block_numerals(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else re.sub("([〇一二三四五六七八九十]+)(?=丁目)", lambda m: str(kanji_number(m[1])), t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _line_numerals(texts: pd.Series) -> pd.Series:
     numeral = "(?<![一二三四五六七八九十])([一二三四五六七八九]?十[一二三四五六七八九]?|[一二三四五六七八九])(?=条|線)"
     return texts.map(lambda t: None if t is None else re.sub(numeral, lambda m: str(kanji_number(m[1])), t))
@@ -111,7 +112,7 @@ def house_numbers(rest: Column) -> Column:
     return F.struct(part(1).alias("first"), part(2).alias("second"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _quoted(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else re.sub(r"[^\x21-\x7E]+", lambda m: quote(m[0], safe=""), t))
 

@@ -33,7 +33,7 @@ def longest_prefix(rows: DataFrame, names: DataFrame, scope: list[str], text: st
     near = names.select(*scope, F.col("name").alias("_name"), F.col("code").alias("_code"))
     long = near.filter(F.length("_name") >= 2).withColumn("_head", head(F.col("_name")))
     brief = near.filter(F.length("_name") == 1).withColumn("_head", F.col("_name"))
-    asked = rows.select(*key, *[c for c in scope if c not in key], F.col(text).alias("_text")).withColumn("_head", F.explode(F.array_distinct(F.array(head(F.col(text)), F.substring(text, 1, 1)))))
+    asked = rows.select(*key, *[c for c in scope if c not in key], F.col(text).alias("_text")).withColumn("_head", F.explode(F.array_distinct(F.array(head(F.col("_text")), F.substring("_text", 1, 1)))))
     found = asked.join(long.unionByName(brief), [*scope, "_head"]).filter(F.startswith("_text", F.col("_name")))
     best = F.max_by(F.struct("_code", "_name", "_text"), F.struct(F.length("_name"), F.col("_code"))).alias("b")
     return found.groupBy(*key).agg(best).select(*key, F.col("b._code").alias("code"), F.substr("b._text", F.length("b._name") + 1).alias("remainder"))
@@ -250,9 +250,9 @@ def nearest(points: DataFrame, places: DataFrame, key: list[str], values: list[s
     if reach > cell:
         raise ValueError("cells must be as wide as the reach")
     at = lambda c: F.floor(c / cell)
-    shifts = F.array(*[F.lit(v) for v in (-1, 0, 1)])
+    around = lambda c: F.explode(F.array(*[at(F.col(c)) + v for v in (-1, 0, 1)]))
     near = places.select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *[F.col(v).alias(f"_v_{v}") for v in values], at(F.col("lat")).alias("_y"), at(F.col("lon")).alias("_x"))
-    spread = points.select(*key, "lat", "lon", (at(F.col("lat")) + F.explode(shifts)).alias("_y")).withColumn("_x", at(F.col("lon")) + F.explode(shifts))
+    spread = points.select(*key, "lat", "lon").withColumn("_y", around("lat")).withColumn("_x", around("lon"))
     met = spread.join(near, ["_y", "_x"]).filter((F.abs(F.col("lat") - F.col("_lat")) <= reach) & (F.abs(F.col("lon") - F.col("_lon")) <= reach))
     order = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), "_id")
     best = met.groupBy(*key).agg(F.min_by(F.struct(*[F.col(f"_v_{v}").alias(v) for v in values]), order).alias("b"))

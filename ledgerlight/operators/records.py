@@ -82,7 +82,7 @@ def beds_and_departments(values: Column) -> Column:
 
 def categories_of(tokens: Column) -> Column:
     """The sorted distinct categories of the tokens; a token without marker has none."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(tokens, category_of), lambda c: c.isNotNull())))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(tokens, lambda t: category_of(t)), lambda c: c.isNotNull())))
 
 
 def institution_code(prefecture: Column, kind: Column, code: Column) -> Column:

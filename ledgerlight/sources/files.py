@@ -106,10 +106,8 @@ def assign_prefecture(units: DataFrame, label: Column, prefectures: dict[str, st
     """
     if skip:
         units = units.filter(~label.rlike(skip))
-    code = F.lit(None).cast("string")
-    for c, name in prefectures.items():
-        short = name if name == "北海道" else name[:-1]
-        code = F.when(F.contains(label, F.lit(short)), c).otherwise(code)
+    short = lambda name: name if name == "北海道" else name[:-1]
+    code = F.coalesce(*[F.when(F.contains(label, F.lit(short(name))), c) for c, name in prefectures.items()])  # 東京都 holds 京都, so the first counts
     return units.withColumn("prefecture_code", F.coalesce(code, F.raise_error(F.concat(F.lit("unknown prefecture: "), label)).cast("string")))
 
 
@@ -175,9 +173,16 @@ def scan_holidays(lines: DataFrame) -> DataFrame:
     return rows.groupBy("date").agg(F.max_by("name", "ord").alias("name"))
 
 
-def read_holidays(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("encoding", "MS932").option("sep", "\x01").option("quote", "").schema("value string").csv(path)
-    return scan_holidays(raw.withColumn("ord", F.monotonically_increasing_id()))
+def read_holidays(spark: SparkSession, path: str, encoding: str = "cp932") -> DataFrame:
+    """Holidays of a published CSV; Spark's readers do not know its encoding, so its bytes are decoded here."""
+
+    def lines(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                found = bytes(content).decode(encoding).splitlines()
+                yield pd.DataFrame({"ord": range(len(found)), "value": found})
+
+    return scan_holidays(spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "ord long, value string"))
 
 
 def scan_population(cells: DataFrame) -> DataFrame:
