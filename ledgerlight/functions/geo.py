@@ -37,7 +37,7 @@ def travel_minutes(metres: Column, mode: str) -> Column:
 def line_middle(points: Column) -> Column:
     """struct<lon, lat> halfway along a line of [lon, lat] points; the first point if the line has no length, null without points."""
     lon, lat = (lambda p: F.element_at(p, 1)), (lambda p: F.element_at(p, 2))
-    first = F.element_at(points, 1)
+    first = F.get(points, F.lit(0))
     scale = F.cos(F.radians(lat(first)))
     pairs = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     measured = F.transform(

@@ -52,7 +52,7 @@ def designation(values: Column) -> Column:
         return F.when(~label(v), dated).when(after.isNull() | label(after), alone)
 
     history = F.filter(F.transform(rest, entry), lambda e: e.isNotNull())
-    return F.struct(F.when(F.size(filled) > 0, era_date(F.element_at(filled, 1))).alias("designated_on"), history.alias("history"))
+    return F.struct(F.when(F.size(filled) > 0, era_date(F.get(filled, F.lit(0)))).alias("designated_on"), history.alias("history"))
 
 
 def beds_and_departments(values: Column) -> Column:
@@ -100,13 +100,13 @@ def map_records(records: DataFrame, category: Column) -> DataFrame:
     """
     clean = F.transform("cells", lambda r: F.transform(r, lambda c: replace_private_use(F.coalesce(c, F.lit("")))))
     base = records.withColumn("cells", clean).withColumn("category", category)
-    first = lambda i: F.element_at(column_of(F.col("cells"), i), 1)
+    first = lambda i: F.get(column_of(F.col("cells"), i), F.lit(0))
     postal = r"^〒([0-9]{3})－([0-9]{4})(.*)$"
     code = F.regexp_replace(first(1), "[^0-9]", "")
     phone = F.regexp_replace(F.regexp_replace(first(4), r"^([0-9]+)\(([0-9]+)\)([0-9]+)$", "$1-$2-$3"), "-{2,}", "-")
     states = column_of(F.col("cells"), 9)
     typed = F.filter(states, lambda v: v.rlike("病院|診療所|薬局"))
-    last = F.element_at(F.reverse(typed), 1)
+    last = F.get(F.reverse(typed), F.lit(0))
     label = F.when(last.contains("病院"), "病院").when(last.contains("診療所"), "診療所").when(last.contains("薬局"), "薬局")
     kind = (
         F.when(F.col("category") == 2, DENTAL)
@@ -124,7 +124,7 @@ def map_records(records: DataFrame, category: Column) -> DataFrame:
         .when(F.col("category") == 3, none)
         .otherwise(categories_of(tokens))
     )
-    first_date = F.element_at(F.filter(column_of(F.col("cells"), 7), lambda v: v != ""), 1)
+    first_date = F.get(F.filter(column_of(F.col("cells"), 7), lambda v: v != ""), F.lit(0))
     error = F.concat_ws(
         "; ",
         F.when(F.length("_code") != 7, "facility code"),
