@@ -108,7 +108,7 @@ def split_overnight(windows: DataFrame, whole: int = 1440) -> DataFrame:
 
 def apply_closures(windows: DataFrame, key: list[str], weekly: DataFrame, monthly: DataFrame) -> DataFrame:
     """Windows without closed days (``weekly``: key, day), with ``weeks``, the open weeks of the month as bits (``monthly``: key, day, week)."""
-    masks = monthly.groupBy(*key, "day").agg(F.bit_or(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("week") - 1).cast("int")).alias("_closed"))
+    masks = monthly.groupBy(*key, "day").agg(F.bit_or(F.pow(F.lit(2), F.col("week") - 1).cast("int")).alias("_closed"))
     left = windows.join(weekly.select(*key, "day").distinct(), [*key, "day"], "left_anti").join(masks, [*key, "day"], "left")
     return left.withColumn("weeks", F.lit(ALL_WEEKS).bitwiseAND(F.bitwise_not(F.coalesce("_closed", F.lit(0))))).drop("_closed")
 

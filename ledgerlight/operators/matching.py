@@ -44,8 +44,6 @@ def resolve_municipality(rows: DataFrame, names: DataFrame, key: list[str], vari
 
     An address on an island, by its first six characters, is tried again after it.
     """
-    labels = "|".join(PREFECTURES.values())
-    text = F.regexp_replace(normalize_for_matching(F.col("address"), variants), f"^(?:{labels})", "")
     own = F.lit(None).cast("string")
     for code, label in PREFECTURES.items():
         own = F.when(F.col("prefecture_code") == code, label).otherwise(own)

@@ -142,9 +142,8 @@ def snapshot_diff(spark, sf_dir):
 
 
 @query(EDITIONS_SQL + """
-SELECT o_orderkey, CASE WHEN outcome = 'updated' THEN 3 ELSE 1 END AS event_type,
-CASE WHEN institution_type = 'P' AND prefecture_code = '3' THEN 1 ELSE 2 END AS origin, CASE WHEN outcome = 'updated' THEN 'o_orderpriority' ELSE '' END AS attributes
-FROM c WHERE outcome IN ('created', 'reopened', 'updated')""".replace("CASE WHEN institution_type = 'P' AND prefecture_code = '3' THEN 1 ELSE 2 END", "2"))
+SELECT o_orderkey, CASE WHEN outcome = 'updated' THEN 3 ELSE 1 END AS event_type, 2 AS origin, CASE WHEN outcome = 'updated' THEN 'o_orderpriority' ELSE '' END AS attributes
+FROM c WHERE outcome IN ('created', 'reopened', 'updated')""")
 def snapshot_events(spark, sf_dir):
     master, incoming = editions(spark, sf_dir)
     layout = snapshot.Layout(key=(*LAYOUT.key, *LAYOUT.completeness), attributes=LAYOUT.attributes)
