@@ -41,9 +41,8 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     n = len(points) - k + 1
     if n < 1:
         k, n = len(points), min(1, len(points))
-    wide = points.astype("u8")
     rolled = np.zeros(n, "u8")
-    done, power, sums = 0, BASE, wide
+    done, sums = 0, points.astype("u8")
     # sums of runs of 1, 2, 4, ... points, of which k is put together
     size = 1
     while size <= k:
@@ -51,8 +50,7 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
             rolled = rolled * _power(size) + sums[done : done + n]
             done += size
         if size * 2 <= k:
-            power = _power(size)
-            sums = sums[:-size] * power + sums[size:]
+            sums = sums[:-size] * _power(size) + sums[size:]
         size *= 2
     rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (rolled ^ (rolled >> np.uint64(32))) & HIGH

@@ -179,7 +179,7 @@ def plain_winnow(text, k=winnow.K, window=winnow.WINDOW):
     return [(i, hashes[i]) for i in sorted(kept)]
 
 
-def test_winnowing(spark):
+def test_winnowing(spark, monkeypatch):
     texts = [None, "", "short", "é🙂x" * 5, "a" * 500, sentence(50), sentence(2000), sentence(30), "x" * 13, "tail " * 9]
     rows = [(i * 7 % 31, t) for i, t in enumerate(texts)] + [(500, sentence(9)), (500, sentence(9)), (500, sentence(9)), (None, "none"), (None, "zero")]
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
@@ -192,17 +192,11 @@ def test_winnowing(spark):
         like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         want.append((i or -1, len(t), hashlib.sha256(changed.encode()).hexdigest(), like(a, b), like(a, c)))
     docs = spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, part string").repartition(3)
-    by_id = {}
+    by_id, original = {}, winnow.with_next
     for parts in (1, 3, None):
-        made = winnow.fingerprint_documents(docs) if parts is None else None
-        if made is None:
-            original = winnow.with_next
-            try:
-                winnow.with_next = lambda d, s, m, parts=parts: original(d, s, m, parts)
-                made = winnow.fingerprint_documents(docs)
-            finally:
-                winnow.with_next = original
-        got = made.collect()
+        with monkeypatch.context() as patch:
+            patch.setattr(winnow, "with_next", lambda d, s, m, parts=parts: original(d, s, m, parts))
+            got = winnow.fingerprint_documents(docs).collect()
         assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got) == sorted(want)
         by_id = {r.doc_id: r for r in got}
     for i, t in rows[:10]:
