@@ -91,10 +91,14 @@ def fingerprints(docs: DataFrame, words: int, size: int = 1) -> DataFrame:
 
 
 def block_keys(blocks: int) -> list[Column]:
-    """Keys of nodes that agree in one of ``blocks`` runs of bits: any two with fewer differing bits than blocks share one."""
+    """Keys of nodes that agree in one of ``blocks`` runs of bits: any two with fewer differing bits than blocks share one.
+
+    Keys are hashes; should two runs ever have the same one, their nodes are
+    compared in vain and nothing else.
+    """
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     return [
-        F.concat_ws("/", F.lit(k), F.shiftrightunsigned("f0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("string"))
+        F.xxhash64(F.lit(k), F.shiftrightunsigned("f0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
         for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
     ]
 
@@ -109,8 +113,9 @@ def sampled_keys(tables: int, bits: int, size: int) -> list[Column]:
     out = []
     for t in range(tables):
         drawn = np.random.default_rng(t).choice(64 * size, bits, replace=False).tolist()
-        picked = [F.shiftrightunsigned(f"f{b // 64}", b % 64).bitwiseAND(F.lit(1)).cast("string") for b in drawn]
-        out += [F.concat_ws("/", F.lit(t), F.concat(*picked), (level + up).cast("string")) for up in (0, 1)]
+        masks = [sum(1 << (b % 64) for b in drawn if b // 64 == k) for k in range(size)]
+        picked = [F.col(f"f{k}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for k, m in enumerate(masks) if m]
+        out += [F.xxhash64(F.lit(t), *picked, level + up) for up in (0, 1)]
     return out
 
 
@@ -198,9 +203,10 @@ def links(nodes: DataFrame, keys: list[Column], budget: int, size: int = 1, lane
     dealt = rows.join(large, "key", "left").withColumn("lane", F.pmod(F.xxhash64("node", "key"), F.coalesce("lanes", F.lit(1))).cast("int"))
     across = F.when(F.col("lanes").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("lanes") - 1))
     dealt = dealt.select("key", "lane", "node", *prints, F.explode(across).alias("with"))
-    dealt = dealt.select("key", F.least("lane", "with").alias("low"), F.greatest("lane", "with").alias("high"), F.col("lane"), "node", *prints)
+    pair = F.shiftleft(F.least("lane", "with").cast("long"), 32) + F.greatest("lane", "with")
+    dealt = dealt.select("key", pair.alias("pair"), "lane", "node", *prints)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "lane").select("key", "low", "high", "lane", "node", *prints)
+    grouped = dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "lane")
 
     def solve(groups: list[tuple[int, int, int]], node: np.ndarray, words: np.ndarray):
         """Links of whole groups (rows from, rows to, rows of the first lane)."""
@@ -231,9 +237,8 @@ def links(nodes: DataFrame, keys: list[Column], budget: int, size: int = 1, lane
         n = table.num_rows
         if not n:
             return None
-        coded = table.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
-        low, high, lane = (table.column(c).to_numpy() for c in ("low", "high", "lane"))
-        change = np.flatnonzero((np.diff(coded) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+        key, pair, lane = (table.column(c).to_numpy() for c in ("key", "pair", "lane"))
+        change = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
         bounds = np.concatenate([[0], change, [n]])
         if not last:
             bounds = bounds[:-1]
@@ -242,7 +247,8 @@ def links(nodes: DataFrame, keys: list[Column], budget: int, size: int = 1, lane
             groups = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a > 1:
-                    mid = b if low[a] == high[a] else a + int(np.searchsorted(lane[a:b], low[a], side="right"))
+                    low, high = int(pair[a]) >> 32, int(pair[a]) & 0xFFFFFFFF
+                    mid = b if low == high else a + int(np.searchsorted(lane[a:b], low, side="right"))
                     groups.append((a, b, mid))
             node = table.column("node").to_numpy()[:to]
             words = np.stack([table.column(p).to_numpy()[:to] for p in prints], 1).view("u8")
@@ -309,7 +315,8 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     found = similar_documents(docs.filter("doc_id IS NOT NULL"), **options)
     judged = staged(found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("near"), F.count("*").alias("rows")), "judged")
-    rest = docs.join(judged.filter("near").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    near = judged.filter("near").select("doc_id").hint("merge")  # it grows with the documents, so it is never broadcast
+    rest = docs.join(near, "doc_id", "left_anti").select(docs.columns)
     repeated = judged.filter("NOT near AND rows > 1").select("doc_id")
     if repeated.isEmpty():
         return rest
