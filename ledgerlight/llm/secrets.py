@@ -23,8 +23,9 @@ ASSIGN = (
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 )
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: Of these two a match is a whole run, so the least length can stand in the pattern and short runs are no matches at all.
+ACCESS = r"AKIA[A-Z0-9]{16,}+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 MARK = "[SECRET]"
 
 
@@ -42,7 +43,7 @@ DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     EntropyClass("entropy_hex", DIGITS + "abcdef", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9+/_=-])", 3.0),
-    EntropyClass("entropy_base64", DIGITS + LOWER + LOWER.upper() + "+/_=-", r"[A-Za-z0-9+/_=-]{20,}+", 3.8),
+    EntropyClass("entropy_base64", DIGITS + LOWER + LOWER.upper() + "+/_=-", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 3.8),
 )
 
 #: Candidates that match one of these are no secrets: words without a digit, numbers, UUIDs and rules drawn in text.
@@ -130,8 +131,8 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(
         F.concat(
             tagged(F.filter(match_spans(text, ASSIGN), lambda s: value(s) >= 6), "assign", 0),
-            tagged(F.filter(match_spans(text, ACCESS), lambda s: s["end"] - s["start"] >= 20), "access", 1),
-            tagged(F.filter(match_spans(text, HEX), lambda s: s["end"] - s["start"] >= 24), "hex", 2),
+            tagged(match_spans(text, ACCESS), "access", 1),
+            tagged(match_spans(text, HEX), "hex", 2),
         )
     )
 
