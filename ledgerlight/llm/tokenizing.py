@@ -18,6 +18,7 @@ from .bpe import PRETOKENS, Remembered, byte_alphabet, clean_piece, piece_text,
 
 #: Control characters that Python takes for white space and the tokenizers do not.
 ODD_WHITE = "\x1c\x1d\x1e\x1f"
+MARKS = frozenset(".,;:!?")
 
 
 class PieceEncoder:
@@ -49,25 +50,46 @@ class PieceEncoder:
         """The ids of pieces that are not remembered."""
         raise NotImplementedError
 
+    def safe(self, missing: list[str]) -> bool:
+        """Whether pieces that are not remembered can be encoded by themselves."""
+        return True
+
+    def whole(self, text: str) -> list[str]:
+        """Keys of a text in which a piece is not safe."""
+        raise NotImplementedError
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.cache
-        keys = [None if any(s in t for s in self.special) else self.pieces(t) for t in texts]
-        new = list(dict.fromkeys(k for own in keys if own for k in own if k not in known))
-        ids = dict(zip(new, self.fresh(new), strict=True))
-        out = []
-        for text, own in zip(texts, keys, strict=True):
-            if own is None:
+        find = self.cache.get
+        out: list = []
+        open_at: list[tuple[int, list[str], list, list[int]]] = []
+        new: dict[str, None] = {}
+        for n, text in enumerate(texts):
+            keys = None if any(s in text for s in self.special) else self.pieces(text)
+            if keys is None:
                 out.append(self.library(text))
                 continue
-            got = list(map(known.get, own))
-            at = 0
-            for _ in range(got.count(None)):
-                at = got.index(None, at)
-                got[at] = ids[own[at]]
-            out.append(b"".join(got))
+            for _ in range(2):
+                got = list(map(find, keys))
+                gaps, at = [], -1
+                for _ in range(got.count(None)):
+                    at = got.index(None, at + 1)
+                    gaps.append(at)
+                missing = [keys[i] for i in gaps]
+                if self.safe(missing):
+                    break
+                keys = self.whole(text)
+            out.append(None if gaps else b"".join(got))
+            if gaps:
+                new.update(dict.fromkeys(missing))
+                open_at.append((n, keys, got, gaps))
+        ids = dict(zip(new, self.fresh(list(new)), strict=True))
+        for n, keys, got, gaps in open_at:
+            for i in gaps:
+                got[i] = ids[keys[i]]
+            out[n] = b"".join(got)
         for key, value in ids.items():
-            known.keep(key, value)
+            self.cache.keep(key, value)
         return out
 
 
@@ -90,11 +112,12 @@ class ByteEncoder(PieceEncoder):
         self.ordinary = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        keys = space_pieces(text)
-        if all(map(clean_piece, [k for k in set(keys) if k not in self.cache])):
-            return keys
+        return space_pieces(text) if text else []
+
+    def safe(self, missing: list[str]) -> bool:
+        return all([k[:1] == "\x01" or clean_piece(k) for k in missing])
+
+    def whole(self, text: str) -> list[str]:
         return ["\x01" + w for w in self.pretokens.findall(text)]
 
     def fresh(self, keys: list[str]) -> list[bytes]:
@@ -121,7 +144,7 @@ class WordEncoder(PieceEncoder):
 
     def fresh(self, keys: list[str]) -> list[bytes]:
         known = self.words
-        parts = [self.pattern.findall(self.normalize(k)) for k in keys]
+        parts = [self._words(k.lower() if k.isascii() else self.normalize(k)) for k in keys]
         new = list(dict.fromkeys(w for own in parts for w in own if w not in known))
         ids = dict(zip(new, self._apart(new), strict=True))
         out = [b"".join([ids[w] if w in ids else known[w] for w in own]) for own in parts]
@@ -129,6 +152,14 @@ class WordEncoder(PieceEncoder):
             known.keep(word, value)
         return out
 
+    def _words(self, piece: str) -> list[str]:
+        """The pre-tokens of a normal piece; most are letters, or letters and one mark."""
+        if piece.isalpha():
+            return [piece]
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.pattern.findall(piece)
+
     def _apart(self, words: list[str]) -> list[bytes]:
         """Words encoded as one text and parted after each token that ends a word."""
         flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], "<u4")
