@@ -10,6 +10,10 @@ A bucket of more than ``lane_rows`` nodes is dealt into lanes, and each pair of
 lanes is worked on by itself.  A group of rows gives no more links than it has
 nodes (a spanning forest), so copies are never expanded into pairs.
 
+``similar_documents`` judges by the sets of distinct shingles themselves: rows
+with the same set are one node, MinHash bands only propose pairs, and a pair is
+linked if the Jaccard similarity of its two sets is at the bound or over it.
+
 Null text counts as empty; a text without words has fingerprint zero; one of
 fewer words than a shingle is one shingle; long texts are read whole; rows that
 repeat share a fingerprint; an empty table gives an empty result; other columns
@@ -19,8 +23,6 @@ never a component's id unless all its ids are null.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -103,20 +105,19 @@ def block_keys(blocks: int) -> list[Column]:
     ]
 
 
-def sampled_keys(tables: int, bits: int, size: int) -> list[Column]:
-    """Keys of nodes that agree in ``bits`` bits, drawn anew for each of ``tables`` tables, and whose numbers of shingles are close.
+def band_keys(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """A key for each band: the hash of the least values that its random functions (bands, rows) take on the shingles."""
+    bands, rows = factors.shape
+    least = np.full((bands * rows, 1), MASK, "u8")
+    for at in range(0, len(shingles), 256):
+        values = shingles[None, at : at + 256] * factors.reshape(-1, 1) + shifts.reshape(-1, 1)
+        np.minimum(least, values.min(1, keepdims=True), out=least)
+    return np.fromiter((xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows))), "u8", bands)
 
-    Numbers of shingles fall into classes a quarter apart; a node has the keys
-    of its own class and of the next.
-    """
-    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(1.25))
-    out = []
-    for t in range(tables):
-        drawn = np.random.default_rng(t).choice(64 * size, bits, replace=False).tolist()
-        masks = [sum(1 << (b % 64) for b in drawn if b // 64 == k) for k in range(size)]
-        picked = [F.col(f"f{k}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for k, m in enumerate(masks) if m]
-        out += [F.xxhash64(F.lit(t), *picked, level + up) for up in (0, 1)]
-    return out
+
+def set_digest(shingles: np.ndarray) -> int:
+    """One number for a sorted set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype("i8"))
 
 
 class Forest:
@@ -277,34 +278,109 @@ def _component_ids(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
 
 
-def similarity_budget(similarity: float, bits: int, slack: float = 1.0) -> int:
-    """Differing bits up to which fingerprints count as similar.
+#: Slots of the bitmap of nodes whose sets are read; nodes that share a slot are read in vain and nothing else.
+SLOTS = 1 << 25
+
+
+def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, node (the digest of the set of distinct shingles), n (its size) and keys (one for each band, none for an empty set)."""
+
+    def run(batches):
+        random = np.random.default_rng(SEED)
+        factors = random.integers(0, 1 << 64, (bands, rows), dtype="u8") | np.uint64(1)
+        shifts = random.integers(0, 1 << 64, (bands, rows), dtype="u8")
+        for batch in batches:
+            for part in slices(batch):
+                sets = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
+                keys = [band_keys(s, factors, shifts).view("i8") if len(s) else [] for s in sets]
+                arrays = [pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.record_batch([part.column("doc_id"), *arrays], ["doc_id", "node", "n", "keys"])
+
+    return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n long, keys array<long>")
 
-    Shingle sets of Jaccard similarity s have cosine 2s / (1 + s) or less, and
-    a bit differs with probability angle / pi; the budget is that many bits and
-    ``slack`` standard deviations, so that most pairs at the bound are linked.
+
+def shingle_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes asked for: their sorted distinct shingle hashes as bytes.
+
+    The texts are read again and pass a bitmap of the nodes, of a fixed size,
+    so that only sets that are asked for (and a few others) are moved.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+    slot = F.col("node").bitwiseAND(F.lit(SLOTS - 1))
+    found = nodes.select(F.shiftright(slot, 15).alias("at"), slot.bitwiseAND(F.lit(0x7FFF)).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bitmap = np.zeros((SLOTS >> 15, 1 << 12), "u1")
+    for r in found:
+        bitmap[r["at"]] = np.frombuffer(r["bits"], "u1")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+
+    def run(batches):
+        wanted = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                out = {}
+                for text in part.column("text").to_pylist():
+                    shingles = np.unique(shingle_hashes(text, words))
+                    node = set_digest(shingles)
+                    at = node & (SLOTS - 1)
+                    if wanted[at >> 3] >> (at & 7) & 1:
+                        out[node] = shingles.tobytes()
+                yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["node", "shingles"])
+
+    return docs.select(whole_text(docs).alias("text")).mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 3, tables: int = 24, bits: int = 10, lane_rows: int = LANE_ROWS
-) -> DataFrame:
-    """doc_id and component_id of groups of documents whose shingles are similar, over ``size`` x 64 fingerprint bits.
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least the Jaccard similarity."""
 
-    At a similarity this low no partition of the bits leaves an equal run, so
-    buckets agree in ``bits`` drawn bits, in one of ``tables`` draws.
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    # Both grow with the documents, so none is broadcast.
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+    """doc_id and component_id of groups of documents, linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
+
+    Nodes that share the key of a band may be similar: a pair at similarity s
+    shares none with probability (1 - s**rows)**bands, 1.3e-7 at 0.8.  First
+    each node is compared with one node of each of its bands, drawn by hash;
+    then all pairs of a band that are still in different components are.  So
+    what is left out are pairs whose ends are linked already, and copies of one
+    text are not expanded into pairs.
     """
-    columns = [f"f{k}" for k in range(size)]
-    prints = staged(fingerprints(docs, words, size), "prints")
-    whole = F.xxhash64(*columns)
-    nodes = prints.withColumn("node", whole).groupBy("node", *columns).agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    nodes = staged(nodes, "nodes")
-    budget = similarity_budget(similarity, 64 * size)
-    labels = components(links(nodes, sampled_keys(tables, bits, size), budget, size, lane_rows))
+    prints = staged(sketches(docs, words, bands, rows), "prints")
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    members = nodes.select("node", "n", F.explode("keys").alias("key"))
+    drawn = F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("lead"), F.col("n").alias("lead_n"))).alias("drawn")
+    leads = members.groupBy("key").agg(drawn, F.count("*").alias("rows")).filter("rows > 1").select("key", "drawn.lead", "drawn.lead_n")
+    shared = staged(members.join(leads.hint("merge"), "key"), "bands")
+    sets = staged(shingle_sets(docs, words, shared.select("node").distinct()), "sets")
+    close = lambda a, b: F.least(a, b) + 1e-9 >= similarity * F.greatest(a, b)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    stars = shared.filter((F.col("node") != F.col("lead")) & close("n", "lead_n")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    stars = staged(stars.select(*pair).distinct(), "pairs")
+    linked = staged(confirmed(stars, sets, similarity), "confirmed")
+    labels = components(linked)
+    rooted = shared.select("key", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = staged(rooted, "bands")
+    split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("key")
+    rooted = rooted.join(split.hint("merge"), "key")
+    left, right = (rooted.select("key", *[F.col(c).alias(c + side) for c in ("node", "n", "root")]) for side in "12")
+    others = left.join(right.hint("merge"), "key").filter((F.col("root1") < F.col("root2")) & close("n1", "n2"))
+    others = others.select(F.col("node1").alias("a"), F.col("node2").alias("b")).select(*pair).distinct()
+    others = staged(others.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    more = staged(confirmed(others, sets, similarity), "confirmed")
+    if not more.isEmpty():
+        labels = components(linked.union(more))
     named = _component_ids(nodes.select("node", "first"), labels)
-    return prints.withColumn("node", whole).join(named, "node", "left").select("doc_id", "component_id")
+    return prints.join(named.hint("merge"), "node", "left").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -108,3 +108,56 @@ def test_similar_documents(spark):
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(kept) + 2 and None in ids and 300 in ids
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def plain_kept(docs, bound=0.8):
+    """doc_ids that stay, from all pairs of sets of five-word shingles."""
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(max(1, len(w) - 4))} for i, t in docs}
+    of = {i: i for i in sets}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) + 1e-9 >= bound * len(sets[i] | sets[j]):
+                x, y = root(i), root(j)
+                of[max(x, y)] = min(x, y)
+    return {i for i in sets if root(i) == i}
+
+
+def kept_of(spark, docs):
+    return {r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def pairs_of_similarity(rng, shared, each):
+    """Two texts with ``shared`` words in common and ``each`` of their own at the end, none twice."""
+    word = lambda: "w%x" % rng.getrandbits(60)
+    base = [word() for _ in range(shared)]
+    return [" ".join([*base, *(word() for _ in range(each))]) for _ in range(2)]
+
+
+def test_similar_documents_on_both_sides_of_the_bound(spark):
+    rng = random.Random(11)
+    docs = []
+    for k, own in enumerate([4, 6, 8, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24] * 6):
+        docs += [(2 * k + i, t) for i, t in enumerate(pairs_of_similarity(rng, 100, own))]
+    want = plain_kept(docs)
+    assert len(docs) / 2 < len(want) < len(docs)
+    assert kept_of(spark, docs) == want
+
+
+def test_chains_and_large_groups(spark):
+    rng = random.Random(14)
+    word = lambda: "w%x" % rng.getrandbits(60)
+    base = [word() for _ in range(120)]
+    docs = [(1000, " ".join(base))]
+    for k in range(60):  # each near the base, few near each other
+        own = list(base)
+        for at in rng.sample(range(120), 2):
+            own[at] = word()
+        docs.append((k, " ".join(own)))
+    want = plain_kept(docs)
+    assert want == {0} and kept_of(spark, docs) == want
