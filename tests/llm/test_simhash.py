@@ -149,6 +149,18 @@ def test_similar_documents_on_both_sides_of_the_bound(spark):
     assert kept_of(spark, docs) == want
 
 
+def test_no_similar_pair_is_lost(spark):
+    rng = random.Random(12)
+    docs = []
+    for k in range(80):  # 80 of 100 and 160 of 200 shingles in common
+        docs += [(2 * k + i, t) for i, t in enumerate(pairs_of_similarity(rng, *((84, 10), (164, 20))[k % 2]))]
+    for k in range(80, 160):  # four shingles, and one more
+        long = " ".join("w%x" % rng.getrandbits(60) for _ in range(9))
+        docs += [(2 * k, long.rsplit(" ", 1)[0]), (2 * k + 1, long)]
+    assert plain_kept(docs) == set(range(0, 320, 2))
+    assert kept_of(spark, docs) == set(range(0, 320, 2))
+
+
 def test_chains_and_large_groups(spark):
     rng = random.Random(14)
     word = lambda: "w%x" % rng.getrandbits(60)
