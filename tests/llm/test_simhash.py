@@ -161,6 +161,17 @@ def test_no_similar_pair_is_lost(spark):
     assert kept_of(spark, docs) == set(range(0, 320, 2))
 
 
+def test_repeated_shingles_count_once(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join("w%x" % rng.getrandbits(60) for _ in range(n))
+    docs = []
+    for k in range(0, 60, 2):
+        once, passage = text(120), text(8)
+        docs += [(k, once), (k + 1, f"{once} {once}"), *((100 + k + i, " ".join([passage] * 60 + [text(150)])) for i in range(2))]
+    assert plain_kept(docs) == {*range(0, 60, 2), *range(100, 160)}
+    assert kept_of(spark, docs) == {*range(0, 60, 2), *range(100, 160)}
+
+
 def test_chains_and_large_groups(spark):
     rng = random.Random(14)
     word = lambda: "w%x" % rng.getrandbits(60)
