@@ -44,6 +44,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     EntropyClass("entropy_hex", DIGITS + "abcdef", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9+/_=-])", 3.0),
     EntropyClass("entropy_base64", DIGITS + LOWER + LOWER.upper() + "+/_=-", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 3.8),
+    EntropyClass("entropy_lower", DIGITS + LOWER, r"(?<![A-Za-z0-9+/_=-])[0-9a-z]{20,}+(?![A-Za-z0-9+/_=-])", 3.3),
+    EntropyClass("entropy_upper", DIGITS + LOWER.upper(), r"(?<![A-Za-z0-9+/_=-])[0-9A-Z]{20,}+(?![A-Za-z0-9+/_=-])", 3.3),
+    EntropyClass("entropy_mixed", DIGITS + LOWER + LOWER.upper(), r"(?<![A-Za-z0-9+/_=-])[0-9A-Za-z]{20,}+(?![A-Za-z0-9+/_=-])", 3.6),
 )
 
 #: Candidates that match one of these are no secrets: words without a digit, numbers, UUIDs and rules drawn in text.
