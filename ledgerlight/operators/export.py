@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,32 @@ def export_bulk(rows: DataFrame, municipalities: DataFrame, bureaus: dict[int, s
     served.drop("area").write.json(f"{path}/jsonl_all", compression="gzip")
 
 
+def digests(rows: DataFrame, key: str, line: str, order: list[str]) -> DataFrame:
+    """For each key its records, their bytes and the sha256 of its lines one after another, in order.
+
+    A digest goes through the lines one by one, so no group is ever held, as a list or as a text.
+    """
+
+    def run(batches):
+        key_now, records, size, digest = None, 0, 0, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key_now, records, size, digest.hexdigest()), kinds, strict=True)], names)
+        for batch in batches:
+            kinds, names = [batch.schema.types[0], pa.int64(), pa.int64(), pa.string()], [key, "records", "bytes", "sha256"]
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or k != key_now:
+                    if digest is not None:
+                        yield row()
+                    key_now, records, size, digest = k, 0, 0, hashlib.sha256()
+                data = (text or "").encode()
+                records, size = records + 1, size + len(data)
+                digest.update(data)
+        if digest is not None:
+            yield row()
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, *[F.asc_nulls_last(c) for c in order])
+    return ordered.select(key, line).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, records long, bytes long, sha256 string")
+
+
 def export_manifest(spark, path: str, rows: DataFrame, scope: dict) -> dict:
     """Describes the written files (format, area, records, bytes, sha256) and writes ``manifest.json`` as the last of the set."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)

@@ -639,5 +639,4 @@ FROM (SELECT c_nationkey, c_custkey, c_custkey || ',' || c_name || ',' || c_mkts
 def manifest(spark, sf_dir):
     line = F.concat(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), F.lit("\r\n"))
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", line.alias("line"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda r: r["line"]), "")
-    return rows.groupBy("c_nationkey").agg(F.count("*").alias("records"), F.sum(F.octet_length("line")).alias("bytes"), F.sha2(listed, 256).alias("sha256"))
+    return export.digests(rows, "c_nationkey", "line", ["c_custkey", "line"])

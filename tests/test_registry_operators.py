@@ -1,6 +1,7 @@
 """Operators whose input the driver's tables do not have, on literal rows."""
 
 import datetime
+import hashlib
 import io
 import json
 import zipfile
@@ -333,6 +334,22 @@ def test_documents_and_export(spark, tmp_path):
     assert spark.read.parquet(export.replace_table(areas, str(tmp_path / "t"), 1)).count() == 1
 
 
+def test_digests_hold_no_group(spark):
+    lines = {1: [f"{i},é\r\n" for i in range(5000)], None: ["x", "y"], 2: ["only"]}
+    rows = [(k, i, t) for k, v in lines.items() for i, t in enumerate(v)] + [(3, 0, None)]
+    frame = spark.createDataFrame(rows[::-1], "k int, i int, line string").repartition(5)
+    out = export.digests(frame, "k", "line", ["i"])
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {r.k: tuple(r)[1:] for r in out.collect()}
+    data = {k: "".join(v).encode() for k, v in lines.items()} | {3: b""}
+    assert got == {k: (len(lines.get(k, [0])), len(b), hashlib.sha256(b).hexdigest()) for k, b in data.items()}
+    assert export.digests(frame.limit(0), "k", "line", ["i"]).count() == 0
+    import __spark_entry__
+
+    manifest = __spark_entry__.queries()["manifest"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in manifest._jdf.queryExecution().toString()
+
+
 def test_streams(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
