@@ -4,7 +4,9 @@ Null text counts as empty; a text without words is scored by the intercept
 alone; long texts are read whole; rows that repeat are scored each for itself;
 other columns do not matter, whatever their names.  Without labels every score
 is 0.5.  Labels of one document that disagree count by their majority, and
-rows with a null label or doc_id teach nothing.
+rows with a null label or doc_id teach nothing; nor do labels without a
+document.  Of rows that share a doc_id one text is learnt from, that of least
+hash.
 """
 
 from __future__ import annotations
@@ -103,9 +105,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """Weights (2^bits, float32) and intercept, from the labelled documents outside the held-out fold."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     marked = marked.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most settings.sample rows of two numbers
+    present = marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most settings.sample rows of two numbers
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")  # one text of each, however often its doc_id repeats
+    rows = found.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "least.text")
 
     def featurize(batches):
         features = Featurizer(settings.bits)

@@ -219,3 +219,17 @@ def test_shared_runs_share_an_entry():
 def test_held_out_rule(spark):
     df = spark.range(50).withColumnRenamed("id", "doc_id")
     assert all(r.h == low(r.doc_id, 5) for r in df.select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect())
+
+
+def test_quality_fits_one_text_of_each_labelled_document(spark):
+    docs = [(i, sentence(40) if i % 3 else " | ".join(sentence(30).split(" "))) for i in range(60)]
+    labels = [(i, int(i % 3 != 0)) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    marks = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    settings = quality.Settings(sample=60)
+    weights, intercept = quality.train(frame(docs), marks(labels), settings)
+    taught = next(d for d in docs if not low(d[0], 5))
+    again = quality.train(frame([*docs, *[taught] * 50]), marks(labels), settings)
+    assert (again[0] == weights).all() and again[1] == intercept
+    missing = quality.train(frame(docs), marks([*labels, *((1000 + i, i % 2) for i in range(600))]), settings)
+    assert (missing[0] == weights).all() and missing[1] == intercept
