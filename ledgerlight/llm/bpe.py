@@ -20,33 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import slices, whole_text
+from .pieces import PieceEncoder, wide_white
 
 #: White space as Unicode defines it (Python's own notion has four more control characters).
 WHITE = r"\p{White_Space}"
 #: The pre-tokenizer of byte-level BPE files.
 PRETOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|{WHITE}+(?!\P{{White_Space}})|{WHITE}+"
-#: Pieces and pre-tokens remembered by each worker; only their time depends on it.
-CACHE_ITEMS = 300_000
-
-
-class Remembered(dict):
-    """A dictionary that stays at its first ``CACHE_ITEMS`` entries, and starts anew once four times as many found no place."""
-
-    def keep(self, key: str, value: bytes) -> None:
-        if len(key) > 64:
-            return
-        if len(self) < CACHE_ITEMS:
-            self[key] = value
-            return
-        self.refused = getattr(self, "refused", 0) + 1
-        if self.refused > 4 * CACHE_ITEMS:
-            self.clear()
-            self.refused = 0
-
-
 def byte_alphabet() -> list[str]:
     """The printable character by which vocabulary files write each byte: itself where printable, else one from 256 on."""
     plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -54,13 +37,14 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class ByteBpe:
+class ByteBpe(PieceEncoder):
     """A byte-level vocabulary with its merges; tokens are numbered by merge order inside and by the file's ids outside."""
 
     def __init__(self, path: str):
         import ahocorasick
         import regex
 
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -83,18 +67,17 @@ class ByteBpe:
         for i, t in enumerate(self.tokens):
             self.machine.add_word(t.decode("latin-1"), (i, len(t)))
         self.machine.make_automaton()
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        by_length = sorted(self.special, key=len, reverse=True)
+        self.special_ids = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.special = by_length = sorted(self.special_ids, key=len, reverse=True)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
         self.pretokens = regex.compile(PRETOKENS)
         self.beside: dict[int, bool] = {}
         self.packed = [i.to_bytes(4, "little") for i in self.ids]
-        self.cache, self.words = Remembered(), Remembered()
-        most = max([*self.ids, *self.special.values()]) + 1
+        most = max([*self.ids, *self.special_ids.values()]) + 1
         texts = [b""] * most
         for i, t in zip(self.ids, self.tokens, strict=True):
             texts[i] = t
-        for s, i in self.special.items():
+        for s, i in self.special_ids.items():
             texts[i] = s.encode()
         self.blob = np.frombuffer(b"".join(texts), "u1")
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("i8")
@@ -155,34 +138,19 @@ class ByteBpe:
                 at -= lengths[token]
         return out
 
-    def word(self, word: str) -> bytes:
-        """The ids of one pre-token as little-endian unsigned 32-bit integers."""
-        got = self.words.get(word)
-        if got is None:
-            packed = self.packed
-            got = b"".join([packed[t] for t in self.piece(word.encode())])
-            self.words.keep(word, got)
-        return got
+    def fresh(self, keys: list[str]) -> list[bytes]:
+        parts = [[k] if k.isalpha() else self.pretokens.findall(k) for k in keys]
+        words = list(dict.fromkeys(w for own in parts for w in own))
+        packed = self.packed
+        ids = {w: b"".join([packed[t] for t in self.piece(w.encode())]) for w in words}
+        return [b"".join([ids[w] for w in own]) for own in parts]
 
-    def stretch(self, text: str) -> bytes:
-        """The ids of a text without special tokens."""
-        return b"".join(map(self.word, self.pretokens.findall(text)))
+    def uncut(self, texts: pa.Array) -> pa.Array:
+        return pc.or_(super().uncut(texts), wide_white(texts))
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self.special_pattern is not None and "<" in text and self.special_pattern.search(text):
-            parts = self.special_pattern.split(text)
-            return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else self.stretch(p) for i, p in enumerate(parts))
-        pieces = space_pieces(text)
-        got = list(map(self.cache.get, pieces))
-        at = 0
-        for _ in range(got.count(None)):
-            at = got.index(None, at)
-            if not clean_piece(pieces[at]):
-                return self.stretch(text)
-            got[at] = self.stretch(piece_text(pieces[at]))
-            self.cache.keep(pieces[at], got[at])
-        return b"".join(got)
+    def whole(self, text: str) -> bytes:
+        parts = self.special_pattern.split(text) if self.special_pattern else [text]
+        return b"".join([np.array([self.special_ids[p]], "<u4").tobytes() if i % 2 else self.fresh([p])[0] for i, p in enumerate(parts) if p])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of the tokens, gathered through the offset table."""
@@ -193,30 +161,6 @@ class ByteBpe:
         return self.blob[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))].tobytes()
 
 
-def space_pieces(text: str) -> list[str]:
-    """The text cut before single spaces and line ends, where pre-tokens always begin.
-
-    The first piece has a NUL in front and a piece that began with a line end
-    keeps it; each other piece has lost its space.  What clean_piece() refuses
-    makes the cut unsafe; the text must then be read by the whole pattern.
-    """
-    if "\0" in text or "\x01" in text:
-        return [""]
-    pieces = text.replace("\n", " \n").split(" ")
-    pieces[0] = "\0" + pieces[0]
-    return pieces
-
-
-def clean_piece(piece: str) -> bool:
-    body = piece[1:] if piece[:1] in ("\0", "\n") else piece
-    return bool(body) and not body[0].isspace() and not body[-1].isspace()
-
-
-def piece_text(piece: str) -> str:
-    """The stretch of the text that a clean piece stands for."""
-    return piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
-
-
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)
@@ -229,7 +173,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             for part in slices(batch):
-                ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
+                ids = bpe.encode_each(part.column("text"))
                 yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary, n_tokens long")
@@ -243,8 +187,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 counts, id_digests, text_digests = [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = bpe.encode(text)
+                for ids in bpe.encode_each(part.column("text")):
                     back = bpe.decode(ids).decode("utf-8", "replace").encode()
                     counts.append(len(ids) // 4)
                     id_digests.append(hashlib.sha256(ids).hexdigest())

@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
         for batch in batches:
             for part in slices(batch):
                 owners, rows = [], []
-                for i, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
+                for i, ids in enumerate(encoder.encode_each(part.column("text"))):
                     ids += end
                     for k, (at, size) in enumerate(cut(len(ids) // 4, capacity)):
                         owners.append(i)

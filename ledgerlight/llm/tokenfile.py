@@ -138,7 +138,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, url: str | No
         def chunks():
             for batch in batches:
                 for part in slices(batch):
-                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode_each(part.column("text")), strict=True):
                         writer.add(doc_id, ids + end)
                     yield from writer.blocks()
             yield from writer.end()

@@ -1,30 +1,33 @@
-"""Ids as the tokenizers library gives them, each distinct piece of text encoded once per worker.
+"""Ids as the tokenizers library gives them, each distinct piece of text encoded once.
 
-A text is cut where its pre-tokens always begin, and its ids are those of its
-pieces in order.  Pieces not met before are encoded together, in batches.
-Texts in which such a cut is not safe go through the whole pattern, and texts
-with special tokens to the library as they are.
+New pieces are merged by tiktoken, which takes the same vocabulary as ranks and
+gives the same ids in less time.  Texts with special tokens, and those in which
+a piece is not safe, go to the library as they are.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .bpe import PRETOKENS, Remembered, byte_alphabet, clean_piece, piece_text, space_pieces
+from .bpe import PRETOKENS, WHITE, byte_alphabet
+from .pieces import PieceEncoder, wide_white
 
-#: Control characters that Python takes for white space and the tokenizers do not.
-ODD_WHITE = "\x1c\x1d\x1e\x1f"
-MARKS = frozenset(".,;:!?")
+#: White space at the end of a piece.
+ENDING = re.compile(r"\s\x00")
 
 
-class PieceEncoder:
-    """What both kinds of vocabulary share: the library, and a memory of pieces."""
+class LibraryEncoder(PieceEncoder):
+    """What both kinds of vocabulary share: the library itself."""
 
     def __init__(self, path: str, spec: dict):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -33,145 +36,103 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cache = Remembered()
 
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def library(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Keys of the memory that make up the text; None if the library must see it whole."""
-        raise NotImplementedError
 
-    def fresh(self, keys: list[str]) -> list[bytes]:
-        """The ids of pieces that are not remembered."""
-        raise NotImplementedError
-
-    def safe(self, missing: list[str]) -> bool:
-        """Whether pieces that are not remembered can be encoded by themselves."""
-        return True
-
-    def whole(self, text: str) -> list[str]:
-        """Keys of a text in which a piece is not safe."""
-        raise NotImplementedError
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        find = self.cache.get
-        out: list = []
-        open_at: list[tuple[int, list[str], list, list[int]]] = []
-        new: dict[str, None] = {}
-        for n, text in enumerate(texts):
-            keys = None if any(s in text for s in self.special) else self.pieces(text)
-            if keys is None:
-                out.append(self.library(text))
-                continue
-            for _ in range(2):
-                got = list(map(find, keys))
-                gaps, at = [], -1
-                for _ in range(got.count(None)):
-                    at = got.index(None, at + 1)
-                    gaps.append(at)
-                missing = [keys[i] for i in gaps]
-                if self.safe(missing):
-                    break
-                keys = self.whole(text)
-            out.append(None if gaps else b"".join(got))
-            if gaps:
-                new.update(dict.fromkeys(missing))
-                open_at.append((n, keys, got, gaps))
-        ids = dict(zip(new, self.fresh(list(new)), strict=True))
-        for n, keys, got, gaps in open_at:
-            for i in gaps:
-                got[i] = ids[keys[i]]
-            out[n] = b"".join(got)
-        for key, value in ids.items():
-            self.cache.keep(key, value)
-        return out
-
-
-class ByteEncoder(PieceEncoder):
-    """Byte-level BPE without normalizer.
-
-    Single pieces are merged by tiktoken, which takes the same vocabulary as
-    ranks and gives the same ids in less time.
-    """
+class ByteEncoder(LibraryEncoder):
+    """Byte-level BPE without normalizer."""
 
     def __init__(self, path: str, spec: dict):
         super().__init__(path, spec)
-        import regex
         import tiktoken
 
         to_byte = {c: b for b, c in enumerate(byte_alphabet())}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = set(self.special)
         ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.pretokens = regex.compile(PRETOKENS)
-        self.ordinary = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.border = ranks[b"\0"]
+        pattern = r"\x00|" + PRETOKENS.replace(r"\p{N}]+", r"\p{N}\x00]+")
+        self.ordinary = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def pieces(self, text: str) -> list[str]:
-        return space_pieces(text) if text else []
-
-    def safe(self, missing: list[str]) -> bool:
-        return all([k[:1] == "\x01" or clean_piece(k) for k in missing])
-
-    def whole(self, text: str) -> list[str]:
-        return ["\x01" + w for w in self.pretokens.findall(text)]
+    def uncut(self, texts: pa.Array) -> pa.Array:
+        return pc.or_(super().uncut(texts), wide_white(texts))
 
     def fresh(self, keys: list[str]) -> list[bytes]:
-        return [np.array(self.ordinary(k[1:] if k[0] == "\x01" else piece_text(k)), "<u4").tobytes() for k in keys]
-
-
-class WordEncoder(PieceEncoder):
-    """BPE with word ends, in which white space only parts words."""
+        """All pieces encoded as one text with NULs between them, save those with a NUL or white space at their end."""
+        joined = "\0".join([*keys, ""])
+        if joined.count("\0") > len(keys) or ENDING.search(joined):
+            odd = ["\0" in k or k[-1].isspace() for k in keys]
+            plain = iter(self.fresh([k for k, o in zip(keys, odd, strict=True) if not o]))
+            return [self.whole(k) if o else next(plain) for k, o in zip(keys, odd, strict=True)]
+        flat = np.array(self.ordinary(joined), "<u4")
+        data, ends = flat.tobytes(), (4 * np.flatnonzero(flat == self.border)).tolist()
+        return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends, strict=False)]
+
+
+class WordEncoder(LibraryEncoder):
+    """BPE with word ends, in which white space only parts words.
+
+    tiktoken knows no word ends: words end in a NUL there, and the merges of a
+    last byte with it come before all others.
+    """
 
     def __init__(self, path: str, spec: dict):
         super().__init__(path, spec)
         import regex
+        import tiktoken
 
         self.normalize = self.tokenizer.normalizer.normalize_str
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE))
         end = spec["model"]["end_of_word_suffix"]
-        self.ends = np.zeros(self.size, bool)
-        for token, i in spec["model"]["vocab"].items():
-            self.ends[i] = token.endswith(end)
-        self.words = Remembered()
+        vocab = spec["model"]["vocab"]
+        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+
+        def raw(token: str) -> bytes:
+            body, last = (token[: -len(end)], b"\0") if token.endswith(end) else (token, b"")
+            return bytes(to_byte[c] for c in body) + last
+
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        tokens = [(bytes([b]), vocab[c]) for b, c in enumerate(byte_alphabet())]
+        tokens += [(bytes([b, 0]), vocab[c + end]) for b, c in enumerate(byte_alphabet())]
+        tokens += [(raw(a + b), vocab[a + b]) for a, b in pairs]
+        self.ids = np.array([i for _, i in tokens], "<u4")
+        self.ends = np.array([t[-1:] == b"\0" and len(t) > 1 for t, _ in tokens])
+        ranks = {t: r for r, (t, _) in enumerate(tokens)}
+        self.ordinary = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def pieces(self, text: str) -> list[str] | None:
-        return None if any(c in text for c in ODD_WHITE) else text.split()
+    def folded(self, texts: pa.Array) -> pa.Array:
+        """A-Z in lower case, save in texts with combining marks, which may join only one of the two."""
+        return pc.if_else(pc.match_substring_regex(texts, r"[\x{300}-\x{36F}]"), texts, pc.ascii_lower(texts))
 
     def fresh(self, keys: list[str]) -> list[bytes]:
-        known = self.words
         parts = [self._words(k.lower() if k.isascii() else self.normalize(k)) for k in keys]
-        new = list(dict.fromkeys(w for own in parts for w in own if w not in known))
-        ids = dict(zip(new, self._apart(new), strict=True))
-        out = [b"".join([ids[w] if w in ids else known[w] for w in own]) for own in parts]
-        for word, value in ids.items():
-            known.keep(word, value)
-        return out
+        words = list(dict.fromkeys([w for own in parts for w in own]))
+        ids = dict(zip(words, self._apart(words), strict=True))
+        return [ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own]) for own in parts]
 
     def _words(self, piece: str) -> list[str]:
-        """The pre-tokens of a normal piece; most are letters, or letters and one mark."""
-        if piece.isalpha():
-            return [piece]
-        if piece[-1:] in MARKS and piece[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.pattern.findall(piece)
+        """The pre-tokens of a normal piece; most are letters."""
+        word = piece[1:] if piece[:1] == " " else piece
+        return [word] if word.isalpha() else self.pattern.findall(piece)
 
     def _apart(self, words: list[str]) -> list[bytes]:
         """Words encoded as one text and parted after each token that ends a word."""
-        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids if words else [], "<u4")
-        stops = np.flatnonzero(self.ends[flat]) + 1
-        if len(stops) != len(words):
-            return [self.library(w) for w in words]
-        data, bounds = flat.tobytes(), [0, *(stops * 4).tolist()]
+        joined = "\0".join([*words, ""])
+        if joined.count("\0") > len(words):
+            plain = iter(self._apart([w for w in words if "\0" not in w]))
+            return [self.whole(w) if "\0" in w else next(plain) for w in words]
+        flat = np.array(self.ordinary(joined), "i8")
+        data, bounds = self.ids[flat].tobytes(), [0, *(4 * np.flatnonzero(self.ends[flat]) + 4).tolist()]
         return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> PieceEncoder:
+def load(path: str) -> LibraryEncoder:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     return (ByteEncoder if spec["pre_tokenizer"]["type"] == "ByteLevel" else WordEncoder)(path, spec)

@@ -5,14 +5,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from ledgerlight.llm import bpe, packing, tokenfile, tokenizing
+from ledgerlight.llm import bpe, packing, pieces, tokenfile, tokenizing
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 R = random.Random(7)
-TEXTS = [None, "", " ", "\n", "a  b", "\n\nx", " x", "x ", "a<|endoftext|>b  <|endoftext|>", "\x1cq\x1c \x85 z", "it's I'LL we'd", "日本語 🙂", "\0ab c", "\x01x y", "a  b　c", "é ́x ΣΑΣ", "İx ﬁ x² ½"]
+TEXTS = [None, "", " ", "\n", "a  b", "\n\nx", " x", "x ", "a<|endoftext|>b  <|endoftext|>", "\x1cq\x1c \x85 z", "it's I'LL we'd", "日本語 🙂", "\0ab c", "\x01x y", "a  b　c", "é ́x ΣΑΣ", "İx ﬁ x² ½", "J̌ T̈ ǰ ẗ İ Å", "a\r\n\n b\t \tc  ", "x,***y 'sx '9a('re9)it'rest 3a,'s"]
 TEXTS += ["".join(R.choice("abe Tho  n\n.'s12é日") for _ in range(R.randint(1, 90))) for _ in range(150)]
 TEXTS += ["".join(R.choice("aeionthrs") for _ in range(9000)), "ab" * 6000, "to be or not " * 900, "to be or not " * 900]
 
@@ -40,18 +41,30 @@ def packed(ids):
 
 
 def test_piece_encoders(expected):
-    for path in (BYTE, WORD):
-        for _ in range(2):
-            got = tokenizing.load(path).encode([t or "" for t in TEXTS])
-            assert [np.frombuffer(g, "<u4").tolist() for g in got] == expected[path]
+    texts = pa.array([t or "" for t in TEXTS])
+    for path, encoder in ((BYTE, tokenizing.load(BYTE)), (WORD, tokenizing.load(WORD)), (BYTE, bpe.load(BYTE))):
+        for rows in (texts, texts, texts.cast(pa.large_string()), texts[5:90]):
+            at = 5 if len(rows) == 85 else 0
+            for got, ids, text in zip(encoder.encode_each(rows), expected[path][at:], TEXTS[at:], strict=False):
+                assert np.frombuffer(got, "<u4").tolist() == ids, text
+        assert encoder.encode_each(pa.array([], pa.string())) == []
+
+
+def test_memory_is_bounded_and_keeps_what_is_used():
+    known = pieces.Memory(5)
+    known.keep(["often"], [b"x"])
+    for i in range(100):
+        known.keep([str(i), "long" * 99], [b"", b""])
+        assert len(known) <= 10 and known.find(["often", "never"]) == [b"x", None]
 
 
-def test_remembered_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ITEMS", 5)
-    known = bpe.Remembered()
-    for i in range(100):
-        known.keep(str(i), b"")
-        assert len(known) <= 5
+def test_tokens_of_words_encode_as_in_the_library():
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        words = [w.removesuffix("</w>") for w in json.load(f)["model"]["vocab"] if w.isascii()]
+    text = " ".join(words)
+    assert np.frombuffer(tokenizing.load(WORD).encode_each(pa.array([text]))[0], "<u4").tolist() == library(WORD, text)
 
 
 def test_bpe_round_trip(spark, docs, expected):
