@@ -33,6 +33,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(tempfile.mkdtemp(prefix="spark-llm-"))
         atexit.register(shutil.rmtree, _OWN_ROOT[0], ignore_errors=True)
@@ -56,6 +58,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than this are dealt into lanes by ``spread_join``, the most frequent ones, so many of them at most.
+HEAVY_ROWS, HEAVY_KEYS = 1000, 1000
+
+
+def heavy_keys(rows: DataFrame, key: str) -> list:
+    """The most frequent keys of a written table: at most ``HEAVY_KEYS``, each of more than ``HEAVY_ROWS`` rows."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > HEAVY_ROWS)
+    return [r[0] for r in counts.orderBy(F.desc("count"), key).limit(HEAVY_KEYS).collect()]
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """A left join with a table that has one row for each key, in which no frequent key of ``rows`` falls to one task.
+
+    Rows of frequent keys are dealt into lanes by the hash of ``by``, and their
+    rows of ``one`` are copied to each lane (``HEAVY_KEYS`` x lanes rows at most).
+    """
+    found = heavy_keys(rows, key)
+    if not found:
+        return rows.join(one, key, "left")
+    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.col(key).isin(found)
+    left = rows.withColumn("_lane", F.when(heavy, F.pmod(F.xxhash64(by), F.lit(lanes))).otherwise(0).cast("int"))
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(one.withColumn("_lane", F.explode(copies)), [key, "_lane"], "left").drop("_lane")
+
+
 class SharedFiles:
     """Files of this subpackage's own formats under a folder of the shared store.
 

@@ -23,13 +23,15 @@ never a component's id unless all its ids are null.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, whole_text
+from .common import slices, spread_join, staged, whole_text
 from .components import components
 
 SEED = 42
@@ -92,17 +94,23 @@ def fingerprints(docs: DataFrame, words: int, size: int = 1) -> DataFrame:
     return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(run, schema)
 
 
-def block_keys(blocks: int) -> list[Column]:
-    """Keys of nodes that agree in one of ``blocks`` runs of bits: any two with fewer differing bits than blocks share one.
+def block_keys(budget: int, nodes: int, lane_rows: int = LANE_ROWS) -> list[Column]:
+    """Keys of which any two nodes within the budget share one, made of as many bits as so many nodes need.
 
-    Keys are hashes; should two runs ever have the same one, their nodes are
-    compared in vain and nothing else.
+    The fingerprint is cut into runs of bits.  Within the budget all but
+    ``budget`` runs agree, so there is a key for each choice of the others.
+    With one more run than the budget a key is one run; more runs, with more
+    bits to a key, are taken until buckets of evenly spread fingerprints hold
+    less than ``lane_rows``.  Keys are hashes; should two choices ever have the
+    same one, their nodes are compared in vain and nothing else.
     """
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    return [
-        F.xxhash64(F.lit(k), F.shiftrightunsigned("f0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
-        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
+    runs = budget + 1
+    while nodes >> (64 * (runs - budget) // runs) > lane_rows:
+        runs += 1
+    edges = [round(64 * k / runs) for k in range(runs + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    chosen = [sum(c) for c in combinations(masks, runs - budget)]
+    return [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(chosen)]
 
 
 def band_keys(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -261,21 +269,19 @@ def links(nodes: DataFrame, keys: list[Column], budget: int, size: int = 1, lane
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, lane_rows: int = LANE_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest doc_id that links lead to."""
-    prints = staged(fingerprints(docs, words).select("doc_id", "f0"), "prints")
-    nodes = staged(prints.groupBy("f0").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("f0")), "nodes")
-    labels = components(links(nodes, block_keys(budget + 1), budget, 1, lane_rows))
-    named = _component_ids(nodes, labels)
-    return prints.join(named.select(F.col("node").alias("f0"), "component_id"), "f0", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    prints = staged(fingerprints(docs, words).select("doc_id", F.col("f0").alias("node")), "prints")
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("first")).withColumn("f0", F.col("node")), "nodes")
+    labels = components(links(nodes, block_keys(budget, nodes.count(), lane_rows), budget, 1, lane_rows))
+    return _named(prints, nodes, labels).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _component_ids(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, component_id) of all nodes (node, first), from the labels of linked ones."""
-    linked = nodes.join(labels, "node").select("node", "root", "first")
-    firsts = linked.groupBy("root").agg(F.min("first").alias("least"))
-    found = linked.join(firsts, "root").select("node", "least")
-    return nodes.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
+def _named(prints: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, node) with component_id, the least ``first`` of the nodes (node, first) of a component (node, root)."""
+    linked = staged(labels.join(nodes.select("node", "first").hint("merge"), "node"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    found = spread_join(linked.select("node", "root"), least, "root", "node").select("node", "least")
+    named = nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
+    return spread_join(prints, named, "node", "doc_id")
 
 
 #: Slots of the bitmap of nodes whose sets are read; nodes that share a slot are read in vain and nothing else.
@@ -283,7 +289,7 @@ SLOTS = 1 << 25
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (the digest of the set of distinct shingles), n (its size) and keys (one for each band, none for an empty set)."""
+    """doc_id, node (the digest of the set of distinct shingles), n (its size), f0 (its fingerprint) and keys (one for each band, none for an empty set)."""
 
     def run(batches):
         random = np.random.default_rng(SEED)
@@ -293,10 +299,11 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             for part in slices(batch):
                 sets = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
                 keys = [band_keys(s, factors, shifts).view("i8") if len(s) else [] for s in sets]
-                arrays = [pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.record_batch([part.column("doc_id"), *arrays], ["doc_id", "node", "n", "keys"])
+                prints = np.array([majority(s) for s in sets], "u8").view("i8")
+                arrays = [pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.record_batch([part.column("doc_id"), *arrays], ["doc_id", "node", "n", "f0", "keys"])
 
-    return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n long, keys array<long>")
+    return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n long, f0 long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
@@ -345,27 +352,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 4, bands: int = 40, rows: int = 5, lane_rows: int = LANE_ROWS) -> DataFrame:
     """doc_id and component_id of groups of documents, linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
-    Nodes that share the key of a band may be similar: a pair at similarity s
-    shares none with probability (1 - s**rows)**bands, 1.3e-7 at 0.8.  First
-    each node is compared with one node of each of its bands, drawn by hash;
-    then all pairs of a band that are still in different components are.  So
-    what is left out are pairs whose ends are linked already, and copies of one
-    text are not expanded into pairs.
+    The trie join of the sets' fingerprints proposes pairs within the budget.
+    A pair at the bound may differ in many more bits, so bands take in the
+    rest: nodes that share the key of a band may be similar, and a pair at
+    similarity s shares none with probability (1 - s**rows)**bands, 1.3e-7 at
+    0.8.  First each node is compared with its links in the trie and with one
+    node of each of its bands, drawn by hash; then all pairs of a band that are
+    still in different components are.  So what is left out are pairs whose
+    ends are linked already, and copies of one text are not expanded into pairs.
     """
     prints = staged(sketches(docs, words, bands, rows), "prints")
-    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    once = [F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "f0", "keys")]]
+    nodes = staged(prints.groupBy("node").agg(*once), "nodes")
+    near = links(nodes.filter("n > 0"), block_keys(budget, nodes.count(), lane_rows), budget, 1, lane_rows)
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     drawn = F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("lead"), F.col("n").alias("lead_n"))).alias("drawn")
     leads = members.groupBy("key").agg(drawn, F.count("*").alias("rows")).filter("rows > 1").select("key", "drawn.lead", "drawn.lead_n")
     shared = staged(members.join(leads.hint("merge"), "key"), "bands")
-    sets = staged(shingle_sets(docs, words, shared.select("node").distinct()), "sets")
     close = lambda a, b: F.least(a, b) + 1e-9 >= similarity * F.greatest(a, b)
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     stars = shared.filter((F.col("node") != F.col("lead")) & close("n", "lead_n")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    stars = staged(stars.select(*pair).distinct(), "pairs")
+    stars = staged(stars.union(near).select(*pair).distinct(), "pairs")
+    asked = shared.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
+    sets = staged(shingle_sets(docs, words, asked), "sets")
     linked = staged(confirmed(stars, sets, similarity), "confirmed")
     labels = components(linked)
     rooted = shared.select("key", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -379,22 +391,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     more = staged(confirmed(others, sets, similarity), "confirmed")
     if not more.isEmpty():
         labels = components(linked.union(more))
-    named = _component_ids(nodes.select("node", "first"), labels)
-    return prints.join(named.hint("merge"), "node", "left").select("doc_id", "component_id")
+    return _named(prints.select("doc_id", "node"), nodes, labels).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those near a document of a smaller doc_id.
+    """The documents without those near one of a smaller doc_id.
 
-    Rows of one doc_id are one document and leave one row.  Rows without a
-    doc_id are not judged and stay.
+    A document is a doc_id with a text: rows that repeat both leave one row,
+    rows of one doc_id with different texts are judged each for itself (the
+    order between them is that of a hash of the text).  Rows without a doc_id
+    are not judged and stay.
     """
-    found = similar_documents(docs.filter("doc_id IS NOT NULL"), **options)
+    text = whole_text(docs)
+    keyed = docs.select(F.struct("*").alias("row"), F.struct(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h")).alias("doc_id"), text.alias("text"))
+    found = similar_documents(keyed.filter("doc_id.id IS NOT NULL").select("doc_id", "text"), **options)
     judged = staged(found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("near"), F.count("*").alias("rows")), "judged")
     near = judged.filter("near").select("doc_id").hint("merge")  # it grows with the documents, so it is never broadcast
-    rest = docs.join(near, "doc_id", "left_anti").select(docs.columns)
-    repeated = judged.filter("NOT near AND rows > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    rest = keyed.join(near, "doc_id", "left_anti")
+    repeated = judged.filter("NOT near AND rows > 1").select("doc_id").hint("merge")
+    once = rest.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.first("row").alias("row"))
+    return rest.join(repeated, "doc_id", "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -5,8 +5,8 @@ import re
 
 import numpy as np
 import xxhash
-from ledgerlight.llm import simhash
-from ledgerlight.llm.components import components
+from ledgerlight.llm import common, simhash
+from ledgerlight.llm.components import components, contracted
 
 R = random.Random(3)
 VOCABULARY = ["".join(R.choice("abcdefgh") for _ in range(R.randint(1, 6))) for _ in range(400)]
@@ -96,6 +96,47 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rising_chain_takes_few_rounds(spark):
+    rest = spark.createDataFrame([(i, i + 1) for i in range(2000)], "a long, b long").selectExpr("xxhash64(a) AS a", "xxhash64(b) AS b")
+    rest = rest.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+    rounds = 0
+    while not rest.isEmpty():
+        rest, rounds = contracted(rest)[1], rounds + 1
+    assert rounds <= 15
+
+
+def test_frequent_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
+    rows = spark.createDataFrame([(i, 7 if i % 2 else i) for i in range(200)] + [(500 + i, None) for i in range(30)], "node long, to long")
+    one = spark.createDataFrame([(i, -i) for i in range(0, 100)], "to long, next long")
+    plan = common.spread_join(rows, one, "to", "node")
+    assert "_lane" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, plan.select("node", "next").collect()), key=str) == sorted(map(tuple, rows.join(one, "to", "left").select("node", "next").collect()), key=str)
+    pairs = spark.createDataFrame([(5, 5 + i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(0, 40, 2)], "a long, b long")
+    got = {r.node: r.root for r in components(pairs).collect()}
+    assert got == {**dict.fromkeys(range(5, 305), 5), **{1000 + i: 1000 + i - i % 2 for i in range(40)}}
+
+
+def test_keys_follow_the_number_of_nodes(spark):
+    """More nodes give keys of more bits, not more copies of a row for each lane; pairs within the budget share one."""
+    few, many, most = (simhash.block_keys(4, n) for n in (10_000, 10**9, 10**12))
+    assert (len(few), len(many), len(most)) == (5, 15, 70)
+    rng = np.random.default_rng(9)
+    left = rng.integers(0, 1 << 64, 300, dtype="u8")
+    right = left ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 4), dtype="u8"), 1)
+    for keys in (few, many, most):
+        asked = [spark.createDataFrame(list(enumerate(x.view("i8").tolist())), "i long, f0 long").select("i", simhash.F.array(*keys).alias("k")).collect() for x in (left, right)]
+        assert all(set(a.k) & set(b.k) for a, b in zip(sorted(asked[0]), sorted(asked[1]), strict=True))
+
+
+def test_rows_of_one_doc_id_with_different_texts_stay(spark):
+    a, b = " ".join(words(60)), " ".join(words(60))
+    rows = [(1, a, "x", 1), (1, b, "y", 2), (1, a, "x", 3), (2, a + " z", "z", 4), (3, None, None, 5), (3, "", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, node long")
+    got = sorted((r.doc_id, r.text or "") for r in simhash.keep_one_of_each(docs).collect())
+    assert got == sorted([(1, a), (1, b), (3, "")])
+
+
 def test_similar_documents(spark):
     base = [" ".join(words(300)) for _ in range(30)]
     rows = [(i, b) for i, b in enumerate(base)] + [(100 + i, edited(b, 2)) for i, b in enumerate(base)] + [(200 + i, b) for i, b in enumerate(base)]
