@@ -8,8 +8,9 @@ at least that much, ties by the smaller id, and ranks it.
 
 Components become floor(1024 * x).  Vectors that are null or hold a null or
 non-finite component, and those without an id, take no part; vectors of other
-lengths are filled up with zeros; rows that repeat, id included, are candidates
-each for itself, but for the query's own id; scores beyond a long are held at
+lengths are filled up with zeros; rows that repeat, id included, are queries
+and candidates each for itself, and only a query's own row is no candidate of
+it; scores beyond a long are held at
 its ends; no queries, or no other vectors, give an empty result; other columns
 do not matter, whatever their names.
 """
@@ -29,6 +30,8 @@ BLOCK = 512
 BINS = 1024
 #: Components up to which sums of products are exact in doubles (for up to 8192 components).
 PLAIN = float(1 << 20)
+#: Histogram cells that a task holds before it passes them on.
+HELD = 1 << 21
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 PACKED = "n int, dim int, plain boolean, norm double, ids binary, rows binary"
 
@@ -88,8 +91,20 @@ def scores(queries: np.ndarray, rows: np.ndarray, plain: bool) -> np.ndarray:
     return np.clip(out, LEAST, MOST).astype("i8")
 
 
+def scores_of_rows(queries: np.ndarray, plain: bool) -> np.ndarray:
+    """Integer inner product of each query with itself."""
+    return np.concatenate([scores(queries[i : i + 1], queries[i : i + 1], plain)[0] for i in range(len(queries))])
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts."""
+    found, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(of, np.concatenate(counts), len(found)).astype("i8")
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, bins: int = BINS) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of each query; queries are the rows whose id is divisible by ``every``."""
+    k += 1  # a query's own row is scored like others and left out at the end
     spark = vectors.sparkSession
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = scaled(vectors)
@@ -119,7 +134,17 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, bins: int = BINS)
     shift = bins.bit_length() - 1
 
     def histogram(batches):
-        """Of each block's queries whose range is wider than one score: scores by bin, those above the range left out."""
+        """Of queries whose range is wider than one score: scores by bin, those above the range left out, summed over a task's chunks."""
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        blocks: dict[int, int] = {}
+
+        def cells():
+            found, n = merged(keys, counts)
+            names = np.array(list(blocks), "i8")
+            within = found % (BLOCK * bins)
+            return pa.record_batch([pa.array(names[found // (BLOCK * bins)]), pa.array(within // bins), pa.array(within % bins), pa.array(n)], ["block", "query", "bin", "n"])
+
         for batch in batches:
             for row in batch.to_pylist():
                 qids, queries = unpack(row, "q_")
@@ -128,14 +153,25 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, bins: int = BINS)
                 low, width = np.array(row["low"], "i8"), np.array(row["width"])
                 step = np.maximum(width - shift, 0)
                 place = (s.view("u8") - low.view("u8")[:, None]) >> step[:, None].astype("u8")  # what is below wraps round to the far end
-                inside = (s >= low[:, None]) & (ids[None, :] != qids[:, None])
+                inside = s >= low[:, None]
                 inside &= np.where(width[:, None] >= 64, True, place < (1 << np.minimum(width, shift))[:, None].astype("u8"))
                 inside &= (width > 0)[:, None]
                 q, c = np.nonzero(inside)
-                counts = np.bincount(q * bins + place[q, c].astype("i8"))
-                cells = np.flatnonzero(counts)
-                counts = counts[cells]
-                yield pa.record_batch([pa.array(np.full(len(cells), row["block"])), pa.array(cells // bins), pa.array(cells % bins), pa.array(counts)], ["block", "query", "bin", "n"])
+                own = np.bincount(q * bins + place[q, c].astype("i8"))
+                used = np.flatnonzero(own)
+                at = blocks.setdefault(row["block"], len(blocks))
+                keys.append(used + at * BLOCK * bins)
+                counts.append(own[used])
+                if sum(map(len, keys)) > HELD:
+                    found, n = merged(keys, counts)
+                    if len(found) > HELD // 2:
+                        keys, counts = [found], [n]
+                        yield cells()
+                        keys, counts, blocks = [], [], {}
+                    else:
+                        keys, counts = [found], [n]
+        if keys:
+            yield cells()
 
     def narrowed(batches):
         """The bin that holds the k-th score; a query with fewer scores keeps all of them."""
@@ -174,17 +210,27 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, bins: int = BINS)
                 ids, rows = unpack(row, "")
                 s = scores(queries, rows, row["plain"] and row["q_plain"])
                 low = np.array(row["low"], "i8")
-                q, c = np.nonzero((s >= low[:, None]) & (ids[None, :] != qids[:, None]))
+                q, c = np.nonzero(s >= low[:, None])
                 value = s[q, c]
                 order = np.lexsort((ids[c], -np.maximum(value, -MOST), q))
                 q, c, value = q[order], c[order], value[order]
                 nth = np.arange(len(q)) - np.searchsorted(q, q)
                 q, c, value = q[nth < k], c[nth < k], value[nth < k]
-                yield pa.record_batch([pa.array(qids[q]), pa.array(ids[c]), pa.array(value), pa.array(q), pa.array(np.full(len(q), row["block"]))], ["query_id", "vec_id", "score", "query", "block"])
-
-    kept = meetings(ranges).mapInArrow(keep, "query_id long, vec_id long, score long, query long, block long")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.greatest("score", F.lit(-MOST))).alias("key"), "vec_id", "score"))), 1, k)
-    ranked = kept.groupBy("block", "query", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
+                itself = scores_of_rows(queries, row["q_plain"])
+                own = (ids[c] == qids[q]) & (value == itself[q])
+                columns = [pa.array(qids[q]), pa.array(ids[c]), pa.array(value), pa.array(own), pa.array(q), pa.array(np.full(len(q), row["block"])), pa.array(np.full(len(q), row["lane"], "i4"))]
+                yield pa.record_batch(columns, ["query_id", "vec_id", "score", "own", "query", "block", "lane"])
+
+    kept = meetings(ranges).mapInArrow(keep, "query_id long, vec_id long, score long, own boolean, query long, block long, lane int")
+    entry = F.struct((-F.greatest("score", F.lit(-MOST))).alias("key"), "vec_id", "score", "own")
+    best = lambda of: F.slice(F.array_sort(of), 1, k)
+    # First the k best of a few lanes together, then of all: ties at the k-th score of many chunks never meet in one list.
+    groups = max(2, round(lanes**0.5))
+    some = kept.groupBy("block", "query", "query_id", (F.col("lane") % groups).alias("group")).agg(best(F.collect_list(entry)).alias("best"))
+    whole = some.groupBy("block", "query", "query_id").agg(best(F.flatten(F.collect_list("best"))).alias("best"))
+    itself = F.array_position(F.transform("best", lambda e: e["own"]), True) - 1  # of entries that are alike in id and score any one can go
+    others = F.slice(F.filter("best", lambda e, i: i != itself), 1, k - 1)
+    ranked = whole.select("query_id", F.posexplode(others).alias("at", "b"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 

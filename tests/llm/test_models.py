@@ -133,9 +133,9 @@ def test_mix_is_undone():
 def plain_topk(rows, every=100, k=10):
     good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for at, (q, a) in enumerate(good):
         if q % every == 0:
-            found = sorted((-max(min(sum(x * y for x, y in zip(a, b, strict=False)), topk.MOST), topk.LEAST), i) for i, b in good if i != q)
+            found = sorted((-max(min(sum(x * y for x, y in zip(a, b, strict=False)), topk.MOST), topk.LEAST), i) for n, (i, b) in enumerate(good) if n != at)
             out += [(q, n, i, -s) for n, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
@@ -151,13 +151,22 @@ def test_topk(spark, monkeypatch):
     rows += [(1000 + i, rows[0][1]) for i in range(300)]  # one very common vector, also a query's own
     rows += [(2000, None), (2001, [None] + [1.0] * 7), (2100, [math.inf] * 8), (2101, [math.nan] * 8), (2102, []), (2103, [1.0, 2.0]), (2200, [1.0] * 11), (None, [1.0] * 8)]
     rows += [(3000, [-1.0] * 8), (300, rows[5][1])]
+    rows += [(0, rows[3][1]), (0, rows[3][1]), (100, rows[100][1])]  # repeated ids, with other vectors and the same
     want = plain_topk([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
+    monkeypatch.setattr(topk, "HELD", 2000)
     monkeypatch.setattr(topk, "CHUNK", 64)
     monkeypatch.setattr(topk, "BLOCK", 4)
     for bins in (4096, 64):
         assert sorted(tuple(r) for r in topk.search(vectors(spark, rows), bins=bins).collect()) == want
 
 
+def test_topk_of_many_equal_vectors(spark):
+    rows = spark.range(50_000).selectExpr("id AS vec_id", "array(1.0F, CAST(id < 3 AS float)) AS embedding").filter("vec_id % 100 <> 0 OR vec_id < 200")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(rows).collect()}
+    one = 1024 * 1024
+    assert got == {**{(0, k): (i, 2 * one if i < 3 else one) for k, i in enumerate(range(1, 11), 1)}, **{(100, k): (i, one) for k, i in enumerate(range(10), 1)}}
+
+
 def test_topk_of_huge_and_few_vectors(spark):
     rows = [(0, [1e30, -3e20, 2.0]), (1, [1e30, 1.0, 1.0]), (2, [5e4, 1e5, 3.3]), (3, [-1e30, 0.0, 0.0]), (100, [3e3, 7e4, 0.1])]
     want = plain_topk([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
