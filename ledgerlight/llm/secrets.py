@@ -62,15 +62,26 @@ def entropy_extent(candidate: Column, cls: EntropyClass, window: int) -> Column:
 
     The window's counts change by one character in and one out at a step.  With
     S = sum of c*log2(c) over the counts c, its entropy is log2(window) - S / window.
+    Counts stand side by side in a few longs, so that a step changes few numbers.
     """
+    bits = (window + 1).bit_length()
+    each = 63 // bits
     weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     most = window * (math.log2(window) - cls.threshold) + 1e-9
     symbols = F.lower(candidate) if cls.alphabet == cls.alphabet.lower() else candidate
     codes = F.transform(F.split(symbols, ""), lambda c: F.instr(F.lit(cls.alphabet), c) - 1)
+    words = F.array(*[F.lit(j) for j in range(-(-len(cls.alphabet) // each))])
+    #: What one more of a symbol adds to its word, by the symbol's code.
+    ones = F.array(*[F.lit(1 << i % each * bits).cast("long") for i in range(len(cls.alphabet))])
+    place = F.array(*[F.lit(i // each) for i in range(len(cls.alphabet))])
+
+    def count(counts: Column, code: Column) -> Column:
+        behind = F.call_function("shiftright", F.get(counts, F.get(place, code)), code % each * bits)
+        return behind.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def scan(at: Column) -> Column:
         begin = F.struct(
-            F.array_repeat(F.lit(0), len(cls.alphabet)).alias("n"),
+            F.transform(words, lambda j: F.lit(0).cast("long")).alias("n"),
             F.lit(0.0).alias("s"),
             F.lit(0).alias("i"),
             F.lit(None).cast("int").alias("first"),
@@ -81,16 +92,18 @@ def entropy_extent(candidate: Column, cls: EntropyClass, window: int) -> Column:
             out = F.when(st["i"] >= window, F.get(at, st["i"] - window)).otherwise(F.lit(-1))
 
             def moved(gone: Column) -> Column:
-                own = F.get(st["n"], code)
-                left = F.when(gone >= 0, F.get(st["n"], F.greatest(gone, F.lit(0)))).otherwise(F.lit(0)) + F.when(gone == code, 1).otherwise(0)
+                own = count(st["n"], code)
+                left = F.when(gone >= 0, count(st["n"], F.greatest(gone, F.lit(0)))).otherwise(F.lit(0)) + F.when(gone == code, 1).otherwise(0)
                 s = (
                     st["s"]
                     + F.get(weights, own + 1)
                     - F.get(weights, own)
                     - F.when(gone >= 0, F.get(weights, left) - F.get(weights, left - 1)).otherwise(0.0)
                 )
+                more, less = F.get(place, code), F.get(place, gone)
                 counts = F.transform(
-                    st["n"], lambda c, j: c + F.when(j == code, 1).otherwise(0) - F.when(j == gone, 1).otherwise(0)
+                    st["n"],
+                    lambda c, j: c + F.when(j == more, F.get(ones, code)).otherwise(0) - F.when(j == less, F.get(ones, gone)).otherwise(0),
                 )
 
                 def closed(total: Column) -> Column:

@@ -126,5 +126,23 @@ def test_pii_matches_plain_version(spark):
     assert "card:5:24" in got[5].spans and got[5].scores.split(",")[0] == "0.95"
 
 
+def test_account_numbers_beside_other_words(spark):
+    lines = [
+        "DE89 3704 0044 0532 0130 00 Please pay",
+        "acct DE89370400440532013000 Thanks",
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFF",
+        "GB82 WEST 1234 5698 7654 32 FR14 2004 1010 0505 0001 3M02 606 NO9386011117947",
+        "DE89370400440532013001 xDE89370400440532013000 DE893704004405320130001 ZZ89370400440532013000",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.find_pii(docs.union(docs.limit(1))).collect()}
+    assert got == {0: ["iban:0:27"], 1: ["iban:5:27"], 2: ["iban:0:27"], 3: ["iban:0:27", "iban:28:61", "iban:62:77"], 4: []}
+
+
+def test_pii_of_repeated_rows(spark):
+    docs = frame(spark, TEXTS[:6])
+    assert pii.find_pii(docs.union(docs)).groupBy("doc_id").count().filter("count = 2").count() == 6
+
+
 def test_pii_of_no_rows(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
