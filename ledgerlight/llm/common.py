@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,24 +103,26 @@ class SharedFiles:
 
         return fs.FileSystem.from_uri(self.url)
 
-    def write(self, name: str, chunks) -> int:
-        """Writes a file under its final name only once it is whole; a task that runs twice replaces it by the same bytes."""
-        size = 0
+    @contextmanager
+    def writer(self, name: str):
+        """A function that adds bytes to a file, which has its final name only once it is whole; a task that runs twice replaces it by the same bytes."""
         part = f"{name}.{uuid.uuid4().hex}.part"
         if self.local is not None:
             os.makedirs(self.local, exist_ok=True)
             with open(f"{self.local}/{part}", "wb") as out:
-                for chunk in chunks:
-                    size += out.write(chunk)
+                yield out.write
             os.replace(f"{self.local}/{part}", f"{self.local}/{name}")
-            return size
+            return
         remote, base = self._remote()
         remote.create_dir(base)
         with remote.open_output_stream(f"{base}/{part}") as out:
-            for chunk in chunks:
-                size += out.write(chunk)
+            yield out.write
         remote.move(f"{base}/{part}", f"{base}/{name}")
-        return size
+
+    def write(self, name: str, chunks) -> None:
+        with self.writer(name) as add:
+            for chunk in chunks:
+                add(chunk)
 
     def map(self, name: str):
         """A read-only memory map of the file as bytes (an empty file gives empty bytes)."""

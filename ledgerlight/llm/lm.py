@@ -5,8 +5,8 @@ as arrays sorted by hash, which workers map into memory:
 
 * ``words-*``: hashes of the words (XXH64), sorted, with their counts; a word's
   number is its place among all of them, from 1 on, and 0 stands for the start;
-* ``pairs-*``: pairs of word numbers, mixed by a bijection of 64 bits and
-  sorted, with counts of one byte and a list of the larger ones;
+* ``pairs-*`` and ``counts-*``: pairs of word numbers, mixed by a bijection of
+  64 bits and sorted; counts of one byte, and a list of the larger ones;
 * ``stats-*``: for each word number what follows and precedes it.
 
 Null text counts as empty (one token, the end); texts are read whole; rows that
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .common import SharedFiles, fresh_path, slices, whole_text
 END = b" end"  # no word holds a space
 #: Distinct words, or pairs, that a task gathers before it passes them on.
 FLUSH = 1 << 20
+#: Entries that a task merges at a time; a shard is merged in as many slots, one after another.
+MERGED = 1 << 20
 #: Words whose number a worker remembers.
 KNOWN = 400_000
 
@@ -86,19 +89,19 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
 
-def by_shard(batches, columns: int):
-    """(shard, list of arrays of bytes for each column) from rows sorted by shard."""
-    shard, held = None, None
+def by_group(batches, columns: int, group: int = 1):
+    """(group, list of the rows' values of each column) from rows sorted by their first ``group`` columns."""
+    now, held = None, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != shard:
+            if row[:group] != now:
                 if held is not None:
-                    yield shard, held
-                shard, held = row[0], [[] for _ in range(columns)]
+                    yield now, held
+                now, held = row[:group], [[] for _ in range(columns)]
             for k in range(columns):
-                held[k].append(row[k + 1])
+                held[k].append(row[k + group])
     if held is not None:
-        yield shard, held
+        yield now, held
 
 
 def joined(parts: list[bytes], kind: str) -> np.ndarray:
@@ -187,14 +190,15 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def count_words(texts: DataFrame, url: str, shards: int) -> list[tuple[int, int, int]]:
+def count_words(texts: DataFrame, url: str, shards: int, slots: int = 16) -> list[tuple[int, int, int]]:
     """Writes the words' files; (shard, distinct words, tokens) of each."""
-    bounds = shard_bounds(shards)
+    bounds = shard_bounds(shards * slots)
 
     def gather(batches):
         def flush(counts):
             keys, sums = summed(np.array(list(map(hash_word, counts)), "u8"), np.array(list(counts.values()), "i8"))
-            return _batch(list(dealt(keys, sums, bounds)), ["shard", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
+            rows = [(slot // slots, slot, *parts) for slot, *parts in dealt(keys, sums, bounds)]
+            return _batch(rows, ["shard", "slot", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
         counts: Counter[bytes] = Counter()
         for batch in batches:
@@ -208,19 +212,37 @@ def count_words(texts: DataFrame, url: str, shards: int) -> list[tuple[int, int,
             yield flush(counts)
 
     def merge(batches):
-        for shard, (keys, counts) in by_shard(batches, 2):
-            words, sums = summed(joined(keys, "<u8"), joined(counts, "<u4").astype("i8"))
-            SharedFiles(url).write(f"words-{shard}", [words.tobytes(), sums.astype("<u8").tobytes()])
-            yield pa.record_batch([[shard], [len(words)], [int(sums.sum())]], ["shard", "n", "total"])
-
-    gathered = texts.mapInArrow(gather, "shard int, keys binary, counts binary")
-    merged = gathered.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, n long, total long")
+        """Words go to the file slot by slot, and then their counts, which are held as they take half the room at most."""
+        for shard, found in grouped_slots(batches):
+            n, sums = 0, []
+
+            def chunks():
+                nonlocal n
+                for keys, counts in found:
+                    words, own = summed(joined(keys, "<u8"), joined(counts, "<u4").astype("i8"))
+                    n += len(words)
+                    sums.append(own.astype("<u8"))
+                    yield words.tobytes()
+                yield from (x.tobytes() for x in sums)
+
+            SharedFiles(url).write(f"words-{shard}", chunks())
+            yield pa.record_batch([[shard], [n], [int(sum(x.sum() for x in sums))]], ["shard", "n", "total"])
+
+    gathered = texts.mapInArrow(gather, "shard int, slot int, keys binary, counts binary")
+    merged = gathered.repartition(shards, "shard").sortWithinPartitions("shard", "slot").mapInArrow(merge, "shard long, n long, total long")
     return [tuple(r) for r in merged.collect()]
 
 
-def count_pairs(texts: DataFrame, url: str, shards: int, bases: list[int]) -> list[tuple]:
+def grouped_slots(batches):
+    """(shard, iterator of (keys, counts) slot by slot) from rows (shard, slot, keys, counts) sorted by shard and slot."""
+    for shard, slots in groupby(by_group(batches, 2, 2), lambda g: g[0][0]):
+        yield shard, (found for _, found in slots)
+
+
+def count_pairs(texts: DataFrame, url: str, shards: int, bases: list[int], n_tokens: int) -> list[tuple]:
     """Writes the pairs' and the words' statistics files; counts of counts, (kind, shard, n1, n2, n3, n4, n), of each."""
-    bounds = shard_bounds(shards)
+    slots = 1 + n_tokens // (shards * MERGED)
+    bounds = shard_bounds(shards * slots)
     n_ids = bases[-1] + 1
     id_edges = [n_ids * k // shards for k in range(shards + 1)]
 
@@ -231,8 +253,8 @@ def count_pairs(texts: DataFrame, url: str, shards: int, bases: list[int]) -> li
         def flush():
             keys = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            rows = list(dealt(keys[first], np.diff(first, append=len(keys)), bounds))
-            return _batch(rows, ["shard", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
+            rows = [(slot // slots, slot, *parts) for slot, *parts in dealt(keys[first], np.diff(first, append=len(keys)), bounds)]
+            return _batch(rows, ["shard", "slot", "keys", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
         for batch in batches:
             for part in slices(batch):
@@ -244,59 +266,84 @@ def count_pairs(texts: DataFrame, url: str, shards: int, bases: list[int]) -> li
         if size:
             yield flush()
 
-    def tally(counts: np.ndarray) -> list[int]:
-        return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
+    def tally(counts: np.ndarray) -> np.ndarray:
+        return np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
 
     kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
     names = ["shard", "kind", "a", "b", "c"]
 
+    def followers(pairs: np.ndarray, sums: np.ndarray):
+        """What pairs say of their first and second words, by ranges of word numbers."""
+        both = unmix(pairs)
+        first, second = (both >> np.uint64(32)).astype("i8"), (both & np.uint64(0xFFFFFFFF)).astype("i8")
+        order = np.argsort(first, kind="stable")
+        of, start = np.unique(first[order], return_index=True)
+        c = sums[order]
+        totals = np.add.reduceat(c, start)
+        levels = np.stack([np.add.reduceat((c == 1).astype("i8"), start), np.add.reduceat((c == 2).astype("i8"), start), np.add.reduceat((c > 2).astype("i8"), start)], 1)
+        heads, before = np.unique(second, return_counts=True)
+        for k, (lo, hi) in enumerate(zip(id_edges, id_edges[1:], strict=False)):
+            a, b = np.searchsorted(of, (lo, hi))
+            if a < b:
+                yield k, "first", of[a:b].astype("<u4").tobytes(), totals[a:b].astype("<u8").tobytes(), levels[a:b].astype("<u4").tobytes()
+            a, b = np.searchsorted(heads, (lo, hi))
+            if a < b:
+                yield k, "second", heads[a:b].astype("<u4").tobytes(), before[a:b].astype("<u4").tobytes(), b""
+
     def merge(batches):
-        """The pairs of a shard; goes on with what they say of their first and second words, by ranges of word numbers."""
-        for shard, (keys, counts) in by_shard(batches, 2):
-            pairs, sums = summed(joined(keys, "<u8"), joined(counts, "<u4").astype("i8"))
-            large = np.flatnonzero(sums > 254)
-            small = np.where(sums > 254, 255, sums).astype("u1")
-            SharedFiles(url).write(f"pairs-{shard}", [np.array([len(pairs), len(large)], "<u8").tobytes(), pairs.tobytes(), large.astype("<u8").tobytes(), sums[large].astype("<u8").tobytes(), small.tobytes()])
-            both = unmix(pairs)
-            first, second = (both >> np.uint64(32)).astype("i8"), (both & np.uint64(0xFFFFFFFF)).astype("i8")
-            rows = [(shard, "pairs", np.array([*tally(sums), len(pairs)], "<i8").tobytes(), b"", b"")]
-            order = np.argsort(first, kind="stable")
-            of, start = np.unique(first[order], return_index=True)
-            c = sums[order]
-            totals = np.add.reduceat(c, start)
-            levels = np.stack([np.add.reduceat((c == 1).astype("i8"), start), np.add.reduceat((c == 2).astype("i8"), start), np.add.reduceat((c > 2).astype("i8"), start)], 1)
-            heads, before = np.unique(second, return_counts=True)
-            for k, (lo, hi) in enumerate(zip(id_edges, id_edges[1:], strict=False)):
-                a, b = np.searchsorted(of, (lo, hi))
-                if a < b:
-                    rows.append((k, "first", of[a:b].astype("<u4").tobytes(), totals[a:b].astype("<u4").tobytes(), levels[a:b].astype("<u4").tobytes()))
-                a, b = np.searchsorted(heads, (lo, hi))
-                if a < b:
-                    rows.append((k, "second", heads[a:b].astype("<u4").tobytes(), before[a:b].astype("<u4").tobytes(), b""))
-            yield _batch(rows, names, kinds)
+        """The pairs of a shard slot by slot into a file of keys and one of counts; goes on with what they say of their words."""
+        for shard, found in grouped_slots(batches):
+            levels, n, small, large, more = np.zeros(4, "i8"), 0, [], [], []
+            rows: list[tuple] = []
+
+            def chunks():
+                nonlocal levels, n
+                for keys, counts in found:
+                    pairs, sums = summed(joined(keys, "<u8"), joined(counts, "<u4").astype("i8"))
+                    levels = levels + tally(sums)
+                    high = np.flatnonzero(sums > 254)
+                    large.append(high + n)
+                    more.append(sums[high])
+                    small.append(np.where(sums > 254, 255, sums).astype("u1").tobytes())
+                    n += len(pairs)
+                    rows.extend(followers(pairs, sums))
+                    yield pairs.tobytes()
+
+            stream = chunks()
+            files = SharedFiles(url)
+            # The keys are written as they are merged; rows to pass on are handed over between the slots.
+            with files.writer(f"pairs-{shard}") as write:
+                for chunk in stream:
+                    write(chunk)
+                    yield _batch(rows, names, kinds)
+                    rows.clear()
+            high, sums = np.concatenate(large), np.concatenate(more)
+            files.write(f"counts-{shard}", [np.array([n, len(high)], "<u8").tobytes(), high.astype("<u8").tobytes(), sums.astype("<u8").tobytes(), *small])
+            yield _batch([(shard, "pairs", np.array([*levels, n], "<i8").tobytes(), b"", b"")], names, kinds)
 
     def finish(batches):
         """For a range of word numbers: total and numbers of followers by count, and the number of different words before."""
-        for shard, (kind, a, b, c) in by_shard(batches, 4):
+        ranges = ((shard, kind, a, b, c) for batch in batches for shard, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+        for shard, rows in groupby(ranges, lambda r: r[0]):
             lo, n = id_edges[shard], id_edges[shard + 1] - id_edges[shard]
             table = np.zeros((n, 5), "<i8")
-            for what, x, y, z in zip(kind, a, b, c, strict=True):
+            for _, what, x, y, z in rows:
                 if what == "pairs":
                     own = np.frombuffer(x, "<i8").tolist()
                     yield pa.record_batch([["pairs"], [shard], *([v] for v in own)], ["kind", "shard", "n1", "n2", "n3", "n4", "n"])
                     continue
                 at = np.frombuffer(x, "<u4").astype("i8") - lo
                 if what == "first":
-                    table[at, 0] += np.frombuffer(y, "<u4")
+                    table[at, 0] += np.frombuffer(y, "<i8")
                     table[at, 1:4] += np.frombuffer(z, "<u4").reshape(-1, 3)
                 else:
                     table[at, 4] += np.frombuffer(y, "<u4")
             SharedFiles(url).write(f"stats-{shard}", [table.tobytes()])
             seen = table[:, 4]
-            yield pa.record_batch([["words"], [shard], *([v] for v in [*tally(seen), int((seen > 2).sum())])], ["kind", "shard", "n1", "n2", "n3", "n4", "n"])
+            yield pa.record_batch([["words"], [shard], *([v] for v in [*tally(seen).tolist(), int((seen > 2).sum())])], ["kind", "shard", "n1", "n2", "n3", "n4", "n"])
 
-    gathered = texts.mapInArrow(gather, "shard int, keys binary, counts binary")
-    merged = gathered.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, kind string, a binary, b binary, c binary")
+    gathered = texts.mapInArrow(gather, "shard int, slot int, keys binary, counts binary")
+    merged = gathered.repartition(shards, "shard").sortWithinPartitions("shard", "slot").mapInArrow(merge, "shard int, kind string, a binary, b binary, c binary")
     ended = merged.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(finish, "kind string, shard long, n1 long, n2 long, n3 long, n4 long, n long")
     return [tuple(r) for r in ended.collect()]
 
@@ -313,7 +360,7 @@ def train(texts: DataFrame) -> Model:
         n_tokens += total
     bases = [0, *np.cumsum(sizes).tolist()]
     pairs, words = np.zeros(5, "i8"), np.zeros(5, "i8")
-    for kind, _, *numbers in count_pairs(texts, url, shards, bases) if n_tokens else []:
+    for kind, _, *numbers in count_pairs(texts, url, shards, bases, n_tokens) if n_tokens else []:
         (pairs if kind == "pairs" else words)[:] += np.array(numbers, "i8")
     n_pairs = int(pairs[4])
     d = discounts(*words[:4].tolist())
@@ -338,15 +385,13 @@ class Scorer:
     def _pairs(self, k: int):
         if k not in self.pairs:
             try:
-                data = self.files.map(f"pairs-{k}")
+                keys, data = self.files.map(f"pairs-{k}"), self.files.map(f"counts-{k}")
             except FileNotFoundError:
-                data = np.zeros(2, "<u8").tobytes()
+                keys, data = b"", np.zeros(2, "<u8").tobytes()
             n, more = np.frombuffer(data, "<u8", 2).tolist()
-            at = 16
-            keys = np.frombuffer(data, "<u8", n, at)
-            large = np.frombuffer(data, "<u8", more, at + 8 * n)
-            counts = np.frombuffer(data, "<u8", more, at + 8 * (n + more))
-            self.pairs[k] = keys, large, counts, np.frombuffer(data, "u1", n, at + 8 * (n + 2 * more)) if n else np.zeros(0, "u1")
+            large = np.frombuffer(data, "<u8", more, 16)
+            counts = np.frombuffer(data, "<u8", more, 16 + 8 * more)
+            self.pairs[k] = np.frombuffer(keys, "<u8", n), large, counts, np.frombuffer(data, "u1", n, 16 + 16 * more) if n else np.zeros(0, "u1")
         return self.pairs[k]
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:

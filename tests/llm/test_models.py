@@ -105,8 +105,9 @@ def plain_lm(train, texts):
     return out
 
 
-@pytest.mark.parametrize("repeat", [1, 40])
-def test_language_model(spark, repeat):
+@pytest.mark.parametrize(("repeat", "merged"), [(1, lm.MERGED), (40, lm.MERGED), (1, 40)])
+def test_language_model(spark, monkeypatch, repeat, merged):
+    monkeypatch.setattr(lm, "MERGED", merged)
     texts = [None, "", "Ünï x\x85y", sentence(6000), *(sentence(R.randint(1, 60)) for _ in range(120)), *["the The end of it"] * 8 * repeat]
     docs = spark.createDataFrame([(i, t, 1.5, "n") for i, t in enumerate(texts)], "doc_id long, text string, score double, held_out string").repartition(3)
     got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
