@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     rounds; whether links are left, and the few nodes with very many of them,
     come to the driver.
     """
-    apart = links.filter("a <> b")
+    apart = staged(links.filter("a <> b").select("a", "b"), "links")
     nodes = staged(apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct().withColumn("root", F.xxhash64("node")), "labels")
     hashed = apart.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     rest = staged(hashed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
