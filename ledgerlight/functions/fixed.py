@@ -49,7 +49,7 @@ UNKNOWN_CHARACTER = "〓"
 # First years of the eras, by full name; a cell's date has the first character only.
 ERAS = {"明治": 1868, "大正": 1912, "昭和": 1926, "平成": 1989, "令和": 2019}
 
-# Types, their digit in national codes, categories of lists, states, events, origins, levels of positions.
+# Types, their digit in national codes, categories of lists, states, bureaus, events, origins, levels of positions.
 TYPES = {1: "病院", 2: "診療所", 3: "歯科診療所", 4: "薬局"}
 HOSPITAL, CLINIC, DENTAL, PHARMACY = 1, 2, 3, 4
 TYPE_DIGITS = {1: "1", 2: "1", 3: "3", 4: "4"}
@@ -58,9 +58,31 @@ STATUSES = {1: "指定中", 2: "廃止", 3: "休止"}
 ACTIVE, CLOSED, SUSPENDED = 1, 2, 3
 CREATED, REMOVED, UPDATED = 1, 2, 3
 BASELINE, DETECTED, REPROCESSED = 1, 2, 3
+BUREAUS = {1: "北海道厚生局", 2: "東北厚生局", 3: "関東信越厚生局", 4: "東海北陸厚生局", 5: "近畿厚生局", 6: "中国四国厚生局", 7: "四国厚生局", 8: "九州厚生局"}
+EVENT_TYPES = {1: "新規", 2: "廃止", 3: "変更"}
+ORIGINS = {1: "初回取込", 2: "検知", 3: "再処理"}
 LEVELS = {1: "住居", 2: "街区", 3: "地番", 4: "地番（枝番なし）", 5: "町丁目", 6: "医療情報ネット", 7: "国土数値情報"}
 RESIDENCE, BLOCK, PARCEL, PARCEL_BASE, TOWN, HOURS_SOURCE, LAND_SOURCE = 1, 2, 3, 4, 5, 6, 7
 
+# Kinds of corporations that may stand before a name, in full and abbreviated, and spellings that count as one.
+CORPORATIONS = (
+    "社会医療法人", "医療法人", "特定医療法人", "一般社団法人", "一般財団法人", "公益社団法人", "公益財団法人", "社会福祉法人", "学校法人",
+    "独立行政法人", "地方独立行政法人", "国立大学法人", "株式会社", "有限会社", "合同会社",
+)
+ABBREVIATED = ("医", "福", "社", "財", "学", "独", "公", "一", "特医", "社医")
+SPELLINGS = {"付属": "附属", "皮フ": "皮膚", "ひふ科": "皮膚科"}
+
+# How addresses name counties and cities, directions along a street, and blocks.
+COUNTY_OR_CITY = "^.+?(?:郡(.+[町村])|市(.+区))$"
+STREET = r"^\s*\S{1,25}?(?:上る|上ル|下る|下ル|東入る|東入ル|東入|西入る|西入ル|西入)"
+BLOCK_HYPHEN = r"^\s*([0-9]+)-"
+BLOCK_CHO = r"^\s*([0-9]+|[〇一二三四五六七八九十]+)丁(?=\s*[0-9])"
+
+# What scanners ask for: folders, endings of files, and the names that are no such thing.
+PROBED_FOLDERS = ("cgi-bin", "phpmyadmin", "pma")
+PROBED_ENDINGS = (".sql", ".bak")
+SPARED_SEGMENT, SPARED_PATH = ".well-known", "/index.php"
+
 # Days of the week as the hours' source names them, and their numbers.
 DAYS = {"月": "mon", "火": "tue", "水": "wed", "木": "thu", "金": "fri", "土": "sat", "日": "sun", "祝": "holiday"}
 DAY_NUMBERS = {"mon": 1, "tue": 2, "wed": 3, "thu": 4, "fri": 5, "sat": 6, "sun": 7, "holiday": 8}

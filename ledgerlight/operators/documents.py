@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CATEGORIES, LEVELS, PREFECTURES, STATUSES, TYPES
+from ..functions.fixed import BUREAUS, CATEGORIES, LEVELS, PREFECTURES, STATUSES, TYPES
 from .records import institution_code
 
 
@@ -20,8 +20,14 @@ def with_labels(rows: DataFrame, tables: dict[str, dict]) -> DataFrame:
     return rows.withColumns({name: labelled(F.col(name), labels) for name, labels in tables.items()})
 
 
-def facility_document(rows: DataFrame) -> DataFrame:
-    """Facilities as served: nested, labelled, without names of persons; no location unless it is whole, no prescriptions unless begun."""
+def facility_document(rows: DataFrame, municipalities: DataFrame, bureaus: dict[int, str] = BUREAUS) -> DataFrame:
+    """Facilities as served: nested, labelled, without names of persons; no location unless it is whole, no prescriptions unless begun.
+
+    ``municipalities`` (code, name) gives the municipalities' labels.
+    """
+    named = municipalities.select(F.col("code").alias("municipality_code"), F.col("name").alias("_municipality"))
+    rows = rows.join(named, "municipality_code", "left")
+    municipality = F.when(F.col("municipality_code").isNotNull(), F.struct(F.col("municipality_code").alias("code"), F.col("_municipality").alias("label")))
     has = lambda c: c in rows.columns
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("geocode_level").isNotNull()
     location = F.when(located, F.struct(F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), labelled(F.col("geocode_level"), LEVELS).alias("level")))
@@ -34,11 +40,12 @@ def facility_document(rows: DataFrame) -> DataFrame:
         "facility_code",
         labelled(F.col("institution_type"), TYPES).alias("institution_type"),
         labelled(F.col("status"), STATUSES).alias("status"),
-        "bureau_code",
+        labelled(F.col("bureau_code"), bureaus).alias("bureau"),
         "name",
         "name_kana",
+        "prefecture_code",
         labelled(F.col("prefecture_code"), PREFECTURES).alias("prefecture"),
-        "municipality_code",
+        municipality.alias("municipality"),
         "postal_code",
         "address",
         location.alias("location"),
@@ -64,8 +71,18 @@ def opening_hours_document(facilities: DataFrame, locations: DataFrame, schedule
 
 
 def facility_summary(rows: DataFrame) -> DataFrame:
-    """A short shape of labels only, the address with its prefecture in front."""
-    label = labelled(F.col("prefecture_code"), PREFECTURES)["label"]
-    address = F.when(F.startswith("address", label), F.col("address")).otherwise(F.concat(label, "address"))
-    kinds = {"type": ("institution_type", TYPES), "status": ("status", STATUSES)}
-    return rows.select("name", *[labelled(F.col(c), t)["label"].alias(n) for n, (c, t) in kinds.items()], address.alias("address"), "phone_number", F.array_join(F.transform("department_categories", lambda c: labelled(c, CATEGORIES)["label"]), "、").alias("departments"))
+    """A short shape of labels only, the address with its prefecture in front, the position where it is whole."""
+    label = F.coalesce(labelled(F.col("prefecture_code"), PREFECTURES)["label"], F.lit(""))
+    given = F.coalesce("address", F.lit(""))
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("geocode_level").isNotNull()
+    return rows.select(
+        "id",
+        "name",
+        labelled(F.col("institution_type"), TYPES)["label"].alias("type"),
+        F.coalesce(F.transform("department_categories", lambda c: labelled(c, CATEGORIES)["label"]), F.array().cast("array<string>")).alias("departments"),
+        F.when(F.startswith(given, label), given).otherwise(F.concat(label, given)).alias("address"),
+        "phone_number",
+        "website_url",
+        F.when(located, F.col("latitude").cast("double")).alias("latitude"),
+        F.when(located, F.col("longitude").cast("double")).alias("longitude"),
+    )

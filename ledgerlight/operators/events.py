@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CREATED, DETECTED, REMOVED, REPROCESSED, STATUSES, TYPES, UPDATED
+from ..functions.fixed import BUREAUS, CATEGORIES, CREATED, DETECTED, EVENT_TYPES, ORIGINS, REMOVED, REPROCESSED, STATUSES, TYPES, UPDATED
+from .documents import labelled
 
 # Names that are not served, and the order in which changes are.
 HIDDEN = ("founder_name", "administrator_name")
@@ -57,15 +58,24 @@ def coded(value: Column, labels: dict) -> Column:
     return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("code"), label.alias("label"))))
 
 
-def event_document(events: DataFrame) -> DataFrame:
-    """Events as served: updates with their changes in a fixed order, creations with ``is_reopening``."""
+def coded_list(value: Column, labels: dict) -> Column:
+    """The codes of a JSON list as a JSON list of {code, label}."""
+    pairs = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    entry = lambda c: F.struct(c.alias("code"), F.element_at(pairs, c).alias("label"))
+    return F.to_json(F.transform(F.from_json(value, "array<int>"), entry))
+
+
+def event_document(events: DataFrame, bureaus: dict[int, str] = BUREAUS) -> DataFrame:
+    """Events as served, their codes labelled: updates with their changes in a fixed order, creations with ``is_reopening``."""
     visible = shown(F.col("payload"))
     rest = F.array_sort(F.filter(F.map_keys(visible), lambda k: ~k.isin(*ORDER)))
     names = F.concat(F.filter(F.array(*[F.lit(n) for n in ORDER]), lambda k: F.map_contains_key(visible, k)), rest)
 
     def served(name: Column, value: Column) -> Column:
         out = F.when(name == "designated_on", F.substring(value, 1, 10)).otherwise(value)
-        return F.when(name == "institution_type", coded(value, TYPES)).when(name == "status", coded(value, STATUSES)).otherwise(out)
+        for attribute, labels in (("institution_type", TYPES), ("status", STATUSES), ("bureau_code", bureaus)):
+            out = F.when(name == attribute, coded(value, labels)).otherwise(out)
+        return F.when(name == "department_categories", coded_list(value, CATEGORIES)).otherwise(out)
 
     change = lambda n: F.struct(
         F.when(n == "bureau_code", "bureau").otherwise(n).alias("attribute"),
@@ -74,8 +84,8 @@ def event_document(events: DataFrame) -> DataFrame:
     )
     return events.select(
         "id",
-        "event_type",
-        "origin",
+        labelled(F.col("event_type"), EVENT_TYPES).alias("event_type"),
+        labelled(F.col("origin"), ORIGINS).alias("origin"),
         "occurred_on",
         F.col("created_at").alias("detected_at"),
         F.when(F.col("event_type") == CREATED, F.col("is_reopening")).alias("is_reopening"),

@@ -49,15 +49,49 @@ def csv_rows(rows: DataFrame, municipalities: DataFrame, bureaus: dict[int, str]
     return safe_text(named.select(*[columns.get(c, F.col(c)).alias(c) for c in CSV_COLUMNS]))
 
 
-def export_bulk(rows: DataFrame, municipalities: DataFrame, bureaus: dict[int, str], path: str) -> None:
-    """Writes csv and jsonl folders, each partitioned by prefecture and as a whole."""
-    flat, served = csv_rows(rows, municipalities, bureaus), facility_document(rows).withColumn("area", F.col("prefecture.code"))
-    whole = flat.withColumn("area", F.col("prefecture_code"))
-    options = {"header": True, "escape": '"', "lineSep": "\r\n", "compression": "gzip"}
-    whole.repartition("area").sortWithinPartitions("area", "id").write.partitionBy("area").options(**options).csv(f"{path}/csv")
+def export_bulk(rows: DataFrame, municipalities: DataFrame, bureaus: dict[int, str], path: str, per_file: int = 1_000_000) -> None:
+    """Writes csv and jsonl folders, each partitioned by prefecture and as a whole; files hold rows of a range of ids."""
+    flat, served = csv_rows(rows, municipalities, bureaus), facility_document(rows, municipalities, bureaus)
+    options = {"header": True, "escape": '"', "lineSep": "\r\n", "compression": "gzip", "maxRecordsPerFile": per_file}
+    by_area = lambda df: df.withColumn("area", F.col("prefecture_code")).repartitionByRange("area", "id").sortWithinPartitions("area", "id").write.partitionBy("area")
+    by_area(flat).options(**options).csv(f"{path}/csv")
     flat.write.options(**options).csv(f"{path}/csv_all")
-    served.repartition("area").write.partitionBy("area").json(f"{path}/jsonl", compression="gzip")
-    served.drop("area").write.json(f"{path}/jsonl_all", compression="gzip")
+    by_area(served).options(maxRecordsPerFile=per_file).json(f"{path}/jsonl", compression="gzip")
+    served.write.options(maxRecordsPerFile=per_file).json(f"{path}/jsonl_all", compression="gzip")
+
+
+def export_set(rows: DataFrame, municipalities: DataFrame, bureaus: dict[int, str], root: str, scope: dict) -> dict:
+    """A new set under ``root``/sets that becomes the current one by a rename of the manifest, and only once it is whole.
+
+    The set it replaces stays, as it may be being read; older ones go.
+    """
+    spark = rows.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = lambda name: jvm.Path(f"{root}/{name}")
+    store = at("sets").getFileSystem(spark._jsc.hadoopConfiguration())
+    current = current_manifest(spark, root)
+    name = datetime.now(UTC).strftime("%Y%m%d%H%M%S%f")
+    export_bulk(rows, municipalities, bureaus, f"{root}/sets/{name}")
+    manifest = export_manifest(spark, f"{root}/sets/{name}", rows, scope) | {"set": name}
+    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{root}/next-{name}")
+    part = next(s.getPath() for s in store.listStatus(at(f"next-{name}")) if s.getPath().getName().startswith("part-"))
+    swap = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    swap[0] = getattr(jvm, "Options$Rename").OVERWRITE
+    jvm.FileContext.getFileContext(at("").toUri(), spark._jsc.hadoopConfiguration()).rename(part, at("manifest.json"), swap)
+    store.delete(at(f"next-{name}"), True)
+    kept = {name, (current or {}).get("set")}
+    for status in store.listStatus(at("sets")):
+        if status.getPath().getName() not in kept:
+            store.delete(status.getPath(), True)
+    return manifest
+
+
+def current_manifest(spark, root: str) -> dict | None:
+    """The manifest of the current set; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest.json")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return json.loads(spark.read.text(f"{root}/manifest.json", wholetext=True).head()[0])
 
 
 def digests(rows: DataFrame, key: str, line: str, order: list[str]) -> DataFrame:

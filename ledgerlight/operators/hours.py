@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import ALL_WEEKS, DAY_NUMBERS, DAYS, HOLIDAY
 from ..functions.geo import travel_minutes
+from ..functions.text import address_key, clean_url, kana_reading, name_key
 
 ZONE = "Asia/Tokyo"
 DAY_SECONDS = 86_400
@@ -25,17 +26,30 @@ def minutes(value: Column) -> Column:
     return F.get(parts, F.lit(0)).cast("int") * 60 + F.get(parts, F.lit(1)).cast("int")
 
 
-def locations_from_source(rows: DataFrame, columns: dict[str, str], institution_type: Column) -> DataFrame:
-    """Typed locations of a source's rows: padded municipality code, null position where it is 0.0; rows without id, name or codes go."""
-    at = lambda n: F.col(f"`{columns[n]}`")
-    place = lambda n: F.when(at(n).try_cast("double") != 0.0, at(n).try_cast("decimal(10,6)"))
-    code = F.concat(F.lpad(at("prefecture"), 2, "0"), F.lpad(at("municipality"), 3, "0"))
+def locations_from_source(rows: DataFrame, columns: dict[str, str], institution_type: Column, variants: dict[str, str] | None = None) -> DataFrame:
+    """Typed locations of a source's rows, with keys for matching, reading, website and closures; rows without id, name or codes go.
+
+    ``columns`` gives the source's names of id, name, prefecture, municipality,
+    address, latitude, longitude, and where it has them kana, website, and
+    holiday, other, and the flags ``weekly_<day>`` and ``monthly_<week>_<day>``.
+    A position is null unless both of its numbers are there and not 0.
+    """
+    at = lambda n: F.col(f"`{columns[n]}`") if n in columns else F.lit(None).cast("string")
+    number = lambda n: F.coalesce(at(n).try_cast("double"), F.lit(0.0))
+    placed = (number("latitude") != 0.0) & (number("longitude") != 0.0)
+    place = lambda n: F.when(placed, at(n).try_cast("decimal(10,6)"))
+    code = F.concat(*[F.when(F.length(at(n)) < w, F.lpad(at(n), w, "0")).otherwise(at(n)) for n, w in (("prefecture", 2), ("municipality", 3))])
+    weekly = {n.removeprefix("weekly_"): at(n) for n in columns if n.startswith("weekly_")}
+    monthly = {(int(n.split("_")[1]), n.split("_")[2]): at(n) for n in columns if n.startswith("monthly_")}
     whole = F.lit(True)
     for n in ("id", "name", "prefecture", "municipality"):
         whole = whole & (F.coalesce(at(n), F.lit("")) != "")
     return rows.filter(whole).select(
         at("id").alias("source_id"), institution_type.alias("institution_type"), code.alias("municipality_code"), at("name").alias("name"),
         at("address").alias("address"), place("latitude").alias("latitude"), place("longitude").alias("longitude"),
+        name_key(at("name"), variants).alias("name_key"), address_key(F.coalesce(at("address"), F.lit("")), variants).alias("address_key"),
+        kana_reading(at("kana")).alias("name_kana"), clean_url(at("website")).alias("website_url"),
+        closures(weekly, monthly, at("holiday"), at("other")).alias("closures"),
     )
 
 
@@ -62,14 +76,15 @@ def group_equal_schedules(slots: DataFrame, key: list[str], department: str, slo
 
 def closures(weekly: dict[str, Column], monthly: dict[tuple[int, str], Column], holiday: Column, other: Column) -> Column:
     """struct<weekly, monthly, holidays, other> from flags (1 open, 0 closed); null if nothing is given."""
-    closed = F.filter(F.array(*[F.struct(F.lit(d).alias("day"), c.alias("flag")) for d, c in weekly.items()]), lambda e: e["flag"] == "0")
+    none = "array<struct<week:int,day:string,flag:string>>"
+    closed = F.filter(F.array(*[F.struct(F.lit(0).alias("week"), F.lit(d).alias("day"), c.alias("flag")) for d, c in weekly.items()]).cast(none), lambda e: e["flag"] == "0")
     days = F.transform(closed, lambda e: e["day"])
     nth = F.filter(
-        F.array(*[F.struct(F.lit(w).alias("week"), F.lit(d).alias("day"), c.alias("flag")) for (w, d), c in monthly.items()]),
+        F.array(*[F.struct(F.lit(w).alias("week"), F.lit(d).alias("day"), c.alias("flag")) for (w, d), c in monthly.items()]).cast(none),
         lambda e: (e["flag"] == "0") & ~F.array_contains(days, e["day"]),
     )
     text = F.trim(F.coalesce(other, F.lit("")))
-    flags = F.concat_ws("", *[F.coalesce(c, F.lit("")) for c in (*weekly.values(), *monthly.values())])
+    flags = F.concat_ws("", F.lit(""), *[F.coalesce(c, F.lit("")) for c in (*weekly.values(), *monthly.values())])
     made = F.struct(
         days.alias("weekly"),
         F.transform(nth, lambda e: F.struct(e["week"].alias("week"), e["day"].alias("day"))).alias("monthly"),
@@ -138,7 +153,7 @@ def moments(rows: DataFrame, ts: str, holidays: DataFrame, zone: str = ZONE) ->
 
 
 def with_day(dated: DataFrame, holidays: DataFrame) -> DataFrame:
-    free = F.broadcast(holidays.select(F.col("date").alias("local_date"), F.lit(True).alias("_free")).distinct())  # a calendar: a few thousand days
+    free = holidays.select(F.col("date").alias("local_date"), F.lit(True).alias("_free")).distinct()
     bit = F.pow(F.lit(2), F.floor((F.dayofmonth("local_date") - 1) / 7)).cast("int")
     return dated.join(free, "local_date", "left").withColumns({"day": F.when(F.col("_free"), HOLIDAY).otherwise(F.weekday("local_date") + 1), "week_bit": bit}).drop("_free")
 

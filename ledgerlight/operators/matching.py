@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import BLOCK, HOURS_SOURCE, LAND_SOURCE, PARCEL, PARCEL_BASE, PHARMACY, PREFECTURES, RESIDENCE, TOWN
+from ..functions.fixed import BLOCK, BLOCK_CHO, BLOCK_HYPHEN, COUNTY_OR_CITY, HOURS_SOURCE, LAND_SOURCE, PARCEL, PARCEL_BASE, PHARMACY, PREFECTURES, RESIDENCE, STREET, TOWN
 from ..functions.geo import haversine, line_middle
 from ..functions.text import address_key, house_numbers, name_key, normalize_for_matching, normalize_station
 
@@ -17,26 +17,33 @@ from ..functions.text import address_key, house_numbers, name_key, normalize_for
 def municipality_names(municipalities: DataFrame, variants: dict[str, str] | None = None) -> DataFrame:
     """(prefecture_code, name, code): full names, and names without county or city where they are unique and no full name."""
     full = municipalities.select("prefecture_code", normalize_for_matching(F.col("name"), variants).alias("name"), "code")
-    pattern = "^.+?(?:郡(.+[町村])|市(.+区))$"
-    cut = F.coalesce(F.nullif(F.regexp_extract("name", pattern, 1), F.lit("")), F.nullif(F.regexp_extract("name", pattern, 2), F.lit("")))
+    cut = F.coalesce(*[F.nullif(F.regexp_extract("name", COUNTY_OR_CITY, g), F.lit("")) for g in (1, 2)])
     short = full.withColumn("name", cut).filter("name IS NOT NULL").groupBy("prefecture_code", "name").agg(F.min("code").alias("code"), F.count("*").alias("n")).filter("n = 1").drop("n")
     return full.unionByName(short.join(full, ["prefecture_code", "name"], "left_anti"))
 
 
-def longest_prefix(rows: DataFrame, names: DataFrame, scope: list[str], text: str, key: list[str]) -> DataFrame:
-    """(key, code, remainder): of each row the longest name of its scope that its text begins with.
+def prefix_matches(rows: DataFrame, names: DataFrame, scope: list[str], text: str, key: list[str]) -> DataFrame:
+    """(key, code, n): of each row the longest name of its scope that its text begins with, and the name's length.
 
-    Names are found by equality: a row meets the names of its scope and of its
-    own first characters, by the first two.
+    The lengths that names of a scope have are few.  Of each text only its
+    beginnings of these lengths are met with the names, by equality, so a row
+    gives as many candidates as there are lengths, and texts stay where they are.
     """
-    head = lambda c: F.substring(c, 1, 2)
     near = names.select(*scope, F.col("name").alias("_name"), F.col("code").alias("_code"))
-    long = near.filter(F.length("_name") >= 2).withColumn("_head", head(F.col("_name")))
-    brief = near.filter(F.length("_name") == 1).withColumn("_head", F.col("_name"))
-    asked = rows.select(*key, *[c for c in scope if c not in key], F.col(text).alias("_text")).withColumn("_head", F.explode(F.array_distinct(F.array(head(F.col("_text")), F.substring("_text", 1, 1)))))
-    found = asked.join(long.unionByName(brief), [*scope, "_head"]).filter(F.startswith("_text", F.col("_name")))
-    best = F.max_by(F.struct("_code", "_name", "_text"), F.struct(F.length("_name"), F.col("_code"))).alias("b")
-    return found.groupBy(*key).agg(best).select(*key, F.col("b._code").alias("code"), F.substr("b._text", F.length("b._name") + 1).alias("remainder"))
+    lengths = near.groupBy(*scope).agg(F.collect_set(F.length("_name")).alias("_lengths"))
+    some = rows.select(*dict.fromkeys([*key, *scope]), F.col(text).alias("_text")).join(lengths, scope)
+    heads = F.transform(F.filter("_lengths", lambda n: (n > 0) & (n <= F.length("_text"))), lambda n: F.substring(F.col("_text"), F.lit(1), n))
+    asked = some.select(*dict.fromkeys([*key, *scope]), F.explode(heads).alias("_name"))
+    found = asked.join(near, [*scope, "_name"])
+    order = F.struct(F.length("_name").alias("n"), F.col("_code").alias("code"))
+    return found.groupBy(*key).agg(F.max(order).alias("b")).select(*key, "b.code", "b.n")
+
+
+def longest_prefix(rows: DataFrame, names: DataFrame, scope: list[str], text: str, key: list[str]) -> DataFrame:
+    """(key, code, remainder): of each row the longest name of its scope that its text begins with, and what follows it."""
+    found = prefix_matches(rows, names, scope, text, key)
+    rest = F.substr(F.col(text), F.col("n") + 1).alias("remainder")
+    return rows.join(found, key).select(*key, "code", rest)
 
 
 def resolve_municipality(rows: DataFrame, names: DataFrame, key: list[str], variants: dict[str, str] | None = None) -> DataFrame:
@@ -87,9 +94,6 @@ def town_spellings(towns: DataFrame, variants: dict[str, str] | None = None) ->
     return out.filter("spelling <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").withColumn("bytes", F.octet_length("spelling"))
 
 
-_STREET = r"^\s*\S{1,25}?(?:上る|上ル|下る|下ル|東入る|東入ル|東入|西入る|西入ル|西入)"
-
-
 def match_town(rows: DataFrame, spellings: DataFrame, key: list[str]) -> DataFrame:
     """(key, machiaza_id, residential, parcel, rest) of rows (lg_code, remainder) whose town is found.
 
@@ -97,11 +101,11 @@ def match_town(rows: DataFrame, spellings: DataFrame, key: list[str]) -> DataFra
     directions in front are passed over only where nothing else fits.
     """
     tidy = lambda c: F.regexp_replace(c, r"^\s*(大字|字)?", "")
-    tries = F.array(F.struct(F.lit(0).alias("turn"), tidy(F.col("remainder")).alias("text")), F.struct(F.lit(1).alias("turn"), F.when(F.col("remainder").rlike(_STREET), tidy(F.regexp_replace("remainder", _STREET, ""))).alias("text")))
+    tries = F.array(F.struct(F.lit(0).alias("turn"), tidy(F.col("remainder")).alias("text")), F.struct(F.lit(1).alias("turn"), F.when(F.col("remainder").rlike(STREET), tidy(F.regexp_replace("remainder", STREET, ""))).alias("text")))
     asked = rows.select(*key, "lg_code", F.explode(tries).alias("t")).select(*key, "lg_code", "t.*").filter("text IS NOT NULL").withColumn("_head", F.substring("text", 1, 1))
     met = asked.join(spellings.withColumn("_head", F.substring("spelling", 1, 1)), ["lg_code", "_head"]).filter(F.startswith("text", F.col("spelling")))
     after = F.substr("text", F.length("spelling") + 1)
-    hyphen, cho = r"^\s*([0-9]+)-", r"^\s*([0-9]+|[〇一二三四五六七八九十]+)丁(?=\s*[0-9])"
+    hyphen, cho = BLOCK_HYPHEN, BLOCK_CHO
     number = F.regexp_replace(F.regexp_extract("_after", cho, 1), "^0+(?=[0-9])", "")
     kanji = F.regexp_replace(normalize_for_matching(F.concat(F.regexp_extract("_after", cho, 1), F.lit("丁目"))), "丁目$", "")
     said = F.when(number.rlike("^[0-9]+$"), number).otherwise(kanji)

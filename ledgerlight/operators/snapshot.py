@@ -1,14 +1,14 @@
 """Comparison of a published edition with the master table: a new master and an append-only event log.
 
 The natural key joins both sides once; every row's outcome is one expression.
-A key that an edition holds twice counts with its last row.
+A key that an edition holds twice counts with its last row and gives one event.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ACTIVE, BASELINE, CLOSED, CREATED, DETECTED, REMOVED, REPROCESSED, UPDATED
@@ -25,6 +25,16 @@ class Layout:
     watermark: str = "last_seen_download"
     #: What must appear in a run before a row of it can be closed.
     completeness: tuple[str, ...] = ("institution_type", "prefecture_code")
+    #: The column by which rows of one key in an edition follow each other; without it the order is that of their values as text.
+    order: str | None = None
+    #: What events of rows that appear or go tell of them.
+    described: tuple[str, ...] = ("name", "address")
+    #: Columns that no longer hold once a row's address is another.
+    located: tuple[str, ...] = ("latitude", "longitude", "geocode_level", "geocoded_address")
+
+    @property
+    def carried(self) -> tuple[str, ...]:
+        return tuple(c for c in self.completeness if c not in (*self.key, *self.attributes))
 
 
 def canonical(column: Column, kind: str) -> Column:
@@ -51,18 +61,18 @@ def diff_attributes(old: Column, new: Column, kinds: dict[str, str]) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull()))
 
 
-def last_of_key(rows: DataFrame, key: tuple[str, ...], order: str | None) -> DataFrame:
-    if order is None:
-        return rows.dropDuplicates(list(key))
-    own = Window.partitionBy(*key).orderBy(F.desc(order))
-    return rows.withColumn("_nth", F.row_number().over(own)).filter("_nth = 1").drop("_nth")
+def last_of_key(rows: DataFrame, layout: Layout) -> DataFrame:
+    """(key, new): of each key the last row's attributes, status and what completeness is about."""
+    values = F.struct(*layout.attributes, "status", *layout.carried)
+    last = F.struct(F.col(layout.order), F.to_json(values)) if layout.order else F.to_json(values)
+    return rows.groupBy(*layout.key).agg(F.max_by(values, last).alias("new"))
 
 
 def compare(master: DataFrame, incoming: DataFrame, layout: Layout) -> DataFrame:
-    """Key, ``old`` and ``new`` (structs or null), ``changes`` and ``outcome``: created, reopened, updated, unchanged or missing."""
+    """Key and completeness columns, ``old`` and ``new`` (structs or null), ``changes`` and ``outcome``: created, reopened, updated, unchanged or missing."""
     fields = [*layout.attributes, "status"]
     old = master.select(*layout.key, F.struct("*").alias("old"))
-    new = incoming.select(*layout.key, F.struct(*fields).alias("new"))
+    new = last_of_key(incoming, layout)
     kinds = {n: k for n, k in incoming.dtypes if n in fields}
     both = old.join(new, list(layout.key), "full")
     changes = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), diff_attributes(F.col("old"), F.col("new"), kinds))
@@ -73,7 +83,8 @@ def compare(master: DataFrame, incoming: DataFrame, layout: Layout) -> DataFrame
         .when(F.size("changes") > 0, "updated")
         .otherwise("unchanged")
     )
-    return both.withColumn("changes", changes).withColumn("outcome", outcome)
+    scope = {c: F.coalesce(F.col("new").getField(c), F.col("old").getField(c)) for c in layout.carried}
+    return both.withColumns(scope).withColumn("changes", changes).withColumn("outcome", outcome)
 
 
 def event_origin(seen_before: DataFrame, scope: list[str], reimport: bool) -> DataFrame:
@@ -82,21 +93,48 @@ def event_origin(seen_before: DataFrame, scope: list[str], reimport: bool) -> Da
     return seen_before.select(*scope).distinct().withColumn("origin", F.lit(origin))
 
 
-def apply_snapshot(master: DataFrame, incoming: DataFrame, download_id: int, published_on, seen_at, layout: Layout, ledger: DataFrame | None = None, reimport: bool = False) -> tuple[DataFrame, DataFrame]:
+def description(row: Column, fields: list[str], side: str) -> Column:
+    """The payload of an event of a row that appears (``side`` new) or goes (old): the fields' values on that side."""
+    none = F.lit(None).cast("string")
+    value = lambda n: row.getField(n).cast("string")
+    entry = lambda n: F.struct((none if side == "new" else value(n)).alias("old"), (value(n) if side == "new" else none).alias("new"))
+    pairs = [x for n in fields for x in (F.lit(n), entry(n))]
+    return (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,struct<old:string,new:string>>")
+
+
+def apply_snapshot(
+    master: DataFrame,
+    incoming: DataFrame,
+    download_id: int,
+    published_on,
+    seen_at,
+    layout: Layout,
+    ledger: DataFrame | None = None,
+    reimport: bool = False,
+    derive: dict[str, Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The new master (rows not in the edition as they were) and the events of rows created, reopened or changed.
 
     ``ledger`` (id, published_on, superseded_at), if given, makes reopenings and
     changes against a row last seen in the same edition reprocessings.
+    ``derive`` gives columns that follow from others, over the new master's own
+    columns; they are made anew for rows of such events.  A row whose address
+    changed loses its position.
     """
     compared = compare(master, incoming, layout)
     seen = F.col("new").isNotNull()
     moved = F.col("outcome").isin("created", "reopened", "updated")
+    relocated = F.lit(False)
+    if "address" in layout.attributes:
+        relocated = seen & F.col("old").isNotNull() & ~F.col("new.address").eqNullSafe(F.col("old").getField("address"))
     columns = []
     for name, kind in master.dtypes:
         old = F.col("old").getField(name)
         if name in layout.key:
             value = F.col(name)
-        elif name in (*layout.attributes, "status"):
+        elif name in layout.located and name not in layout.attributes:
+            value = F.when(~relocated, old)
+        elif name in (*layout.attributes, "status", *layout.carried):
             value = F.when(seen, F.col("new").getField(name)).otherwise(old)
         elif name == layout.watermark:
             value = F.when(seen, F.lit(download_id)).otherwise(old)
@@ -108,39 +146,44 @@ def apply_snapshot(master: DataFrame, incoming: DataFrame, download_id: int, pub
             value = old
         columns.append(value.cast(kind).alias(name))
     scopes = event_origin(master, list(layout.completeness), reimport)
-    events = compared.filter(moved).join(F.broadcast(scopes), list(layout.completeness), "left")
+    events = compared.filter(moved).join(scopes, list(layout.completeness), "left")
     origin = F.lit(REPROCESSED) if reimport else F.coalesce("origin", F.lit(BASELINE))
     if ledger is not None:
         same = ledger.filter(F.col("superseded_at").isNull() & (F.col("published_on") == F.lit(published_on))).select(F.col("id").alias("_last"))
-        events = events.withColumn("_last", F.col("old").getField(layout.watermark)).join(F.broadcast(same).withColumn("_same", F.lit(True)), "_last", "left")
+        events = events.withColumn("_last", F.col("old").getField(layout.watermark)).join(same.distinct().withColumn("_same", F.lit(True)), "_last", "left")
         origin = F.when((F.col("outcome") != "created") & F.coalesce("_same", F.lit(False)), REPROCESSED).otherwise(origin)
     kind = F.when(F.col("outcome") == "updated", UPDATED).otherwise(CREATED)
-    none = F.create_map().cast("map<string,struct<old:string,new:string>>")
+    told = description(F.col("new"), [n for n in layout.described if n in layout.attributes], "new")
     logged = events.select(
         *layout.key,
         kind.alias("event_type"),
         origin.cast("int").alias("origin"),
         F.lit(published_on).cast("date").alias("occurred_on"),
-        F.when(F.col("outcome") == "updated", F.col("changes")).otherwise(none).alias("payload"),
+        F.when(F.col("outcome") == "updated", F.col("changes")).otherwise(told).alias("payload"),
         F.lit(download_id).cast("long").alias("download_id"),
         F.lit(seen_at).cast("timestamp").alias("created_at"),
     )
-    return compared.select(*columns), logged
+    after = compared.select(*columns, moved.alias("_moved"))
+    if derive:
+        after = after.withColumns({n: F.when(F.col("_moved"), v).otherwise(F.col(n)) for n, v in derive.items()})
+    return after.drop("_moved"), logged
 
 
-def reconcile_closures(master: DataFrame, seen: DataFrame, download_id: int, published_on, seen_at, layout: Layout, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def reconcile_closures(master: DataFrame, seen: DataFrame, download_id: int, published_on, seen_at, layout: Layout, failed: DataFrame | None = None, origin: int = DETECTED) -> tuple[DataFrame, DataFrame]:
     """Closes rows that a complete run did not hold: (new master, events).
 
     ``seen`` are the rows of the run; only what shares its type and prefecture
-    can close, and never a facility code in ``failed``.
+    can close, and never a facility code in ``failed``.  Events have the run's
+    ``origin``.
     """
-    scopes = F.broadcast(seen.select(*layout.completeness).distinct())
+    scopes = seen.select(*layout.completeness).distinct()
     open_rows = master.filter(F.col("status") != CLOSED).filter(~F.col(layout.watermark).eqNullSafe(F.lit(download_id)))
     stale = open_rows.join(scopes, list(layout.completeness), "left_semi").join(seen.select(*layout.key).distinct(), list(layout.key), "left_anti")
     if failed is not None:
         stale = stale.join(failed.select("facility_code").distinct(), "facility_code", "left_anti")
-    keys = stale.select(*layout.key)
-    marked = master.join(keys.withColumn("_gone", F.lit(True)), list(layout.key), "left")
+    told = description(F.struct("*"), [n for n in layout.described if n in master.columns], "old")
+    keys = stale.select(*layout.key, told.alias("payload"))
+    marked = master.join(keys.select(*layout.key, F.lit(True).alias("_gone")), list(layout.key), "left")
     gone = F.coalesce("_gone", F.lit(False))
     closed = marked.select(
         *[
@@ -151,9 +194,9 @@ def reconcile_closures(master: DataFrame, seen: DataFrame, download_id: int, pub
     events = keys.select(
         *layout.key,
         F.lit(REMOVED).alias("event_type"),
-        F.lit(DETECTED).alias("origin"),
+        F.lit(origin).alias("origin"),
         F.lit(published_on).cast("date").alias("occurred_on"),
-        F.create_map().cast("map<string,struct<old:string,new:string>>").alias("payload"),
+        "payload",
         F.lit(download_id).cast("long").alias("download_id"),
         F.lit(seen_at).cast("timestamp").alias("created_at"),
     )
@@ -171,10 +214,10 @@ def run_counters(compared: DataFrame) -> DataFrame:
 
 def backfill_origin(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Origins for old events: those of a source's earliest edition are baselines (if created) or reprocessings, later ones detected."""
-    own = Window.partitionBy("bureau_code", "category")
-    first = ledger.withColumn("_first", F.min("published_on").over(own)).select(F.col("id").alias("download_id"), (F.col("published_on") == F.col("_first")).alias("_earliest"))
+    firsts = ledger.groupBy("bureau_code", "category").agg(F.min("published_on").alias("published_on"))
+    first = ledger.join(firsts, ["bureau_code", "category", "published_on"], "left_semi").select(F.col("id").alias("download_id"), F.lit(True).alias("_earliest"))
     origin = F.when(F.coalesce("_earliest", F.lit(False)), F.when(F.col("event_type") == CREATED, BASELINE).otherwise(REPROCESSED)).otherwise(DETECTED)
-    return events.join(F.broadcast(first), "download_id", "left").withColumn("origin", origin).drop("_earliest")
+    return events.join(first, "download_id", "left").withColumn("origin", origin).drop("_earliest")
 
 
 def enrich_by_code(master: DataFrame, listed: DataFrame, code: Column, columns: list[str], seen_at) -> tuple[DataFrame, DataFrame]:

@@ -189,23 +189,37 @@ def scan_population(cells: DataFrame) -> DataFrame:
     """(code, population) from a workbook's rows (row_no, cells): the column headed 計 under 人口.
 
     A heading covers the empty cells to its right.  Codes have six digits
-    (five want a 0 in front); those of prefectures, xx000x, go.
+    (five want a 0 in front); those of prefectures, xx000x, go.  A table
+    without such a column, or a population that is no number, is an error.
     """
     grid = cells.select("row_no", F.posexplode("cells").alias("col", "v")).withColumn("v", F.nullif(F.trim("v"), F.lit("")))
     covered = grid.withColumn("over", F.last("v", ignorenulls=True).over(Window.partitionBy("row_no").orderBy("col")))
     above = covered.filter(F.col("over").contains("人口")).select(F.col("row_no").alias("r1"), "col")
     heads = grid.filter(F.col("v") == "計").join(above, "col").filter("r1 < row_no").orderBy("row_no", "col").limit(1).select(F.col("row_no").alias("head"), F.col("col").alias("at"))
-    body = cells.crossJoin(F.broadcast(heads)).filter("row_no > head")  # one row
-    code = F.regexp_replace(F.get("cells", F.lit(0)), "[^0-9]", "")
-    rows = body.select(F.lpad(code, 6, "0").alias("code6"), F.length(code).alias("n"), F.regexp_replace(F.get("cells", F.col("at")), "[, ]", "").alias("p"))
-    rows = rows.filter(F.col("n").isin(5, 6) & ~F.col("code6").rlike("^[0-9]{2}000") & F.col("p").rlike("^[0-9]+$"))
-    return rows.select(F.substring("code6", 1, 5).alias("code"), F.col("p").cast("long").alias("population"))
+    body = _below(cells, heads, "population", "no population column")
+    code = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    six = F.when(code.rlike("^[0-9]{5}$"), F.concat(F.lit("0"), code)).otherwise(code)
+    rows = body.select(six.alias("code6"), F.replace(F.coalesce(F.get("cells", F.col("at")), F.lit("")), F.lit(",")).alias("p"))
+    rows = rows.filter(F.col("code6").rlike("^[0-9]{6}$") & (F.substring("code6", 3, 3) != "000"))
+    population = F.when(F.col("p").rlike("^[0-9]+$"), F.col("p").cast("long")).otherwise(_fail("unreadable population of ", F.col("code6"), "long"))
+    return rows.select(F.substring("code6", 1, 5).alias("code"), population.alias("population"))
+
+
+def _fail(what: str, value: Column, kind: str) -> Column:
+    return F.raise_error(F.concat(F.lit(what), F.coalesce(value.cast("string"), F.lit("null")))).cast(kind)
+
+
+def _below(cells: DataFrame, heads: DataFrame, table: str, missing: str) -> DataFrame:
+    """The rows below a header row (``heads``: its row number ``head`` and columns, one row or none); an error if there is none."""
+    found = heads.agg(*[F.max(c).alias(c) for c in heads.columns])  # one row, of nulls without a header
+    checked = found.withColumn("head", F.coalesce("head", F.raise_error(F.lit(f"{missing} in {table}")).cast("int")))
+    return cells.crossJoin(F.broadcast(checked)).filter("row_no > head")  # one row
 
 
 def excel_date(value: Column) -> Column:
-    """A date from a serial number or a text such as 2026/8/1."""
-    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.regexp_extract(value, r"^([0-9]{5})(?:\.0+)?$", 1).try_cast("int"))
-    pattern = r"^([0-9]{4})[/.年-]\s*([0-9]{1,2})[/.月-]\s*([0-9]{1,2})日?$"
+    """A date from a serial number or a text such as 2026/8/1, a time of day after either left aside; null for all else."""
+    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.regexp_extract(value, r"^([0-9]{1,6})(?:\.[0-9]+)?$", 1).try_cast("int"))
+    pattern = r"^([0-9]{4})[/.年-]\s*([0-9]{1,2})[/.月-]\s*([0-9]{1,2})日?(?:\s.*)?$"
     part = lambda g: F.regexp_extract(value, pattern, g)
     text = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
     return F.coalesce(serial, F.when(value.rlike(pattern), text))
@@ -217,21 +231,26 @@ def scan_e_prescriptions(cells: DataFrame, heads: dict[str, str], prefectures: d
     ``heads`` gives the beginning of the headings of prefecture, category, code,
     started_on and refill_started_on; ``digits`` the digit of each category by
     the beginning of its name.  Codes have ten digits: prefecture, category,
-    seven of the facility.
+    seven of the facility.  Rows without a code go; an unknown prefecture or
+    category, a code that is no number of up to seven digits, a date that is
+    none, a missing start, or a table without header is an error.
     """
     grid = cells.select("row_no", F.posexplode("cells").alias("col", "v"))
     places = [F.min(F.when(F.startswith(F.trim("v"), F.lit(h)), F.col("col"))).alias(n) for n, h in heads.items()]
     whole = grid.groupBy("row_no").agg(*places).dropna().orderBy("row_no").limit(1).withColumnRenamed("row_no", "head")
-    body = cells.crossJoin(F.broadcast(whole)).filter("row_no > head")  # one row
-    at = lambda n: F.trim(F.get("cells", F.col(n)))
+    body = _below(cells, whole, "e-prescriptions", "no header row").filter(F.coalesce(F.trim(F.get("cells", F.col("code"))), F.lit("")) != "")
+    at = lambda n: F.coalesce(F.trim(F.get("cells", F.col(n))), F.lit(""))
     area, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     for c, label in prefectures.items():
         area = F.when(at("prefecture") == label, c).otherwise(area)
     for name, digit in digits.items():
         kind = F.when(F.startswith(at("category"), F.lit(name)), digit).otherwise(kind)
-    number = F.lpad(F.regexp_replace(at("code"), "[^0-9]", ""), 7, "0")
-    rows = body.select(F.concat(area, kind, number).alias("code"), excel_date(at("started_on")).alias("started_on"), excel_date(at("refill_started_on")).alias("refill_started_on"))
-    return rows.filter("length(code) = 10 AND started_on IS NOT NULL")
+    number = F.when(at("code").rlike("^[0-9]{1,7}$"), F.lpad(at("code"), 7, "0")).otherwise(_fail("unreadable code ", at("code"), "string"))
+    area = F.coalesce(area, _fail("unknown prefecture ", at("prefecture"), "string"))
+    kind = F.coalesce(kind, _fail("unknown category ", at("category"), "string"))
+    date = lambda n: F.coalesce(excel_date(at(n)), _fail("unreadable date ", at(n), "date"))
+    refill = F.when(at("refill_started_on") != "", date("refill_started_on"))
+    return body.select(F.concat(area, kind, number).alias("code"), date("started_on").alias("started_on"), refill.alias("refill_started_on"))
 
 
 LOG = "ts double, status int, msg string, request struct<remote_ip:string,client_ip:string,method:string,uri:string>"

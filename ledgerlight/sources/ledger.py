@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STALE_DAYS = 45
@@ -11,7 +11,11 @@ STALE_DAYS = 45
 def current_editions(ledger: DataFrame, source: list[str], edition: str = "published_on", superseded: str | None = "superseded_at") -> DataFrame:
     """Rows of the newest edition of each source that is not superseded; several can be current at once."""
     live = ledger.filter(F.col(superseded).isNull()) if superseded else ledger
-    return live.withColumn("_last", F.max(edition).over(Window.partitionBy(*source))).filter(F.col(edition) == F.col("_last")).drop("_last")
+    newest = live.groupBy(*source).agg(F.max(edition).alias("_last")).select(*[F.col(c).alias(f"_{c}") for c in source], "_last")
+    same = F.col(edition) == F.col("_last")
+    for c in source:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return live.join(newest, same, "left_semi")  # a row for each source, so no source falls to one task
 
 
 def new_links(links: DataFrame, ledger: DataFrame, key: tuple[str, ...] = ("bureau_code", "category", "filename", "published_on")) -> DataFrame:
@@ -27,7 +31,7 @@ def supersede_replaced(ledger: DataFrame, links: DataFrame, at) -> DataFrame:
     linked = links.select(*source, "filename", covers.alias("_covers"))
     here = linked.select(*source, "filename").distinct().withColumn("_linked", F.lit(True))
     other = linked.select(*source, "_covers").distinct().withColumn("_covered", F.lit(True))
-    both = ledger.withColumn("_covers", covers).join(F.broadcast(here), [*source, "filename"], "left").join(F.broadcast(other), [*source, "_covers"], "left")  # links of a few pages
+    both = ledger.withColumn("_covers", covers).join(here, [*source, "filename"], "left").join(other, [*source, "_covers"], "left")
     back = F.col("_linked") & F.col("superseded_at").isNotNull()
     gone = F.col("_linked").isNull() & F.coalesce("_covered", F.lit(False)) & F.col("superseded_at").isNull()
     kinds = dict(ledger.dtypes)

@@ -47,7 +47,7 @@ def extract_links(pages: DataFrame, rules: DataFrame) -> DataFrame:
     counts.  A page's links share its first date.
     """
     dated = pages.withColumn("published_on", page_date(nfkc(plain(F.col("html")))))
-    ruled = dated.join(F.broadcast(rules), "bureau")  # a few rules for each publisher
+    ruled = dated.join(rules, "bureau")
     scope = F.when(F.col("first_table"), F.regexp_extract("html", "(?is)<table\\b.*?</table>", 0)).otherwise(F.col("html"))
     row = r"(?is)<tr\b.*?</tr>"
     whole = ruled.withColumn("_scope", scope)

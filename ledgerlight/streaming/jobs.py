@@ -27,7 +27,7 @@ def access_stream(log: DataFrame, late: str = "1 day") -> DataFrame:
 def complete_editions(files: DataFrame, expected: DataFrame, edition: list[str]) -> DataFrame:
     """Editions of which as many parts arrived as are expected."""
     have = files.groupBy(*edition).agg(F.count_distinct("part").alias("have"))
-    return have.join(F.broadcast(expected), edition).filter("have = parts").select(*edition)  # a row for each edition
+    return have.join(expected, edition).filter("have = parts").select(*edition)
 
 
 def snapshot_stream(editions: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):

@@ -90,6 +90,23 @@ def test_origins_of_same_edition(spark):
     assert snapshot.reconcile_closures(rows, incoming.filter("k = 2"), 8, "2024-02-01", "2024-02-02 00:00:00", layout2)[1].count() == 1
 
 
+def test_snapshot_with_repeats_payloads_and_positions(spark):
+    layout = snapshot.Layout(key=("k",), attributes=("name", "address"), order="n")
+    master = spark.sql("""SELECT *, CAST(7 AS long) AS last_seen_download, timestamp'2024-01-01' AS created_at, timestamp'2024-01-01' AS updated_at, 35.0D AS latitude, 139.0D AS longitude, 1 AS geocode_level, address AS geocoded_address, upper(name) AS name_normalized
+      FROM VALUES (1, 'a', 'x', 1, 1, '01'), (2, 'b', 'x', 1, 1, '01'), (3, 'c', 'x', 2, 1, '01'), (4, 'd', 'x', 1, 1, '01'), (5, 'e', 'x', 1, 2, '01') AS t(k, name, address, status, institution_type, prefecture_code)""")
+    incoming = spark.sql("SELECT * FROM VALUES (1, 'old', 'y', 1, 1, '01', 1), (1, 'a', 'y', 1, 1, '01', 2), (2, 'bb', 'x', 1, 1, '01', 3), (3, 'c', 'x', 3, 1, '01', 4), (6, 'f', 'z', 1, 1, '02', 5), (6, 'g', 'z', 1, 1, '02', 6) AS t(k, name, address, status, institution_type, prefecture_code, n)")
+    after, logged = snapshot.apply_snapshot(master, incoming, 8, "2024-02-01", "2024-02-02 00:00:00", layout, derive={"name_normalized": F.upper("name")})
+    rows = {r.k: r for r in after.collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5, 6] and after.count() == 6 and after.columns == master.columns
+    assert (rows[1].name, rows[1].latitude, rows[1].geocode_level, rows[1].geocoded_address) == ("a", None, None, None)
+    assert (rows[2].name_normalized, rows[2].latitude) == ("BB", 35.0) and rows[6].name_normalized == "G" and rows[6].prefecture_code == "02"
+    told = {r.k: (r.event_type, r.origin, {a: tuple(c) for a, c in r.payload.items()}) for r in logged.collect()}
+    assert told == {1: (3, 2, {"address": ("x", "y")}), 2: (3, 2, {"name": ("b", "bb")}), 3: (1, 2, {"name": (None, "c"), "address": (None, "x")}), 6: (1, 1, {"name": (None, "g"), "address": (None, "z")})}
+    closed, gone = snapshot.reconcile_closures(after, incoming, 8, "2024-02-01", "2024-02-02 00:00:00", layout, origin=fixed.REPROCESSED)
+    assert [(r.k, r.origin, {a: tuple(c) for a, c in r.payload.items()}) for r in gone.collect()] == [(4, 3, {"name": ("d", None), "address": ("x", None)})]
+    assert {r.k for r in closed.filter("status = 2").collect()} == {4}
+
+
 def test_scope(spark):
     rows = spark.sql("SELECT '01' AS prefecture_code, 1 AS institution_type, 1 AS k UNION ALL SELECT '13', 4, 2")
     log = spark.sql("SELECT 1 AS k UNION ALL SELECT 2")
@@ -102,9 +119,12 @@ def test_scope(spark):
 
 def test_event_document(spark):
     change = "named_struct('old', '1', 'new', '2')"
-    df = spark.sql(f"SELECT 1 AS id, 3 AS event_type, 2 AS origin, date'2024-01-01' AS occurred_on, timestamp'2024-01-02' AS created_at, false AS is_reopening, map('status', {change}, 'founder_name', {change}, 'bureau_code', {change}, 'zz', {change}) AS payload")
+    lists = "named_struct('old', '[1,2]', 'new', CAST(NULL AS string))"
+    df = spark.sql(f"SELECT 1 AS id, 3 AS event_type, 2 AS origin, date'2024-01-01' AS occurred_on, timestamp'2024-01-02' AS created_at, false AS is_reopening, map('status', {change}, 'founder_name', {change}, 'bureau_code', {change}, 'zz', {change}, 'department_categories', {lists}) AS payload")
     r = events.event_document(df).head()
-    assert [c.attribute for c in r.changes] == ["status", "bureau", "zz"] and json.loads(r.changes[0].old) == {"code": "1", "label": "指定中"} and r.is_reopening is None
+    assert [c.attribute for c in r.changes] == ["status", "bureau", "department_categories", "zz"] and json.loads(r.changes[0].old) == {"code": "1", "label": "指定中"} and r.is_reopening is None
+    assert json.loads(r.changes[1].new)["label"] == "東北厚生局" and [c["label"] for c in json.loads(r.changes[2].old)] == ["内科", "外科"] and r.changes[2].new is None
+    assert tuple(r.event_type) == (3, "変更") and tuple(r.origin) == (2, "検知")
 
 
 def test_search_bounds(spark):
@@ -135,7 +155,12 @@ def test_closures_and_locations(spark):
     assert b is None or b.weekly == []
     src = spark.createDataFrame([("1", "院", "1", "2", "住所", "35.1", "0.0"), ("", "院", "1", "2", "x", "1", "1")], "ID string, N string, P string, M string, A string, Y string, X string")
     out = hours.locations_from_source(src, {"id": "ID", "name": "N", "prefecture": "P", "municipality": "M", "address": "A", "latitude": "Y", "longitude": "X"}, F.lit(1)).collect()
-    assert len(out) == 1 and out[0].municipality_code == "01002" and out[0].longitude is None
+    assert len(out) == 1 and out[0].municipality_code == "01002" and out[0].longitude is None and out[0].latitude is None and out[0].closures is None
+    full = spark.createDataFrame([("1", "医療法人 山田・医院", "13", "101", "千代田区1丁目2番3号", "35.1", "139.1", "ﾔﾏﾀﾞ", "www.a.example", "0", "1", "0")], "ID string, N string, P string, M string, A string, Y string, X string, K string, W string, D string, E string, H string")
+    names = {"id": "ID", "name": "N", "prefecture": "P", "municipality": "M", "address": "A", "latitude": "Y", "longitude": "X", "kana": "K", "website": "W", "weekly_mon": "D", "monthly_2_tue": "E", "holiday": "H"}
+    r = hours.locations_from_source(full, names, F.lit(1)).head()
+    assert (r.name_key, r.address_key, r.name_kana, r.website_url, float(r.latitude)) == ("山田医院", "千代田区1-2-3", "ヤマダ", "http://www.a.example", 35.1)
+    assert r.closures.weekly == ["mon"] and r.closures.monthly == [] and r.closures.holidays is True
     runs = hours.not_contiguous(spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), ("u", 3, "a")], "u string, n int, k string"), "k", "n", ["u"])
     assert [(r.k, r.runs) for r in runs.collect()] == [("a", 2)]
     assert hours.exclude_ids(spark.range(3), spark.createDataFrame([(1,)], "id long"), "id").count() == 2
@@ -270,9 +295,20 @@ def test_tables_with_headers(spark, tmp_path):
     rows = [(1, ["団体コード", "都道府県", "市区町村", "人口", "", "", "世帯"]), (2, ["", "", "", "男", "女", "計", "計"]), (3, ["011002", "北海道", "札幌市", "1", "2", "1,953", "9"]), (4, ["010006", "北海道", "", "1", "1", "5", "9"]), (5, ["11011", "x", "y", "1", "1", "77", "9"])]
     cells = spark.createDataFrame(rows, "row_no int, cells array<string>")
     assert sorted(tuple(r) for r in files.scan_population(cells).collect()) == [("01100", 1953), ("01101", 77)]
-    rx = spark.createDataFrame([(1, ["title"]), (2, ["都道府県", "区分", "コード", "開始日", "リフィル開始"]), (3, ["東京都", "医科", "12345", "46235", ""]), (4, ["東京都", "薬局", "1234567", "2026/8/2", "2026年9月1日"]), (5, ["?", "医科", "1", "46235", ""])], "row_no int, cells array<string>")
-    got = sorted(tuple(r) for r in files.scan_e_prescriptions(rx, {"prefecture": "都道府県", "category": "区分", "code": "コード", "started_on": "開始日", "refill_started_on": "リフィル"}, fixed.PREFECTURES, {"医科": "1", "薬局": "4"}).collect())
-    assert got == [("1310012345", D(2026, 8, 1), None), ("1341234567", D(2026, 8, 2), D(2026, 9, 1))]
+    rx = spark.createDataFrame([(1, ["title"]), (2, ["都道府県", "区分", "コード", "開始日", "リフィル開始"]), (3, ["東京都", "医科", "12345", "46235", ""]), (4, ["東京都", "薬局", "1234567", "2026/8/2", "2026年9月1日"]), (5, ["?", "?", "", "x", ""]), (6, ["北海道", "医科", "7", "46235.5", "2026/8/3 00:00"])], "row_no int, cells array<string>")
+    heads = {"prefecture": "都道府県", "category": "区分", "code": "コード", "started_on": "開始日", "refill_started_on": "リフィル"}
+    scan = lambda rows: files.scan_e_prescriptions(rows, heads, fixed.PREFECTURES, {"医科": "1", "薬局": "4"})
+    got = sorted(tuple(r) for r in scan(rx).collect())
+    assert got == [("0110000007", D(2026, 8, 1), D(2026, 8, 3)), ("1310012345", D(2026, 8, 1), None), ("1341234567", D(2026, 8, 2), D(2026, 9, 1))]
+    for cells, what in ((["?", "医科", "1", "46235", ""], "prefecture"), (["東京都", "?", "1", "46235", ""], "category"), (["東京都", "医科", "123456789", "46235", ""], "code"), (["東京都", "医科", "1", "soon", ""], "date"), (["東京都", "医科", "1", "", ""], "date"), (["東京都", "医科", "1", "46235", "x"], "date")):
+        with pytest.raises(Exception, match=what):
+            scan(rx.union(spark.createDataFrame([(9, cells)], rx.schema))).collect()
+    with pytest.raises(Exception, match="header"):
+        scan(rx.filter("row_no <> 2")).collect()
+    with pytest.raises(Exception, match="population"):
+        files.scan_population(cells_of := spark.createDataFrame([*rows, (6, ["11012", "x", "y", "1", "1", "n/a", "9"])], "row_no int, cells array<string>")).collect()
+    with pytest.raises(Exception, match="population"):
+        files.scan_population(cells_of.filter("row_no > 2")).collect()
 
 
 def test_ledger(spark):
@@ -314,20 +350,27 @@ def facilities(spark):
 
 def test_documents_and_export(spark, tmp_path):
     rows = facilities(spark)
-    doc = documents.facility_document(rows.withColumn("distance", F.lit(12.6))).head()
+    areas = spark.sql("SELECT '13101' AS code, '千代田区' AS name")
+    doc = documents.facility_document(rows.withColumn("distance", F.lit(12.6)), areas).head()
+    assert tuple(doc.bureau) == (1, "北海道厚生局") and tuple(doc.municipality) == ("13101", "千代田区") and doc.prefecture_code == "13"
     assert doc.location.level.label == "住居" and doc.distance == 13 and [c.label for c in doc.department_categories] == ["内科", "外科"] and "founder_name" not in doc
-    assert documents.facility_document(rows.withColumn("geocode_level", F.lit(None).cast("int"))).head().location is None
-    assert documents.facility_summary(rows).head().address == "東京都千代田"
+    assert documents.facility_document(rows.withColumn("geocode_level", F.lit(None).cast("int")), areas.limit(0)).head().location is None
+    short = documents.facility_summary(rows).head()
+    assert tuple(short) == (1, "=院", "病院", ["内科", "外科"], "東京都千代田", "03", "http://a.b", 35.1, 139.1)
+    assert documents.facility_summary(rows.withColumn("geocode_level", F.lit(None).cast("int"))).head().latitude is None
     loc = spark.sql("SELECT 'x1' AS source_id, date'2024-01-01' AS published_on, 'c' AS closures")
     sched = spark.sql("SELECT 'x1' AS source_id, array('内科') AS departments, 's' AS slots")
     assert documents.opening_hours_document(rows, loc, sched).head().hours.schedules[0].departments == ["内科"]
-    areas = spark.sql("SELECT '13101' AS code, '千代田区' AS name")
     flat = export.csv_rows(rows, areas, {1: "局"})
     assert flat.columns == list(export.CSV_COLUMNS) and flat.head().name == "'=院" and flat.head().department_categories == "内科|外科"
     path = str(tmp_path / "set")
     export.export_bulk(rows, areas, {1: "局"}, path)
     manifest = export.export_manifest(spark, path, rows, {"prefectures": []})
     assert sorted((f["format"], f["prefecture"], f["records"]) for f in manifest["files"] if f["bytes"] > 100) == [("csv", "13", 1), ("csv_all", None, 1), ("jsonl", "13", 1), ("jsonl_all", None, 1)]
+    root = str(tmp_path / "exports")
+    sets = [export.export_set(rows, areas, {1: "局"}, root, {"n": n})["set"] for n in range(3)]
+    assert export.current_manifest(spark, root)["set"] == sets[-1] and sorted(p.name for p in (tmp_path / "exports" / "sets").iterdir()) == sets[1:]
+    assert export.current_manifest(spark, str(tmp_path / "none")) is None
     assert not export.should_export(rows, {"prefectures": []}, manifest) and export.should_export(rows, {"prefectures": ["13"]}, manifest)
     with pytest.raises(ValueError, match="kept"):
         export.should_export(rows.limit(0), {}, None)
