@@ -94,30 +94,36 @@ def current_manifest(spark, root: str) -> dict | None:
     return json.loads(spark.read.text(f"{root}/manifest.json", wholetext=True).head()[0])
 
 
-def digests(rows: DataFrame, key: str, line: str, order: list[str]) -> DataFrame:
+def digests(rows: DataFrame, key: str | list[str], line: str, order: list[str]) -> DataFrame:
     """For each key its records, their bytes and the sha256 of its lines one after another, in order.
 
-    A digest goes through the lines one by one, so no group is ever held, as a list or as a text.
+    A digest goes through the lines one by one, so no group is ever held, as a
+    list or as a text; a key's lines are read by one task, so large sets want a
+    key that parts them.
     """
+    keys = [key] if isinstance(key, str) else key
+    kinds = dict(rows.dtypes)
 
     def run(batches):
-        key_now, records, size, digest = None, 0, 0, None
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key_now, records, size, digest.hexdigest()), kinds, strict=True)], names)
+        now, records, size, digest, schema = None, 0, 0, None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*now, records, size, digest.hexdigest()), schema, strict=True)], [*keys, "records", "bytes", "sha256"])
         for batch in batches:
-            kinds, names = [batch.schema.types[0], pa.int64(), pa.int64(), pa.string()], [key, "records", "bytes", "sha256"]
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest is None or k != key_now:
+            schema = [*batch.schema.types[:-1], pa.int64(), pa.int64(), pa.string()]
+            *own, texts = (c.to_pylist() for c in batch.columns)
+            for k, text in zip(zip(*own, strict=True), texts, strict=True):
+                if digest is None or k != now:
                     if digest is not None:
                         yield row()
-                    key_now, records, size, digest = k, 0, 0, hashlib.sha256()
+                    now, records, size, digest = k, 0, 0, hashlib.sha256()
                 data = (text or "").encode()
                 records, size = records + 1, size + len(data)
                 digest.update(data)
         if digest is not None:
             yield row()
 
-    ordered = rows.repartition(key).sortWithinPartitions(key, *[F.asc_nulls_last(c) for c in order])
-    return ordered.select(key, line).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, records long, bytes long, sha256 string")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in order])
+    made = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return ordered.select(*keys, line).mapInArrow(run, f"{made}, records long, bytes long, sha256 string")
 
 
 def export_manifest(spark, path: str, rows: DataFrame, scope: dict) -> dict:

@@ -7,31 +7,15 @@ whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import access_log, events, export, hours, matching, records, search, snapshot, stats
 from ..sources import ledger, links
+from ..streaming import jobs
+from .base import QUERIES, SQL, query, scratch, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["QUERIES", "SQL"]
 
 
 # ---- statistics
@@ -102,7 +86,8 @@ def level_report(spark, sf_dir):
 
 # ---- snapshot comparison: edition A lacks every tenth order, B others, and some priorities changed
 
-LAYOUT = snapshot.Layout(key=("o_orderkey",), attributes=("o_orderpriority", "o_totalprice"), completeness=("institution_type", "prefecture_code"))
+# Edition B also holds every fourth order twice; the later row counts.
+LAYOUT = snapshot.Layout(key=("o_orderkey",), attributes=("o_orderpriority", "o_totalprice"), order="row_no", described=("o_orderpriority",))
 SEEN = "2024-02-01 00:00:00"
 EDITIONS_SQL = """
 WITH base AS (SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderstatus AS institution_type, CAST(o_custkey % 5 AS VARCHAR) AS prefecture_code FROM orders),
@@ -121,7 +106,8 @@ def editions(spark, sf_dir):
     base = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus AS institution_type", "CAST(o_custkey % 5 AS STRING) AS prefecture_code")
     a = base.filter("o_orderkey % 10 <> 0").withColumn("status", F.when(F.col("o_orderkey") % 11 == 0, 2).otherwise(1))
     b = base.filter("o_orderkey % 10 <> 1 AND NOT (institution_type = 'P' AND prefecture_code = '3')").withColumn("status", F.lit(1))
-    b = b.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 == 0, "changed").otherwise(F.col("o_orderpriority")))
+    b = b.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 == 0, "changed").otherwise(F.col("o_orderpriority"))).withColumn("row_no", F.lit(2))
+    b = b.unionByName(b.filter("o_orderkey % 4 = 0").withColumns({"o_orderpriority": F.lit("earlier"), "row_no": F.lit(1)}))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
     master = a.withColumns({"last_seen_download": F.lit(1).cast("long"), "created_at": at, "updated_at": at})
     return master, b
@@ -142,36 +128,54 @@ def snapshot_diff(spark, sf_dir):
 
 
 @query(EDITIONS_SQL + """
-SELECT o_orderkey, CASE WHEN outcome = 'updated' THEN 3 ELSE 1 END AS event_type, 2 AS origin, CASE WHEN outcome = 'updated' THEN 'o_orderpriority' ELSE '' END AS attributes
+SELECT o_orderkey, CASE WHEN outcome = 'updated' THEN 3 ELSE 1 END AS event_type, 2 AS origin, CASE WHEN outcome <> 'updated' OR old_p <> new_p THEN 'o_orderpriority' ELSE 'status' END AS attributes,
+CASE WHEN outcome = 'updated' AND old_p <> new_p THEN old_p END AS old_value, CASE WHEN outcome <> 'updated' OR old_p <> new_p THEN new_p END AS new_value
 FROM c WHERE outcome IN ('created', 'reopened', 'updated')""")
 def snapshot_events(spark, sf_dir):
     master, incoming = editions(spark, sf_dir)
-    layout = snapshot.Layout(key=(*LAYOUT.key, *LAYOUT.completeness), attributes=LAYOUT.attributes)
-    _, logged = snapshot.apply_snapshot(master, incoming, 2, "2024-02-01", SEEN, layout)
-    return logged.select("o_orderkey", "event_type", "origin", F.array_join(F.map_keys("payload"), ",").alias("attributes"))
+    _, logged = snapshot.apply_snapshot(master, incoming, 2, "2024-02-01", SEEN, LAYOUT)
+    told = F.col("payload")["o_orderpriority"]
+    return logged.select("o_orderkey", "event_type", "origin", F.array_join(F.map_keys("payload"), ",").alias("attributes"), told["old"].alias("old_value"), told["new"].alias("new_value"))
 
 
 @query(EDITIONS_SQL + """
-SELECT o_orderkey FROM c WHERE missing AND old_status <> 2 AND NOT (institution_type = 'P' AND prefecture_code = '3')""")
+SELECT o_orderkey, 2 AS origin, old_p AS old_value FROM c WHERE missing AND old_status <> 2 AND NOT (institution_type = 'P' AND prefecture_code = '3')""")
 def snapshot_closures(spark, sf_dir):
     master, incoming = editions(spark, sf_dir)
-    layout = snapshot.Layout(key=(*LAYOUT.key, *LAYOUT.completeness), attributes=LAYOUT.attributes)
-    after, _ = snapshot.apply_snapshot(master, incoming, 2, "2024-02-01", SEEN, layout)
-    _, closed = snapshot.reconcile_closures(after, incoming, 2, "2024-02-01", SEEN, layout)
-    return closed.select("o_orderkey")
+    after, _ = snapshot.apply_snapshot(master, incoming, 2, "2024-02-01", SEEN, LAYOUT)
+    _, closed = snapshot.reconcile_closures(after, incoming, 2, "2024-02-01", SEEN, LAYOUT)
+    return closed.select("o_orderkey", "origin", F.col("payload")["o_orderpriority"]["old"].alias("old_value"))
 
 
-@query(EDITIONS_SQL + """
+MASTER_SQL = """
 SELECT o_orderkey, CASE WHEN missing AND NOT (institution_type = 'P' AND prefecture_code = '3') THEN 2 WHEN missing THEN old_status ELSE 1 END AS status,
-CASE WHEN missing THEN old_p ELSE new_p END AS o_orderpriority, CAST(CASE WHEN missing THEN 1 ELSE 2 END AS BIGINT) AS last_seen_download FROM c""")
+CASE WHEN missing THEN old_p ELSE new_p END AS o_orderpriority, CAST(CASE WHEN missing THEN 1 ELSE 2 END AS BIGINT) AS last_seen_download FROM c"""
+
+
+@query(EDITIONS_SQL + MASTER_SQL)
 def snapshot_master(spark, sf_dir):
     master, incoming = editions(spark, sf_dir)
-    layout = snapshot.Layout(key=(*LAYOUT.key, *LAYOUT.completeness), attributes=LAYOUT.attributes)
-    after, _ = snapshot.apply_snapshot(master, incoming, 2, "2024-02-01", SEEN, layout)
-    closed, _ = snapshot.reconcile_closures(after, incoming, 2, "2024-02-01", SEEN, layout)
+    after, _ = snapshot.apply_snapshot(master, incoming, 2, "2024-02-01", SEEN, LAYOUT)
+    closed, _ = snapshot.reconcile_closures(after, incoming, 2, "2024-02-01", SEEN, LAYOUT)
     return closed.select("o_orderkey", "status", "o_orderpriority", "last_seen_download")
 
 
+@query(EDITIONS_SQL + MASTER_SQL)
+def snapshot_streamed(spark, sf_dir):
+    """The edition arrives as a stream, in two parts."""
+    store = scratch(spark, "snapshots")
+    master, incoming = editions(spark, sf_dir)
+    master.write.parquet(f"{store}/master/0")
+    parts = incoming.withColumns({"download_id": F.lit(2).cast("long"), "published_on": F.lit("2024-02-01").cast("date"), "part": (F.col("o_orderkey") % 2).cast("int")})
+    for part in (0, 1):
+        parts.filter(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{store}/inbox")
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{store}/inbox")
+    expected = spark.sql("SELECT CAST(2 AS long) AS download_id, 2 AS parts")
+    job = jobs.run_snapshots(stream, expected, store, LAYOUT, SEEN, f"{store}/checkpoint")
+    job.awaitTermination()
+    return spark.read.parquet(f"{store}/master/{job.lastProgress['batchId'] + 1}").select("o_orderkey", "status", "o_orderpriority", "last_seen_download")
+
+
 @query(EDITIONS_SQL + "SELECT o_orderkey, 'gone' AS side FROM c WHERE missing UNION ALL SELECT o_orderkey, 'new' FROM c WHERE fresh")
 def snapshot_keys(spark, sf_dir):
     fresh, gone = snapshot.appeared_and_gone(*editions(spark, sf_dir), ["o_orderkey"])
@@ -451,11 +455,11 @@ def unpivot_hours(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_suppkey, l_linenumber, string_agg(CAST(CAST(l_quantity % 3 AS INTEGER) AS VARCHAR), ',' ORDER BY l_orderkey, l_partkey, l_quantity % 3) AS slots FROM lineitem WHERE l_orderkey % 50 = l_suppkey % 50 GROUP BY ALL)
+WITH s AS (SELECT l_suppkey, l_linenumber, string_agg(CAST(CAST(l_quantity % 3 AS INTEGER) AS VARCHAR), ',' ORDER BY l_orderkey, l_partkey, l_quantity % 3) AS slots FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS departments, count(*) AS n FROM s GROUP BY l_suppkey, slots
 """)
 def equal_schedules(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = l_suppkey % 50").withColumn("ord", F.struct("l_orderkey", "l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("ord", F.struct("l_orderkey", "l_partkey"))
     grouped = hours.group_equal_schedules(rows, ["l_suppkey"], "l_linenumber", F.struct((F.col("l_quantity") % 3).cast("int").alias("q")), "ord")
     return grouped.select("l_suppkey", F.array_join(F.transform("departments", lambda d: d.cast("string")), ",").alias("departments"), F.size("departments").cast("long").alias("n"))
 
@@ -492,8 +496,7 @@ def longest_prefix(spark, sf_dir):
     one = docs.select("lang", "doc_id", F.get(words, F.lit(0)).alias("name"))
     two = docs.select("lang", "doc_id", F.array_join(F.slice(words, 1, 2), " ").alias("name"))
     names = one.unionByName(two).filter("name <> ''").groupBy("lang", "name").agg(F.min("doc_id").alias("code"))
-    found = matching.longest_prefix(docs, names, ["lang"], "text", ["doc_id"])
-    return found.join(docs, "doc_id").select("doc_id", "code", (F.length("text") - F.length("remainder")).alias("n"))
+    return matching.prefix_matches(docs, names, ["lang"], "text", ["doc_id"]).select("doc_id", "code", F.col("n").cast("long").alias("n"))
 
 
 @query("""
@@ -531,13 +534,6 @@ def marker_classify(spark, sf_dir):
     return stats.count_by_category(table(spark, sf_dir, "documents").select(found.alias("categories")), "categories")
 
 
-@query()
-def normalize_text(spark, sf_dir):
-    from ..functions.text import normalize_for_matching
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize_for_matching(F.col("text")), 256).alias("normalized_sha256"))
-
-
 # ---- access log: status from the value, address from the user, path from the type
 
 
@@ -634,9 +630,12 @@ def export_rows(spark, sf_dir):
 
 
 @query("""
-SELECT c_nationkey, count(*) AS records, CAST(sum(octet_length(encode(line))) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY c_custkey)) AS sha256
-FROM (SELECT c_nationkey, c_custkey, c_custkey || ',' || c_name || ',' || c_mktsegment || chr(13) || chr(10) AS line FROM customer) GROUP BY 1""")
+SELECT c_nationkey, part, count(*) AS records, CAST(sum(octet_length(encode(line))) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY c_custkey)) AS sha256
+FROM (SELECT c_nationkey, c_custkey // 1000 AS part, c_custkey, c_custkey || ',' || c_name || ',' || c_mktsegment || chr(13) || chr(10) AS line FROM customer) GROUP BY 1, 2""")
 def manifest(spark, sf_dir):
     line = F.concat(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), F.lit("\r\n"))
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", line.alias("line"))
-    return export.digests(rows, "c_nationkey", "line", ["c_custkey", "line"])
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.expr("c_custkey DIV 1000").alias("part"), "c_custkey", line.alias("line"))
+    return export.digests(rows, ["c_nationkey", "part"], "line", ["c_custkey", "line"])
+
+
+from . import mapped, moved, placed, served  # noqa: E402, F401  (they register further queries)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import scanner_path
+from ..operators.snapshot import Layout, apply_snapshot, reconcile_closures
 from ..sources.files import LOG
 
 
@@ -30,6 +31,38 @@ def complete_editions(files: DataFrame, expected: DataFrame, edition: list[str])
     return have.join(expected, edition).filter("have = parts").select(*edition)
 
 
+def run_snapshots(parts: DataFrame, expected: DataFrame, store: str, layout: Layout, seen_at, checkpoint: str):
+    """Compares editions with the master as their parts arrive; ``parts`` is a stream of rows with download_id, published_on and part.
+
+    ``expected`` (download_id, parts) says when an edition is whole; rows of
+    others wait.  ``store`` holds master/0, the master to begin with.  Batch n
+    reads what batch n - 1 left and overwrites only what is its own: master/n+1,
+    waiting/n and events/batch=n.  So a batch that runs again gives the same.
+    """
+
+    def apply(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{store}/waiting/{n - 1}") if n else batch.limit(0)
+        batch.unionByName(before).write.mode("overwrite").parquet(f"{store}/arrived/{n}")
+        arrived = spark.read.schema(batch.schema).parquet(f"{store}/arrived/{n}")
+        master = spark.read.parquet(f"{store}/master/{n}")
+        dates = arrived.groupBy("download_id").agg(F.min("published_on").alias("published_on"))
+        whole = complete_editions(arrived, expected, ["download_id"]).join(dates, "download_id")
+        done = whole.orderBy("published_on", "download_id").collect()  # a row for each edition of this batch
+        for at, e in enumerate(done):
+            rows = arrived.filter(F.col("download_id") == e["download_id"])
+            after, logged = apply_snapshot(master, rows, e["download_id"], e["published_on"], seen_at, layout)
+            closed, gone = reconcile_closures(after, rows, e["download_id"], e["published_on"], seen_at, layout)
+            logged.unionByName(gone).write.mode("overwrite").parquet(f"{store}/events/batch={n}/edition={at}")
+            closed.write.mode("overwrite").parquet(f"{store}/steps/{n}-{at}")
+            master = spark.read.parquet(f"{store}/steps/{n}-{at}")
+        master.write.mode("overwrite").parquet(f"{store}/master/{n + 1}")
+        rest = arrived.filter(~F.col("download_id").isin([e["download_id"] for e in done])) if done else arrived
+        rest.write.mode("overwrite").parquet(f"{store}/waiting/{n}")
+
+    return snapshot_stream(parts, apply, checkpoint)
+
+
 def snapshot_stream(editions: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs ``apply(edition rows, batch id)`` for each micro-batch of whole editions; batch ids make its writes repeatable."""
     return editions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
