@@ -170,7 +170,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settin
         for batch in batches:
             for part in slices(batch):
                 sums = []
-                for text in part.column(at).to_pylist():
+                for text in part.column(at).cast(pa.string()).to_pylist():
                     index, values = features(text or "")
                     sums.append(float(weights[index] @ values) + intercept)
                 yield part.filter(pa.array(logistic(np.array(sums)) >= settings.threshold))

@@ -71,6 +71,62 @@ def test_ftrl_matches_plain_updates():
     assert np.allclose(f.weights(np.arange(17)), [weight(i) for i in range(17)])
 
 
+def plain_features(text, bits):
+    """Index and weight of hashed words and pairs, with Python numbers."""
+    hashes = [zlib.crc32(w.encode()) for w in re.findall(r"\w+|[^\w\s]+", text.lower())]
+    mask = (1 << bits) - 1
+    keys = [(h ^ (h >> 15)) & mask for h in hashes]
+    keys += [((a * 0x9E3779B1 + b + 1) * 0x85EBCA6B % (1 << 64) >> 13) & mask for a, b in zip(hashes, hashes[1:], strict=False)]
+    weights = {k: math.log1p(n) for k, n in Counter(keys).items()}
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    return {k: w / norm for k, w in weights.items()}
+
+
+def plain_quality(docs, labels, s):
+    """Scores of all documents by a dictionary for each number of the model, updated row by row."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    texts = dict(docs)
+    taught = sorted((zlib.crc32(str(i).encode()), i, y) for i, y in labels.items() if i in texts and not low(i, 5))
+    for _ in range(s.epochs):
+        for _, i, y in taught:
+            row = [*plain_features(texts[i] or "", s.bits).items(), ("intercept", 1.0)]
+            p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in row)))
+            for k, v in row:
+                w, g = weight(k), (p - y) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / s.alpha * w
+                n[k] += g * g
+    return {i: 1 / (1 + math.exp(-sum(weight(k) * v for k, v in [*plain_features(t or "", s.bits).items(), ("intercept", 1.0)]))) for i, t in docs}
+
+
+def test_quality_scores_match_a_plain_version(spark):
+    docs = [(i, sentence(20) if i % 3 else " | ".join(sentence(15).split(" "))) for i in range(80)] + [(80, None), (81, ""), (82, "é Ünï — ok!!"), (83, sentence(3000))]
+    labels = {i: int(i % 3 != 0) for i in range(70)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    for bits in (18, 6):
+        settings = quality.Settings(bits=bits)
+        want = plain_quality(docs, labels, settings)
+        got = {r.doc_id: r.score for r in quality.classify(frame, marks, settings).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[i], want[i], abs_tol=1e-4) for i in want)
+
+
+def test_quality_of_repeated_rows_and_of_one_id_with_many_texts(spark):
+    docs = [(i, sentence(20)) for i in range(40)]
+    frame = spark.createDataFrame([*docs, *docs, *((3, sentence(20)) for _ in range(200))], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = quality.classify(frame, marks).collect()
+    assert len(rows) == 280
+    scores = defaultdict(set)
+    for r in rows:
+        scores[r.doc_id].add(r.score)
+    assert all(len(s) == 1 for i, s in scores.items() if i != 3)
+
+
 def plain_lm(train, texts):
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
     words, pairs = Counter(), Counter()

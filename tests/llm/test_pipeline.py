@@ -46,6 +46,37 @@ def test_stages(spark, tmp_path):
     assert place(packed) == place(again)
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def written(spark, path, rows, labels, extra=""):
+    spark.createDataFrame(rows, SCHEMA + extra).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_empty_documents_and_labels(spark, tmp_path):
+    rows = [(i, sentence(40), "en", "s", 9) for i in range(5)]
+    assert corpus_pipeline.run(spark, written(spark, tmp_path / "a", [], [])).count() == 0
+    assert corpus_pipeline.run(spark, written(spark, tmp_path / "b", [], [(1, 1, 0)])).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, written(spark, tmp_path / "c", rows, [])).collect()} == set(range(5))
+
+
+def test_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rows = [(i, sentence(40), "en", "s", 9, "mine", 7) for i in range(12)]
+    rows += rows[:4] + [(5, sentence(40), "de", "t", 9, "other", 8), (None, sentence(30), None, None, None, None, None), (None, None, None, None, None, None, None)]
+    path = written(spark, tmp_path, rows, [], ", row string, node long")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        docs = out
+    kept = docs.collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == sorted({(r[0], r[1]) for r in rows if r[0] is not None})
+    assert sum(r.doc_id is None for r in kept) == 2 and {(r.row, r.node) for r in kept if r.doc_id == 5} == {("mine", 7), ("other", 8)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == {*range(12), None}
+
+
 def test_registration():
     import __spark_entry__
 

@@ -77,6 +77,12 @@ def test_bpe_round_trip(spark, docs, expected):
     assert bpe.round_trip(docs.limit(0), BYTE).count() == 0
 
 
+def test_repeated_rows_encode_alike(spark, docs):
+    twice = docs.union(docs.select("doc_id", "text", "ids", "piece"))
+    rows = bpe.encode_documents(twice, BYTE).collect()
+    assert len(rows) == 2 * len(TEXTS) and len({(r.doc_id, bytes(r.ids)) for r in rows}) == len(TEXTS)
+
+
 def test_every_token_encodes_to_itself():
     b = bpe.load(BYTE)
     assert all(b.piece(t) == [i] for i, t in enumerate(b.tokens))
