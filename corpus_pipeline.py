@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the documents of the next.  All but the last
-return the columns of the documents.  The stages work on whatever rows and
-columns they are given; see the operators for nulls, empty texts and the like.
+return the columns of the documents, whatever else and by whatever name stands
+among them.  Null and empty texts are judged like others, rows that repeat a
+doc_id with its text leave one row, rows of one doc_id with different texts are
+judged apart, rows without a doc_id are never near-duplicates, an empty table
+gives an empty result, and without labels nothing is rejected.
 """
 
 from __future__ import annotations
