@@ -23,7 +23,8 @@ never a component's id unless all its ids are null.
 
 from __future__ import annotations
 
-from itertools import combinations
+from contextlib import ExitStack, contextmanager
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spread_join, staged, whole_text
+from .common import SharedFiles, fresh_path, slices, spread_join, staged, whole_text
 from .components import components
 
 SEED = 42
@@ -113,14 +114,24 @@ def block_keys(budget: int, nodes: int, lane_rows: int = LANE_ROWS) -> list[Colu
     return [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(chosen)]
 
 
-def band_keys(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """A key for each band: the hash of the least values that its random functions (bands, rows) take on the shingles."""
-    bands, rows = factors.shape
-    least = np.full((bands * rows, 1), MASK, "u8")
+def least_values(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The least value that each random function takes on a set of shingles."""
+    least = np.full((factors.size, 1), MASK, "u8")
     for at in range(0, len(shingles), 256):
         values = shingles[None, at : at + 256] * factors.reshape(-1, 1) + shifts.reshape(-1, 1)
         np.minimum(least, values.min(1, keepdims=True), out=least)
-    return np.fromiter((xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows))), "u8", bands)
+    return least.reshape(factors.shape)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band (bands, rows) of least values."""
+    return np.fromiter((xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least)), "u8", len(least))
+
+
+def random_functions(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of as many random functions, the same ones always."""
+    random = np.random.default_rng(SEED)
+    return random.integers(0, 1 << 64, (bands, rows), dtype="u8") | np.uint64(1), random.integers(0, 1 << 64, (bands, rows), dtype="u8")
 
 
 def set_digest(shingles: np.ndarray) -> int:
@@ -203,22 +214,71 @@ def compare_leaves(words: np.ndarray, pairs: np.ndarray, budget: int, forest: Fo
         at = to
 
 
-def links(nodes: DataFrame, keys: list[Column], budget: int, size: int = 1, lane_rows: int = LANE_ROWS) -> DataFrame:
-    """(a, b) of linked nodes (``node`` long, f0.., and what the keys use), a spanning forest of each group of rows."""
-    spark = nodes.sparkSession
-    prints = [f"f{k}" for k in range(size)]
-    rows = nodes.select("node", *prints, F.explode(F.array(*keys)).alias("key"))
+def in_lanes(rows: DataFrame, columns: list[str], lane_rows: int) -> DataFrame:
+    """Rows (key, node, columns) so dealt and sorted that each task has whole groups (key, pair) of at most two lanes.
+
+    A key of more than ``lane_rows`` rows is dealt into lanes, and each pair of
+    its lanes is a group.
+    """
     large = rows.groupBy("key").count().filter(F.col("count") > lane_rows).select("key", F.ceil(F.col("count") / lane_rows).cast("int").alias("lanes"))
     dealt = rows.join(large, "key", "left").withColumn("lane", F.pmod(F.xxhash64("node", "key"), F.coalesce("lanes", F.lit(1))).cast("int"))
     across = F.when(F.col("lanes").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("lanes") - 1))
-    dealt = dealt.select("key", "lane", "node", *prints, F.explode(across).alias("with"))
+    dealt = dealt.select("key", "lane", "node", *columns, F.explode(across).alias("with"))
     pair = F.shiftleft(F.least("lane", "with").cast("long"), 32) + F.greatest("lane", "with")
-    dealt = dealt.select("key", pair.alias("pair"), "lane", "node", *prints)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "lane")
+    dealt = dealt.select("key", pair.alias("pair"), "lane", "node", *columns)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "lane")
+
+
+def over_groups(batches, solve):
+    """``solve(table, groups)`` for runs of whole groups of ``in_lanes``; groups are (rows from, rows to, end of the first lane)."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        whole, held = _whole_groups(table, last=False)
+        if whole is not None:
+            yield solve(*whole)
+    if held is not None:
+        whole, _ = _whole_groups(held, last=True)
+        if whole is not None:
+            yield solve(*whole)
+
+
+def _whole_groups(table, last: bool):
+    """((rows of whole groups, groups), the rows left over)."""
+    table = table.combine_chunks()
+    n = table.num_rows
+    if not n:
+        return None, None
+    key, pair, lane = (table.column(c).to_numpy() for c in ("key", "pair", "lane"))
+    change = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+    bounds = np.concatenate([[0], change, [n]])
+    if not last:
+        bounds = bounds[:-1]
+    to = int(bounds[-1])
+    groups = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a > 1:
+            low, high = int(pair[a]) >> 32, int(pair[a]) & 0xFFFFFFFF
+            groups.append((a, b, b if low == high else a + int(np.searchsorted(lane[a:b], low, side="right"))))
+    return ((table.slice(0, to), groups) if to else None), (table.slice(to) if not last else None)
+
+
+def _forest_links(forest: Forest, node: np.ndarray):
+    moved = np.flatnonzero(forest.of != np.arange(len(node)))
+    a, b = node[moved], node[forest.of[moved]]
+    apart = a != b
+    return pa.record_batch([pa.array(a[apart]), pa.array(b[apart])], ["a", "b"])
+
+
+def links(nodes: DataFrame, keys: list[Column], budget: int, size: int = 1, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """(a, b) of linked nodes (``node`` long, f0.., and what the keys use), a spanning forest of each group of rows."""
+    prints = [f"f{k}" for k in range(size)]
+    rows = nodes.select("node", *prints, F.explode(F.array(*keys)).alias("key"))
 
-    def solve(groups: list[tuple[int, int, int]], node: np.ndarray, words: np.ndarray):
-        """Links of whole groups (rows from, rows to, rows of the first lane)."""
+    def solve(table, groups):
+        node = table.column("node").to_numpy()
+        words = np.stack([table.column(p).to_numpy() for p in prints], 1).view("u8")
         order = np.arange(len(node))
         starts = []
         for lo, hi, mid in groups:
@@ -228,43 +288,9 @@ def links(nodes: DataFrame, keys: list[Column], budget: int, size: int = 1, lane
         node, words = node[order], words[order]
         forest = Forest(len(node))
         trie_join(words, starts, budget, forest)
-        moved = np.flatnonzero(forest.of != np.arange(len(node)))
-        a, b = node[moved], node[forest.of[moved]]
-        apart = a != b
-        return pa.record_batch([pa.array(a[apart]), pa.array(b[apart])], ["a", "b"])
+        return _forest_links(forest, node)
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            held = yield from whole_groups(table, last=False)
-        if held is not None:
-            yield from whole_groups(held, last=True)
-
-    def whole_groups(table, last: bool):
-        table = table.combine_chunks()
-        n = table.num_rows
-        if not n:
-            return None
-        key, pair, lane = (table.column(c).to_numpy() for c in ("key", "pair", "lane"))
-        change = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-        bounds = np.concatenate([[0], change, [n]])
-        if not last:
-            bounds = bounds[:-1]
-        to = int(bounds[-1])
-        if to:
-            groups = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a > 1:
-                    low, high = int(pair[a]) >> 32, int(pair[a]) & 0xFFFFFFFF
-                    mid = b if low == high else a + int(np.searchsorted(lane[a:b], low, side="right"))
-                    groups.append((a, b, mid))
-            node = table.column("node").to_numpy()[:to]
-            words = np.stack([table.column(p).to_numpy()[:to] for p in prints], 1).view("u8")
-            yield solve(groups, node, words)
-        return table.slice(to) if not last else None
-
-    return grouped.mapInArrow(run, "a long, b long")
+    return in_lanes(rows, prints, lane_rows).mapInArrow(lambda batches: over_groups(batches, solve), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, lane_rows: int = LANE_ROWS) -> DataFrame:
@@ -292,13 +318,11 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, node (the digest of the set of distinct shingles), n (its size), f0 (its fingerprint) and keys (one for each band, none for an empty set)."""
 
     def run(batches):
-        random = np.random.default_rng(SEED)
-        factors = random.integers(0, 1 << 64, (bands, rows), dtype="u8") | np.uint64(1)
-        shifts = random.integers(0, 1 << 64, (bands, rows), dtype="u8")
+        functions = random_functions(bands, rows)
         for batch in batches:
             for part in slices(batch):
                 sets = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
-                keys = [band_keys(s, factors, shifts).view("i8") if len(s) else [] for s in sets]
+                keys = [band_keys(least_values(s, *functions)).view("i8") if len(s) else [] for s in sets]
                 prints = np.array([majority(s) for s in sets], "u8").view("i8")
                 arrays = [pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.record_batch([part.column("doc_id"), *arrays], ["doc_id", "node", "n", "f0", "keys"])
@@ -352,6 +376,128 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+class SetFiles:
+    """Sets of shingles in files of the shared folder, with their band keys and a byte of each least value; read where they lie.
+
+    A file holds the sets of the nodes of one shard one after another, then the
+    nodes in order, where their sets begin, the keys, the bytes, and the number
+    of nodes.
+    """
+
+    def __init__(self, url: str, shards: int, bands: int, rows: int):
+        self.url, self.shards, self.bands, self.rows = url, shards, bands, rows
+
+    def write(self, sets: DataFrame) -> None:
+        """Writes the files of ``sets`` (node, shingles)."""
+
+        def run(batches):
+            functions = random_functions(self.bands, self.rows)
+            rows = (r for b in batches for r in zip(b.column("shard").to_pylist(), b.column("node").to_pylist(), b.column("shingles"), strict=True))
+            for shard, own in groupby(rows, lambda r: r[0]):
+                nodes, starts, keys, marks = [], [0], [], []
+                with SharedFiles(self.url).writer(f"part-{shard}") as add:
+                    for _, node, shingles in own:
+                        data = shingles.as_buffer()
+                        least = least_values(np.frombuffer(data, "<u8"), *functions)
+                        add(data)
+                        nodes.append(node)
+                        starts.append(starts[-1] + data.size // 8)
+                        keys.append(band_keys(least).tobytes())
+                        marks.append(least.astype("u1").tobytes())
+                    for numbers in (nodes, starts):
+                        add(np.array(numbers, "<i8").tobytes())
+                    add(b"".join(keys))
+                    add(b"".join(marks))
+                    add(np.array([len(nodes), starts[-1]], "<i8").tobytes())
+                yield pa.record_batch([[len(nodes)]], ["n"])
+
+        dealt = sets.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(self.shards)).cast("int")).repartition(self.shards, "shard")
+        dealt.sortWithinPartitions("shard", "node").select("shard", "node", "shingles").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+    @contextmanager
+    def opened(self):
+        """A function from nodes with their shards to (keys, bytes, function from a place to its set)."""
+        files, shards = SharedFiles(self.url), {}
+        with ExitStack() as stack:
+
+            def load(k: int):
+                if k not in shards:
+                    size = files.size(f"part-{k}")
+                    read = stack.enter_context(files.ranges(f"part-{k}"))
+                    n, total = np.frombuffer(read(size - 16, 16), "<i8").tolist()
+                    at = 8 * total
+                    sizes = (8 * n, 8 * n + 8, 8 * n * self.bands, n * self.bands * self.rows)
+                    kinds = ("<i8", "<i8", "<u8", "u1")
+                    found = []
+                    for wide, kind in zip(sizes, kinds, strict=True):
+                        found.append(np.frombuffer(read(at, wide), kind))
+                        at += wide
+                    shards[k] = read, found[0], found[1], found[2].reshape(n, -1), found[3].reshape(n, -1)
+                return shards[k]
+
+            def find(nodes: np.ndarray, of: np.ndarray):
+                keys, marks = np.zeros((len(nodes), self.bands), "<u8"), np.zeros((len(nodes), self.bands * self.rows), "u1")
+                places: list = [None] * len(nodes)
+                for k in np.unique(of).tolist():
+                    read, known, starts, own_keys, own_marks = load(k)
+                    here = np.flatnonzero(of == k)
+                    at = np.searchsorted(known, nodes[here])
+                    keys[here], marks[here] = own_keys[at], own_marks[at]
+                    for i, p in zip(here.tolist(), at.tolist(), strict=True):
+                        places[i] = (read, 8 * int(starts[p]), 8 * int(starts[p + 1] - starts[p]))
+                return keys, marks, lambda i: np.frombuffer(places[i][0](places[i][1], places[i][2]), "<u8")
+
+            yield find
+
+
+def similar_in_bands(rows: DataFrame, sets: SetFiles, similarity: float, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """(a, b) of similar nodes that share the key of a band and are not of one root (key, band, node, n, root), a spanning forest of each group.
+
+    All pairs of a group are looked at by the task that has it: a pair belongs
+    to the first band that its nodes share, so it is looked at once.  Bytes of
+    least values tell most pairs apart (one at the bound is passed over with a
+    probability below 1e-6); those that stay are judged by the sets themselves.
+    No pair leaves the task unless it is a link.
+    """
+    functions = sets.bands * sets.rows
+    enough = functions * similarity - 5 * (functions * similarity * (1 - similarity)) ** 0.5
+    shard = F.pmod(F.xxhash64("node"), F.lit(sets.shards)).cast("int")
+
+    def run(batches):
+        with sets.opened() as find:
+
+            def solve(table, groups):
+                node, shards, n, root, band = (table.column(c).to_numpy() for c in ("node", "shard", "n", "root", "band"))
+                forest = Forest(len(node))
+                for lo, hi, mid in groups:
+                    inner = np.unique(root[lo:hi], return_inverse=True)[1] + 0
+                    group = Forest(int(inner.max()) + 1)  # of roots that this group joins
+                    keys, marks, members = find(node[lo:hi], shards[lo:hi])
+                    size, k = n[lo:hi], int(band[lo])
+                    for i in range(mid - lo):
+                        after = np.arange(i + 1, hi - lo) if mid == hi else np.arange(mid - lo, hi - lo)
+                        after = after[group.of[inner[after]] != group.of[inner[i]]]
+                        least, most = np.minimum(size[after], size[i]), np.maximum(size[after], size[i])
+                        after = after[least + 1e-9 >= similarity * most]
+                        after = after[~(keys[after, :k] == keys[i, :k]).any(1)]
+                        after = after[(marks[after] == marks[i]).sum(1) >= enough]
+                        if not len(after):
+                            continue
+                        own = members(i)
+                        for j in after.tolist():
+                            if group.of[inner[j]] == group.of[inner[i]]:
+                                continue
+                            both = len(np.intersect1d(own, members(j), assume_unique=True))
+                            if both + 1e-9 >= similarity * (size[i] + size[j] - both):
+                                group.link(inner[[i]], inner[[j]])
+                                forest.link(np.array([lo + i]), np.array([lo + j]))
+                return _forest_links(forest, node)
+
+            yield from over_groups(batches, solve)
+
+    return in_lanes(rows.withColumn("shard", shard), ["shard", "n", "root", "band"], lane_rows).mapInArrow(run, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 4, bands: int = 40, rows: int = 5, lane_rows: int = LANE_ROWS) -> DataFrame:
     """doc_id and component_id of groups of documents, linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
@@ -360,35 +506,34 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rest: nodes that share the key of a band may be similar, and a pair at
     similarity s shares none with probability (1 - s**rows)**bands, 1.3e-7 at
     0.8.  First each node is compared with its links in the trie and with one
-    node of each of its bands, drawn by hash; then all pairs of a band that are
-    still in different components are.  So what is left out are pairs whose
-    ends are linked already, and copies of one text are not expanded into pairs.
+    node of each of its bands, drawn by hash; then, within the tasks that have
+    a band's nodes, all pairs that are still in different components.  So what
+    is left out are pairs whose ends are linked already, and no group is
+    expanded into pairs.
     """
     prints = staged(sketches(docs, words, bands, rows), "prints")
     once = [F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "f0", "keys")]]
     nodes = staged(prints.groupBy("node").agg(*once), "nodes")
     near = links(nodes.filter("n > 0"), block_keys(budget, nodes.count(), lane_rows), budget, 1, lane_rows)
-    members = nodes.select("node", "n", F.explode("keys").alias("key"))
+    members = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     drawn = F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("lead"), F.col("n").alias("lead_n"))).alias("drawn")
     leads = members.groupBy("key").agg(drawn, F.count("*").alias("rows")).filter("rows > 1").select("key", "drawn.lead", "drawn.lead_n")
     shared = staged(members.join(leads.hint("merge"), "key"), "bands")
-    close = lambda a, b: F.least(a, b) + 1e-9 >= similarity * F.greatest(a, b)
+    close = F.least("n", "lead_n") + 1e-9 >= similarity * F.greatest("n", "lead_n")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    stars = shared.filter((F.col("node") != F.col("lead")) & close("n", "lead_n")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    stars = shared.filter((F.col("node") != F.col("lead")) & close).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     stars = staged(stars.union(near).select(*pair).distinct(), "pairs")
     asked = shared.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
     sets = staged(shingle_sets(docs, words, asked), "sets")
     linked = staged(confirmed(stars, sets, similarity), "confirmed")
     labels = components(linked)
-    rooted = shared.select("key", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.select("key", "band", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = staged(rooted, "bands")
     split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("key")
-    rooted = rooted.join(split.hint("merge"), "key")
-    left, right = (rooted.select("key", *[F.col(c).alias(c + side) for c in ("node", "n", "root")]) for side in "12")
-    others = left.join(right.hint("merge"), "key").filter((F.col("root1") < F.col("root2")) & close("n1", "n2"))
-    others = others.select(F.col("node1").alias("a"), F.col("node2").alias("b")).select(*pair).distinct()
-    others = staged(others.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    more = staged(confirmed(others, sets, similarity), "confirmed")
+    rooted = staged(rooted.join(split.hint("merge"), "key", "left_semi"), "bands")
+    files = SetFiles(fresh_path(docs.sparkSession, "sets"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands, rows)
+    files.write(sets.join(rooted.select("node").distinct(), "node", "left_semi"))
+    more = staged(similar_in_bands(rooted, files, similarity, lane_rows), "confirmed")
     if not more.isEmpty():
         labels = components(linked.union(more))
     return _named(prints.select("doc_id", "node"), nodes, labels).select("doc_id", "component_id")

@@ -202,6 +202,73 @@ def test_no_similar_pair_is_lost(spark):
     assert kept_of(spark, docs) == set(range(0, 320, 2))
 
 
+def test_pairs_of_a_large_group_stay_in_their_tasks(spark):
+    """Texts that share a passage but stay apart: the few similar ones are linked, and no join makes their pairs."""
+    rng = random.Random(16)
+    word = lambda: "w%x" % rng.getrandbits(60)
+    passage = [word() for _ in range(75)]
+    docs = [(k, " ".join([*passage, *(word() for _ in range(12))])) for k in range(90)]
+    for k in range(0, 90, 9):  # the last words of some are those of another
+        own = docs[k][1].split(" ")
+        docs.append((200 + k, " ".join([*own[:84], *(word() for _ in range(3))])))
+    want = plain_kept(docs)
+    assert want == set(range(90))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for lane_rows in (simhash.LANE_ROWS, 16):
+        assert {r.doc_id for r in simhash.keep_one_of_each(frame, lane_rows=lane_rows, budget=0).collect()} == want
+
+
+def test_bands_alone_find_all_similar_pairs(spark, tmp_path):
+    rng = random.Random(18)
+    docs = []
+    for k, own in enumerate([2, 6, 10, 11, 12, 13, 16, 24] * 8):
+        docs += [(2 * k + i, t) for i, t in enumerate(pairs_of_similarity(rng, 100, own))]
+    base = [f"b{i}" for i in range(100)]
+    for k in range(40):  # a group of which some are near each other
+        own = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 3])):
+            own[at] = "w%x" % rng.getrandbits(60)
+        docs.append((1000 + k, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = simhash.sketches(frame, 5, 40, 5).cache()
+    node_of = {r.doc_id: r.node for r in prints.collect()}
+    rows = prints.select("node", "n", simhash.F.posexplode("keys").alias("band", "key")).distinct().withColumn("root", simhash.F.col("node"))
+    files = simhash.SetFiles(f"file://{tmp_path}", 3, 40, 5)
+    files.write(simhash.shingle_sets(frame, 5, prints.select("node")))
+    for lane_rows in (simhash.LANE_ROWS, 7):
+        found = {(r.a, r.b) for r in simhash.similar_in_bands(rows, files, 0.8, lane_rows).collect()}
+        of = {n: n for n in node_of.values()}
+
+        def root(n, of=of):
+            while of[n] != n:
+                n = of[n]
+            return n
+
+        for a, b in found:
+            of[root(a)] = root(b)
+        sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in docs}
+        for i in sets:
+            for j in sets:
+                if i < j and len(sets[i] & sets[j]) + 1e-9 >= 0.8 * len(sets[i] | sets[j]):
+                    assert root(node_of[i]) == root(node_of[j])
+        named = {n: i for i, n in node_of.items()}
+        assert all(len(sets[named[a]] & sets[named[b]]) + 1e-9 >= 0.8 * len(sets[named[a]] | sets[named[b]]) for a, b in found)
+
+
+def test_set_files_give_back_what_was_written(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    sets = {int(k): np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 400)), dtype="u8")) for k in rng.integers(-(1 << 62), 1 << 62, 50)}
+    files = simhash.SetFiles(f"file://{tmp_path}", 3, 40, 5)
+    frame = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, shingles binary")
+    files.write(frame.repartition(5))
+    asked = frame.selectExpr("node", "CAST(pmod(xxhash64(node), 3) AS int) AS shard").collect()
+    with files.opened() as find:
+        keys, marks, members = find(np.array([r.node for r in asked]), np.array([r.shard for r in asked]))
+        for i, r in enumerate(asked):
+            least = simhash.least_values(sets[r.node], *simhash.random_functions(40, 5))
+            assert (members(i) == sets[r.node]).all() and (keys[i] == simhash.band_keys(least)).all() and (marks[i] == least.astype("u1").ravel()).all()
+
+
 def test_repeated_shingles_count_once(spark):
     rng = random.Random(13)
     text = lambda n: " ".join("w%x" % rng.getrandbits(60) for _ in range(n))
