@@ -237,22 +237,26 @@ def test_bands_alone_find_all_similar_pairs(spark, tmp_path):
     files.write(simhash.shingle_sets(frame, 5, prints.select("node")))
     for lane_rows in (simhash.LANE_ROWS, 7):
         found = {(r.a, r.b) for r in simhash.similar_in_bands(rows, files, 0.8, lane_rows).collect()}
-        of = {n: n for n in node_of.values()}
+        sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in docs}
+        pairs = {(node_of[i], node_of[j]) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) + 1e-9 >= 0.8 * len(sets[i] | sets[j])}
+        assert parted(found, node_of.values()) == parted(pairs, node_of.values())
 
-        def root(n, of=of):
-            while of[n] != n:
-                n = of[n]
-            return n
 
-        for a, b in found:
-            of[root(a)] = root(b)
-        sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in docs}
-        for i in sets:
-            for j in sets:
-                if i < j and len(sets[i] & sets[j]) + 1e-9 >= 0.8 * len(sets[i] | sets[j]):
-                    assert root(node_of[i]) == root(node_of[j])
-        named = {n: i for i, n in node_of.items()}
-        assert all(len(sets[named[a]] & sets[named[b]]) + 1e-9 >= 0.8 * len(sets[named[a]] | sets[named[b]]) for a, b in found)
+def parted(pairs, nodes):
+    """The nodes in their components."""
+    of = {n: n for n in nodes}
+
+    def root(n):
+        while of[n] != n:
+            n = of[n]
+        return n
+
+    for a, b in pairs:
+        of[root(a)] = root(b)
+    groups = {}
+    for n in of:
+        groups.setdefault(root(n), set()).add(n)
+    return {frozenset(g) for g in groups.values()}
 
 
 def test_set_files_give_back_what_was_written(spark, tmp_path):
