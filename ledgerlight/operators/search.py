@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,19 @@ def e_prescribes(rows: DataFrame, wanted: bool) -> DataFrame:
     return rows.filter(started.isNotNull() if wanted else started.isNull())
 
 
-def has_words(rows: DataFrame, query: str, columns: list[str], most: int = 5) -> DataFrame:
-    """Rows in which each word of the query is part of one of the columns, whatever its case and width."""
+def has_words(rows: DataFrame, query: str, columns: list[str], most: int = 5, normalized: bool = False) -> DataFrame:
+    """Rows in which each word of the query is part of one of the columns, whatever its case and width.
+
+    Columns that hold normalized text (NFKC, as facilities carry it beside the
+    text) are searched as they are; others by a collation, which costs more.
+    """
     for word in search_words(query, most):
         hit = F.lit(False)
         for c in columns:
-            hit = hit | F.contains(F.collate(F.col(c), "UNICODE_CI"), F.collate(F.lit(word), "UNICODE_CI"))
+            if normalized:
+                hit = hit | F.contains(F.lower(c), F.lit(unicodedata.normalize("NFKC", word).lower()))
+            else:
+                hit = hit | F.contains(F.collate(F.col(c), "UNICODE_CI"), F.collate(F.lit(word), "UNICODE_CI"))
         rows = rows.filter(hit)
     return rows
 

@@ -283,7 +283,7 @@ def top_k(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(source), 'the')) AND (contains(lower(text), 'src3') OR contains(lower(source), 'src3'))")
 def word_search(spark, sf_dir):
-    return search.has_words(table(spark, sf_dir, "documents"), " THE　Src3 ", ["text", "source"]).select("doc_id")
+    return search.has_words(table(spark, sf_dir, "documents"), " THE　Ｓrc3 ", ["text", "source"], normalized=True).select("doc_id")
 
 
 PLACES_SQL = "SELECT c_custkey AS id, 35 + (c_custkey * 37 % 1000) / 2000.0 AS lat, 139 + (c_custkey * 91 % 1000) / 2000.0 AS lon FROM customer"

@@ -135,6 +135,7 @@ def test_search_bounds(spark):
     assert search.has_reason(spark.sql("SELECT array(named_struct('reason', '新規', 'date', date'2024-01-01')) AS designation_history"), "新規").count() == 1
     rx = spark.sql("SELECT date'2024-01-01' AS e_prescription_started_on UNION ALL SELECT NULL")
     assert search.e_prescribes(rx, True).count() == search.e_prescribes(rx, False).count() == 1
+    assert search.has_words(spark.createDataFrame([("ABC病院", "x")], "a string, b string"), "ａbc　X", ["a", "b"], normalized=True).count() == 1
     assert search.has_words(spark.createDataFrame([("ＡＢＣ病院", "x")], "a string, b string"), "abc X", ["a", "b"]).count() == 1
 
 
