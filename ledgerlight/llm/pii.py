@@ -35,7 +35,7 @@ IBAN_LENGTHS = {
     "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
 #: A country, two check digits and as many characters as its numbers have, spaces between them left aside.
-IBAN = r"(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" % "|".join(
+IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:%s)(?![A-Za-z0-9])" % "|".join(
     rf"(?:{'|'.join(c for c, m in IBAN_LENGTHS.items() if m == n)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values()))
 )
 
