@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import HEAVY_ROWS, slices, whole_text
 
 K = 12
 WINDOW = 24
@@ -110,34 +110,48 @@ def edit(text: str, other: str) -> str:
 def with_next(docs: DataFrame, schema: str, make, parts: int | None = None) -> DataFrame:
     """Runs ``make(doc_ids, texts, next texts)`` over the documents by falling doc_id; after the last comes the first.
 
-    Documents are dealt to ranges of doc_id.  What follows a range's last
-    document is the first of the range below, which goes along as a guest; the
-    bounds and those firsts are a few numbers for each range.
+    Documents are dealt to ranges of doc_id, and the rows of one doc_id (or of
+    none) that are more than ``HEAVY_ROWS`` and would fill several ranges to
+    ranges of a hash of their text.  Rows of one doc_id follow each other by
+    these ranges, then by their text.  What follows a range's last document is
+    the first of the next range, which goes along as a guest; the bounds and
+    those firsts are a few numbers for each range.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * tasks
-    key = F.col("doc_id").cast("long")
-    found = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).head()[0] if parts > 1 else []
-    cuts = np.unique(np.array(found or [], "i8"))
-
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.where(keys.isna(), -1, np.searchsorted(cuts, keys.fillna(0).astype("i8"), side="right")))
-
-    heads = docs.select(key.alias("key")).groupBy(range_of("key").alias("part")).agg(F.max("key").alias("head")).orderBy(F.desc("part")).collect()
-    hosts: dict[int | None, list[int]] = {}
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    found, n, none = rows.select(F.percentile_approx("doc_id", shares, 10 * parts), F.count("*"), F.count_if(F.col("doc_id").isNull())).head()
+    found = (found or []) if parts > 1 else []
+    cuts = np.unique(np.array(found, "i8"))
+    spread = {i: found.count(i) for i in cuts.tolist() if found.count(i) > 1 and found.count(i) * (n - none) > parts * HEAVY_ROWS}
+    many = np.array([spread.get(i, 0) for i in cuts.tolist()], "i8")
+    nulls = none * parts // n if none > HEAVY_ROWS else 0
+
+    @F.pandas_udf("long")
+    def range_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        """Ranges in falling order: of greater doc_ids first, and of one doc_id by rising hash."""
+        null = keys.isna().to_numpy()
+        ids = keys.fillna(0).to_numpy("i8")
+        place = np.searchsorted(cuts, ids, side="right")
+        share = (ties.to_numpy("i8").view("u8") >> np.uint64(11)) / float(1 << 53)
+        at = np.maximum(place - 1, 0)
+        split = np.where((place > 0) & (cuts[at] == ids), many[at], 0) if len(cuts) else np.zeros(len(ids), "i8")
+        within = np.where(split > 0, 1 + (share * split).astype("i8"), 0)
+        return pd.Series(np.where(null, -(share * nulls).astype("i8"), (place + 1) * (1 << 20) - within))
+
+    tied = rows.withColumn("tie", F.xxhash64("text")).withColumn("part", range_of("doc_id", "tie"))
+    first = F.min_by(F.struct("doc_id", "tie"), F.struct((-F.col("doc_id")).alias("down"), "text")).alias("head")
+    heads = tied.groupBy("part").agg(first).orderBy(F.desc("part")).collect()
+    hosts: dict[tuple, list[int]] = {}
     for r, above in zip(heads, [*heads[-1:], *heads[:-1]], strict=True):
-        hosts.setdefault(r["head"], []).append(above["part"])
-
-    @F.pandas_udf("array<struct<part:int,guest:boolean>>")
-    def seats(keys: pd.Series) -> pd.Series:
-        own = np.where(keys.isna(), -1, np.searchsorted(cuts, keys.fillna(0).astype("i8"), side="right")).tolist()
-        ids = [None if k is pd.NA or k != k else int(k) for k in keys]
-        return pd.Series([[{"part": p, "guest": False}, *({"part": h, "guest": True} for h in hosts.get(i, ()))] for p, i in zip(own, ids, strict=True)])
-
-    rows = docs.select(key.alias("doc_id"), whole_text(docs).alias("text"))
-    dealt = rows.select("doc_id", "text", F.explode(seats("doc_id")).alias("seat")).select("doc_id", "text", "seat.part", "seat.guest")
+        hosts.setdefault(tuple(r["head"]), []).append(above["part"])
+    places = spark.createDataFrame([(i, t, h) for (i, t), own in hosts.items() for h in own], "first_id long, first_tie long, host long")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    chosen = tied.join(F.broadcast(places.select("first_id", "first_tie").distinct()), same, "left_semi")  # a row for each range
+    guests = chosen.groupBy("doc_id", "tie").agg(F.first("text").alias("text")).join(F.broadcast(places), same)
+    dealt = tied.select("doc_id", "text", "part", F.lit(False).alias("guest")).unionByName(guests.select("doc_id", "text", F.col("host").alias("part"), F.lit(True).alias("guest")))
     ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
 
     def run(batches):

@@ -274,6 +274,29 @@ def test_winnowing(spark, monkeypatch):
     assert len({r.fingerprint for r in same}) == 2
 
 
+def test_winnowing_splits_a_doc_id_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "HEAVY_ROWS", 20)
+    rows = [(7, sentence(12)) for _ in range(300)] + [(None, sentence(12)) for _ in range(200)] + [(i, sentence(12)) for i in range(20)] + [(3, "same text")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes, chain = [], {}
+
+    def make(ids, texts, following):
+        return winnow.pa.record_batch([winnow.pa.array(ids, winnow.pa.int64()), winnow.pa.array(texts), winnow.pa.array(following)], ["doc_id", "text", "next"])
+
+    out = winnow.with_next(docs, "doc_id long, text string, next string", make, 24)
+    per_task = {}
+    for r in out.select("*", F.spark_partition_id().alias("task")).collect():
+        sizes.append((r.doc_id, r.text))
+        chain[r.text] = r.next
+        per_task[r.task] = per_task.get(r.task, 0) + 1
+    assert sorted(sizes, key=str) == sorted(rows, key=str)
+    ids = {t: i for i, t in rows}
+    # Rows come by falling doc_id, and only one is followed by the start.
+    falls = [(-1 if ids[t] is None else ids[t]) for t in chain if chain[t] is not None]
+    rises = sum((-1 if ids[chain[t]] is None else ids[chain[t]]) > (-1 if ids[t] is None else ids[t]) for t in chain)
+    assert len(falls) == len(chain) and rises <= 1 and max(per_task.values()) < 400
+
+
 def test_shared_runs_share_an_entry():
     run = sentence(20)[: winnow.K + winnow.WINDOW - 1]
     for _ in range(20):
