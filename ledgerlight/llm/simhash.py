@@ -221,7 +221,7 @@ def in_lanes(rows: DataFrame, columns: list[str], lane_rows: int) -> DataFrame:
     its lanes is a group.
     """
     large = rows.groupBy("key").count().filter(F.col("count") > lane_rows).select("key", F.ceil(F.col("count") / lane_rows).cast("int").alias("lanes"))
-    dealt = rows.join(large, "key", "left").withColumn("lane", F.pmod(F.xxhash64("node", "key"), F.coalesce("lanes", F.lit(1))).cast("int"))
+    dealt = spread_join(rows, large, "key", "node").withColumn("lane", F.pmod(F.xxhash64("node", "key"), F.coalesce("lanes", F.lit(1))).cast("int"))
     across = F.when(F.col("lanes").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("lanes") - 1))
     dealt = dealt.select("key", "lane", "node", *columns, F.explode(across).alias("with"))
     pair = F.shiftleft(F.least("lane", "with").cast("long"), 32) + F.greatest("lane", "with")
@@ -451,7 +451,7 @@ class SetFiles:
 
 
 def similar_in_bands(rows: DataFrame, sets: SetFiles, similarity: float, lane_rows: int = LANE_ROWS) -> DataFrame:
-    """(a, b) of similar nodes that share the key of a band and are not of one root (key, band, node, n, root), a spanning forest of each group.
+    """(a, b) of similar nodes that share the key of a band and are not of one root (key, band, node, n, root); a task links each two roots once.
 
     All pairs of a group are looked at by the task that has it: a pair belongs
     to the first band that its nodes share, so it is looked at once.  Bytes of
@@ -462,42 +462,54 @@ def similar_in_bands(rows: DataFrame, sets: SetFiles, similarity: float, lane_ro
     functions = sets.bands * sets.rows
     enough = functions * similarity - 5 * (functions * similarity * (1 - similarity)) ** 0.5
     shard = F.pmod(F.xxhash64("node"), F.lit(sets.shards)).cast("int")
+    close = lambda x, y: np.minimum(x, y) + 1e-9 >= similarity * np.maximum(x, y)
 
     def run(batches):
         with sets.opened() as find:
 
             def solve(table, groups):
                 node, shards, n, root, band = (table.column(c).to_numpy() for c in ("node", "shard", "n", "root", "band"))
-                forest = Forest(len(node))
-                for lo, hi, mid in groups:
-                    inner = np.unique(root[lo:hi], return_inverse=True)[1] + 0
-                    group = Forest(int(inner.max()) + 1)  # of roots that this group joins
-                    keys, marks, members = find(node[lo:hi], shards[lo:hi])
-                    size, k = n[lo:hi], int(band[lo])
-                    for i in range(mid - lo):
-                        after = np.arange(i + 1, hi - lo) if mid == hi else np.arange(mid - lo, hi - lo)
-                        after = after[group.of[inner[after]] != group.of[inner[i]]]
-                        least, most = np.minimum(size[after], size[i]), np.maximum(size[after], size[i])
-                        after = after[least + 1e-9 >= similarity * most]
-                        after = after[~(keys[after, :k] == keys[i, :k]).any(1)]
-                        after = after[(marks[after] == marks[i]).sum(1) >= enough]
-                        if not len(after):
+                known, first, of = np.unique(node, return_index=True, return_inverse=True)
+                keys, marks, members = find(known, shards[first])
+                roots = np.unique(root, return_inverse=True)[1]
+                joined = Forest(len(node))  # of roots
+                found = []
+                for a, b in pair_blocks(groups):
+                    keep = (joined.of[roots[a]] != joined.of[roots[b]]) & close(n[a], n[b])
+                    a, b = a[keep], b[keep]
+                    keep = (marks[of[a]] == marks[of[b]]).sum(1) >= enough
+                    a, b = a[keep], b[keep]
+                    keep = (keys[of[a]] == keys[of[b]]).argmax(1) == band[a]
+                    for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                        if joined.of[roots[x]] == joined.of[roots[y]]:
                             continue
-                        own = members(i)
-                        for j in after.tolist():
-                            if group.of[inner[j]] == group.of[inner[i]]:
-                                continue
-                            both = len(np.intersect1d(own, members(j), assume_unique=True))
-                            if both + 1e-9 >= similarity * (size[i] + size[j] - both):
-                                group.link(inner[[i]], inner[[j]])
-                                forest.link(np.array([lo + i]), np.array([lo + j]))
-                return _forest_links(forest, node)
+                        both = len(np.intersect1d(members(of[x]), members(of[y]), assume_unique=True))
+                        if both + 1e-9 >= similarity * (n[x] + n[y] - both):
+                            joined.link(roots[[x]], roots[[y]])
+                            found.append((int(node[x]), int(node[y])))
+                return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
             yield from over_groups(batches, solve)
 
     return in_lanes(rows.withColumn("shard", shard), ["shard", "n", "root", "band"], lane_rows).mapInArrow(run, "a long, b long")
 
 
+def pair_blocks(groups: list[tuple[int, int, int]], most: int = 1 << 15):
+    """Row numbers (a, b) of the pairs of groups of ``in_lanes``, so many at a time."""
+    if not groups:
+        return
+    lo, hi, mid = np.array(groups, "i8").T
+    other = np.where(mid == hi, lo, mid)
+    width = hi - other
+    ends = np.cumsum((mid - lo) * width)
+    for at in range(0, int(ends[-1]), most):
+        k = np.arange(at, min(at + most, int(ends[-1])))
+        g = np.searchsorted(ends, k, side="right")
+        k = k - np.where(g > 0, ends[g - 1], 0)
+        a, b = lo[g] + k // width[g], other[g] + k % width[g]
+        yield a[a < b], b[a < b]
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 4, bands: int = 40, rows: int = 5, lane_rows: int = LANE_ROWS) -> DataFrame:
     """doc_id and component_id of groups of documents, linked where the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
@@ -518,7 +530,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     members = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     drawn = F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("lead"), F.col("n").alias("lead_n"))).alias("drawn")
     leads = members.groupBy("key").agg(drawn, F.count("*").alias("rows")).filter("rows > 1").select("key", "drawn.lead", "drawn.lead_n")
-    shared = staged(members.join(leads.hint("merge"), "key"), "bands")
+    shared = staged(spread_join(members, leads, "key", "node").filter("lead IS NOT NULL"), "bands")
     close = F.least("n", "lead_n") + 1e-9 >= similarity * F.greatest("n", "lead_n")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     stars = shared.filter((F.col("node") != F.col("lead")) & close).select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -529,8 +541,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     labels = components(linked)
     rooted = shared.select("key", "band", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = staged(rooted, "bands")
-    split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("key")
-    rooted = staged(rooted.join(split.hint("merge"), "key", "left_semi"), "bands")
+    split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart")
+    rooted = staged(spread_join(rooted, split, "key", "node").filter("apart").drop("apart"), "bands")
     files = SetFiles(fresh_path(docs.sparkSession, "sets"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands, rows)
     files.write(sets.join(rooted.select("node").distinct(), "node", "left_semi"))
     more = staged(similar_in_bands(rooted, files, similarity, lane_rows), "confirmed")
