@@ -85,12 +85,17 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame
     return left.join(one.withColumn("_lane", F.explode(copies)), [key, "_lane"], "left").drop("_lane")
 
 
+#: Copies that this worker holds of files of one folder of a store that is not local.
+_COPIES: dict[str, dict] = {}
+
+
 class SharedFiles:
     """Files of this subpackage's own formats under a folder of the shared store.
 
     On a shared file system the files are opened, or mapped, in place.  For any
     other store pyarrow's file systems copy a file into an unnamed temporary
-    file that is gone when it is closed.
+    file, once for each worker, that is gone when the worker turns to another
+    folder or ends.
     """
 
     def __init__(self, url: str):
@@ -153,11 +158,16 @@ class SharedFiles:
         if self.local is not None:
             with open(f"{self.local}/{name}", "rb") as f:
                 return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
-        remote, base = self._remote()
-        with remote.open_input_stream(f"{base}/{name}") as src, tempfile.TemporaryFile() as f:
-            shutil.copyfileobj(src, f)
-            f.flush()
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.tell() else b""
+        if self.url not in _COPIES:
+            _COPIES.clear()
+        copies = _COPIES.setdefault(self.url, {})
+        if name not in copies:
+            remote, base = self._remote()
+            with remote.open_input_stream(f"{base}/{name}") as src, tempfile.TemporaryFile() as f:
+                shutil.copyfileobj(src, f)
+                f.flush()
+                copies[name] = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.tell() else b""
+        return copies[name]
 
 
 def slices(batch, most_rows: int = 1000, most_bytes: int = 8 << 20, column: str = "text"):

@@ -151,6 +151,22 @@ def test_plan_does_not_grow_with_the_number_of_pieces():
     assert len(large) < 3 * len(small)
 
 
+def test_shared_files_of_a_store_that_is_not_local(tmp_path):
+    from ledgerlight.llm.common import SharedFiles
+    from pyarrow import fs
+
+    files = SharedFiles(str(tmp_path / "x"))
+    files.local, files._remote = None, lambda: (fs.LocalFileSystem(), str(tmp_path / "x"))
+    files.write("a", [b"abc", b"def"])
+    files.write("empty", [])
+    assert files.map("a")[:] == b"abcdef" and files.map("a") is files.map("a") and files.map("empty") == b"" and files.size("a") == 6
+    with files.ranges("a") as read:
+        assert read(2, 3) == b"cde"
+    with files.ranges("none") as read:
+        assert read is None
+    assert sorted(x.name for x in (tmp_path / "x").iterdir()) == ["a", "empty"]
+
+
 def test_bit_widths():
     for width in (1, 3, 8, 13, 16, 17, 31, 32):
         ids = np.array([R.randrange(1 << width) for _ in range(10_001)], "u4")
