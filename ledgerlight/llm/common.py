@@ -129,28 +129,6 @@ class SharedFiles:
             for chunk in chunks:
                 add(chunk)
 
-    def size(self, name: str) -> int:
-        if self.local is not None:
-            return os.path.getsize(f"{self.local}/{name}")
-        remote, base = self._remote()
-        return remote.get_file_info(f"{base}/{name}").size
-
-    @contextmanager
-    def ranges(self, name: str):
-        """A function (at, size) that reads bytes of a file, which stays where it is; None if there is no such file."""
-        if self.local is not None:
-            data = self.map(name) if os.path.exists(f"{self.local}/{name}") else None
-            yield data and (lambda at, size: data[at : at + size])
-            return
-        from pyarrow import fs
-
-        remote, base = self._remote()
-        if remote.get_file_info(f"{base}/{name}").type != fs.FileType.File:
-            yield None
-            return
-        with remote.open_input_file(f"{base}/{name}") as f:
-            yield lambda at, size: f.read_at(size, at)
-
     def map(self, name: str):
         """A read-only memory map of the file as bytes (an empty file gives empty bytes)."""
         import mmap

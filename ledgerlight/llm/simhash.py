@@ -23,7 +23,6 @@ never a component's id unless all its ids are null.
 
 from __future__ import annotations
 
-from contextlib import ExitStack, contextmanager
 from itertools import combinations, groupby
 
 import numpy as np
@@ -359,25 +358,8 @@ def shingle_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
     return docs.select(whole_text(docs).alias("text")).mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least the Jaccard similarity."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    # Both grow with the documents, so none is broadcast.
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 class SetFiles:
-    """Sets of shingles in files of the shared folder, with their band keys and a byte of each least value; read where they lie.
+    """Sets of shingles in files of the shared folder, with their band keys and a byte of each least value.
 
     A file holds the sets of the nodes of one shard one after another, then the
     nodes in order, where their sets begin, the keys, the bytes, and the number
@@ -411,43 +393,65 @@ class SetFiles:
                     add(np.array([len(nodes), starts[-1]], "<i8").tobytes())
                 yield pa.record_batch([[len(nodes)]], ["n"])
 
-        dealt = sets.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(self.shards)).cast("int")).repartition(self.shards, "shard")
+        dealt = sets.withColumn("shard", self.shard("node")).repartition(self.shards, "shard")
         dealt.sortWithinPartitions("shard", "node").select("shard", "node", "shingles").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
-    @contextmanager
-    def opened(self):
-        """A function from nodes with their shards to (keys, bytes, function from a place to its set)."""
+    def shard(self, node: str) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(self.shards)).cast("int")
+
+    def reader(self):
+        """A function from nodes with their shards to (keys, bytes, function from a place to its set).
+
+        Files are mapped, so a worker holds only what it has read of them.
+        """
         files, shards = SharedFiles(self.url), {}
-        with ExitStack() as stack:
-
-            def load(k: int):
-                if k not in shards:
-                    size = files.size(f"part-{k}")
-                    read = stack.enter_context(files.ranges(f"part-{k}"))
-                    n, total = np.frombuffer(read(size - 16, 16), "<i8").tolist()
-                    at = 8 * total
-                    sizes = (8 * n, 8 * n + 8, 8 * n * self.bands, n * self.bands * self.rows)
-                    kinds = ("<i8", "<i8", "<u8", "u1")
-                    found = []
-                    for wide, kind in zip(sizes, kinds, strict=True):
-                        found.append(np.frombuffer(read(at, wide), kind))
-                        at += wide
-                    shards[k] = read, found[0], found[1], found[2].reshape(n, -1), found[3].reshape(n, -1)
-                return shards[k]
-
-            def find(nodes: np.ndarray, of: np.ndarray):
-                keys, marks = np.zeros((len(nodes), self.bands), "<u8"), np.zeros((len(nodes), self.bands * self.rows), "u1")
-                places: list = [None] * len(nodes)
-                for k in np.unique(of).tolist():
-                    read, known, starts, own_keys, own_marks = load(k)
-                    here = np.flatnonzero(of == k)
-                    at = np.searchsorted(known, nodes[here])
-                    keys[here], marks[here] = own_keys[at], own_marks[at]
-                    for i, p in zip(here.tolist(), at.tolist(), strict=True):
-                        places[i] = (read, 8 * int(starts[p]), 8 * int(starts[p + 1] - starts[p]))
-                return keys, marks, lambda i: np.frombuffer(places[i][0](places[i][1], places[i][2]), "<u8")
-
-            yield find
+
+        def load(k: int):
+            if k not in shards:
+                data = files.map(f"part-{k}")
+                n, total = np.frombuffer(data, "<i8", 2, len(data) - 16).tolist()
+                at = 8 * np.cumsum([0, total, n, n + 1, n * self.bands]).astype("i8")
+                parts = [np.frombuffer(data, kind, size, int(x)) for kind, size, x in zip(("<u8", "<i8", "<i8", "<u8", "u1"), (total, n, n + 1, n * self.bands, n * self.bands * self.rows), at, strict=True)]
+                shards[k] = *parts[:3], parts[3].reshape(n, -1), parts[4].reshape(n, -1)
+            return shards[k]
+
+        def find(nodes: np.ndarray, of: np.ndarray):
+            keys, marks = np.zeros((len(nodes), self.bands), "<u8"), np.zeros((len(nodes), self.bands * self.rows), "u1")
+            places = np.zeros(len(nodes), "i8")
+            for k in np.unique(of).tolist():
+                _, known, _, own_keys, own_marks = load(k)
+                here = np.flatnonzero(of == k)
+                places[here] = at = np.searchsorted(known, nodes[here])
+                keys[here], marks[here] = own_keys[at], own_marks[at]
+
+            def members(i: int) -> np.ndarray:
+                blob, _, starts, _, _ = load(int(of[i]))
+                return blob[starts[places[i]] : starts[places[i] + 1]]
+
+            return keys, marks, members
+
+        return find
+
+
+def confirmed(pairs: DataFrame, sets: SetFiles, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least the Jaccard similarity."""
+
+    def run(batches):
+        find = sets.reader()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes, first, of = np.unique(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]), return_index=True, return_inverse=True)
+            shards = np.concatenate([batch.column(c).to_numpy() for c in ("sa", "sb")])[first]
+            members = find(nodes, shards)[2]
+            keep = []
+            for i, j in of.reshape(2, -1).T.tolist():
+                x, y = members(i), members(j)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", sets.shard("a").alias("sa"), sets.shard("b").alias("sb")).mapInArrow(run, "a long, b long")
 
 
 def similar_in_bands(rows: DataFrame, sets: SetFiles, similarity: float, lane_rows: int = LANE_ROWS) -> DataFrame:
@@ -461,37 +465,36 @@ def similar_in_bands(rows: DataFrame, sets: SetFiles, similarity: float, lane_ro
     """
     functions = sets.bands * sets.rows
     enough = functions * similarity - 5 * (functions * similarity * (1 - similarity)) ** 0.5
-    shard = F.pmod(F.xxhash64("node"), F.lit(sets.shards)).cast("int")
     close = lambda x, y: np.minimum(x, y) + 1e-9 >= similarity * np.maximum(x, y)
 
     def run(batches):
-        with sets.opened() as find:
-
-            def solve(table, groups):
-                node, shards, n, root, band = (table.column(c).to_numpy() for c in ("node", "shard", "n", "root", "band"))
-                known, first, of = np.unique(node, return_index=True, return_inverse=True)
-                keys, marks, members = find(known, shards[first])
-                roots = np.unique(root, return_inverse=True)[1]
-                joined = Forest(len(node))  # of roots
-                found = []
-                for a, b in pair_blocks(groups):
-                    keep = (joined.of[roots[a]] != joined.of[roots[b]]) & close(n[a], n[b])
-                    a, b = a[keep], b[keep]
-                    keep = (marks[of[a]] == marks[of[b]]).sum(1) >= enough
-                    a, b = a[keep], b[keep]
-                    keep = (keys[of[a]] == keys[of[b]]).argmax(1) == band[a]
-                    for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-                        if joined.of[roots[x]] == joined.of[roots[y]]:
-                            continue
-                        both = len(np.intersect1d(members(of[x]), members(of[y]), assume_unique=True))
-                        if both + 1e-9 >= similarity * (n[x] + n[y] - both):
-                            joined.link(roots[[x]], roots[[y]])
-                            found.append((int(node[x]), int(node[y])))
-                return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-            yield from over_groups(batches, solve)
-
-    return in_lanes(rows.withColumn("shard", shard), ["shard", "n", "root", "band"], lane_rows).mapInArrow(run, "a long, b long")
+        find = sets.reader()
+
+        def solve(table, groups):
+            node, shards, n, root, band = (table.column(c).to_numpy() for c in ("node", "shard", "n", "root", "band"))
+            known, first, of = np.unique(node, return_index=True, return_inverse=True)
+            keys, marks, members = find(known, shards[first])
+            roots = np.unique(root, return_inverse=True)[1]
+            joined = Forest(len(node))  # of roots
+            found = []
+            for a, b in pair_blocks(groups):
+                keep = (joined.of[roots[a]] != joined.of[roots[b]]) & close(n[a], n[b])
+                a, b = a[keep], b[keep]
+                keep = (marks[of[a]] == marks[of[b]]).sum(1) >= enough
+                a, b = a[keep], b[keep]
+                keep = (keys[of[a]] == keys[of[b]]).argmax(1) == band[a]
+                for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                    if joined.of[roots[x]] == joined.of[roots[y]]:
+                        continue
+                    both = len(np.intersect1d(members(of[x]), members(of[y]), assume_unique=True))
+                    if both + 1e-9 >= similarity * (n[x] + n[y] - both):
+                        joined.link(roots[[x]], roots[[y]])
+                        found.append((int(node[x]), int(node[y])))
+            return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        yield from over_groups(batches, solve)
+
+    return in_lanes(rows.withColumn("shard", sets.shard("node")), ["shard", "n", "root", "band"], lane_rows).mapInArrow(run, "a long, b long")
 
 
 def pair_blocks(groups: list[tuple[int, int, int]], most: int = 1 << 15):
@@ -536,16 +539,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     stars = shared.filter((F.col("node") != F.col("lead")) & close).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     stars = staged(stars.union(near).select(*pair).distinct(), "pairs")
     asked = shared.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
-    sets = staged(shingle_sets(docs, words, asked), "sets")
+    sets = SetFiles(fresh_path(docs.sparkSession, "sets"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands, rows)
+    sets.write(shingle_sets(docs, words, asked))
     linked = staged(confirmed(stars, sets, similarity), "confirmed")
     labels = components(linked)
     rooted = shared.select("key", "band", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = staged(rooted, "bands")
     split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart")
     rooted = staged(spread_join(rooted, split, "key", "node").filter("apart").drop("apart"), "bands")
-    files = SetFiles(fresh_path(docs.sparkSession, "sets"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands, rows)
-    files.write(sets.join(rooted.select("node").distinct(), "node", "left_semi"))
-    more = staged(similar_in_bands(rooted, files, similarity, lane_rows), "confirmed")
+    more = staged(similar_in_bands(rooted, sets, similarity, lane_rows), "confirmed")
     if not more.isEmpty():
         labels = components(linked.union(more))
     return _named(prints.select("doc_id", "node"), nodes, labels).select("doc_id", "component_id")

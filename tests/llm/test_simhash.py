@@ -266,11 +266,10 @@ def test_set_files_give_back_what_was_written(spark, tmp_path):
     frame = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, shingles binary")
     files.write(frame.repartition(5))
     asked = frame.selectExpr("node", "CAST(pmod(xxhash64(node), 3) AS int) AS shard").collect()
-    with files.opened() as find:
-        keys, marks, members = find(np.array([r.node for r in asked]), np.array([r.shard for r in asked]))
-        for i, r in enumerate(asked):
-            least = simhash.least_values(sets[r.node], *simhash.random_functions(40, 5))
-            assert (members(i) == sets[r.node]).all() and (keys[i] == simhash.band_keys(least)).all() and (marks[i] == least.astype("u1").ravel()).all()
+    keys, marks, members = files.reader()(np.array([r.node for r in asked]), np.array([r.shard for r in asked]))
+    for i, r in enumerate(asked):
+        least = simhash.least_values(sets[r.node], *simhash.random_functions(40, 5))
+        assert (members(i) == sets[r.node]).all() and (keys[i] == simhash.band_keys(least)).all() and (marks[i] == least.astype("u1").ravel()).all()
 
 
 def test_repeated_shingles_count_once(spark):
