@@ -96,9 +96,9 @@ class Ftrl:
         self.n[index] += squares
 
 
-def held_out(doc_id: Column, folds: int = 5) -> Column:
+def held_out(doc_id: Column, folds: int = 5, out: int = 0) -> Column:
     """Whether a row is kept from training; rows without a doc_id are not held out, and carry no label."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == out, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, float]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, packing, quality, simhash, tokenfile, topk, winnow
+from . import bpe, lm, negatives, packing, phrases, quality, simhash, tokenfile, topk, toxicity, winnow
 from .common import table
 from .pii import find_pii
 from .secrets import scan_secrets
@@ -59,6 +59,18 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_token_files": op9_token_files,
     "op10_winnow": op10_winnow,
+    "op11_toxicity": op11_toxicity,
+    "op12_phrases": op12_phrases,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_topk": topk.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL, "op13_hard_negatives": negatives.ORACLE_SQL}
