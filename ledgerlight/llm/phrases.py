@@ -9,9 +9,11 @@ one, and cannot be more frequent than either; so the frequent pairs get numbers
 of their own, by falling frequency, take the place of the words, and pairs of
 them are counted in the same way.
 
-A block never looks a pair up in a table of all pairs: what it counted is
-joined with the frequent pairs, and comes back to it as its own small table.
-All counts are exact and cover all texts.
+What a block counted leaves it in packets, one for each lane that a pair's hash
+falls to; a lane adds up the packets of all blocks and keeps what is frequent.
+A block never looks a pair up in a table of all pairs: its packets meet the
+numbered pairs of their lane once more, and what is frequent comes back to it
+as its own small table.  All counts are exact and cover all texts.
 
 Null text counts as empty, a null language as ``und``; a word is never cut,
 whatever its length; rows that repeat count each for itself; an empty table
@@ -20,6 +22,7 @@ gives an empty result; other columns do not matter, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +42,11 @@ SIDE, SPARSE = 1024, 16
 #: Tiles along each side of the square that may be dense; beyond them all are counted as sorted coordinates.
 TILES = 1024
 #: Text bytes of a block, after which a task writes it.
-BLOCK_BYTES = 16 << 20
-COUNTED = "block long, lang string, left long, right long, n long"
+BLOCK_BYTES = 8 << 20
+#: Words of the corpus for each lane at most, which bounds what a lane adds up.
+LANE = 1 << 21
+WORDS = "lang string, lane int, block long, codes binary, words binary, counts binary"
+PAIRS = "lang string, lane int, block long, left binary, right binary, counts binary"
 
 
 @dataclass(frozen=True)
@@ -66,20 +72,15 @@ def word_blocks(docs: DataFrame) -> DataFrame:
             at += len(distinct)
         ids = np.concatenate(parts).astype("<i4")
         counts = np.bincount(ids[ids >= 0], minlength=len(whole.dictionary)).astype("i8")
-        columns = [
-            pa.array([lang]),
-            pa.array([int(counts.sum())]),
-            pa.array([ids.tobytes()], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), whole.dictionary.cast(pa.string())),
-            pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts)),
-        ]
+        binary = (ids.tobytes(), b" ".join(whole.dictionary.to_pylist()), counts.astype("<i8").tobytes())  # no word holds a blank
+        columns = [pa.array([lang]), pa.array([int(counts.sum())]), *(pa.array([v], pa.binary()) for v in binary)]
         return pa.record_batch(columns, ["lang", "n", "ids", "words", "counts"])
 
     def run(batches):
         held: dict[str, list] = {}
         size = 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=2 << 20):
                 named = part.column("lang").dictionary_encode()
                 of = named.indices.to_numpy(zero_copy_only=False)
                 for i, lang in enumerate(named.dictionary.to_pylist()):
@@ -94,22 +95,24 @@ def word_blocks(docs: DataFrame) -> DataFrame:
         for lang, own in held.items():
             yield block(lang, own)
 
-    made = rows.mapInArrow(run, "lang string, n long, ids binary, words array<string>, counts array<long>")
+    made = rows.mapInArrow(run, "lang string, n long, ids binary, words binary, counts binary")
     return staged(made.select(F.monotonically_increasing_id().alias("block"), "*"), "phrase-blocks")
 
 
-def sorted_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order with their counts."""
+def sorted_sums(left: np.ndarray, right: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order with the sums of their counts (each counts once, if there are none)."""
     if not len(left):
         return left, right, np.zeros(0, "i8")
     span = int(right.max()) + 1
     if int(left.max()) < (1 << 62) // span:
-        keys, n = np.unique(left * span + right, return_counts=True)
-        return keys // span, keys % span, n
-    order = np.lexsort((right, left))
+        keys = left * span + right
+        order = np.argsort(keys)
+    else:
+        order = np.lexsort((right, left))
     left, right = left[order], right[order]
     first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-    return left[first], right[first], np.diff(np.append(first, len(left)))
+    sums = np.diff(np.append(first, len(left))) if n is None else np.add.reduceat(n[order], first)
+    return left[first], right[first], sums
 
 
 def tile_counts(left: np.ndarray, right: np.ndarray, side: int = SIDE):
@@ -124,7 +127,7 @@ def tile_counts(left: np.ndarray, right: np.ndarray, side: int = SIDE):
         cells = np.bincount((left[own] % side) * side + right[own] % side, minlength=side * side)
         used = np.flatnonzero(cells)
         yield t // TILES * side + used // side, t % TILES * side + used % side, cells[used]
-    yield sorted_counts(left[rest], right[rest])
+    yield sorted_sums(left[rest], right[rest])
 
 
 def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,38 +136,152 @@ def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, ids[at], ids[at + 1]
 
 
-def count_pairs(blocks: DataFrame) -> DataFrame:
-    """Each block's distinct pairs of neighbouring numbers with their counts."""
+def numbers(row: pa.RecordBatch, i: int) -> np.ndarray:
+    """The numbers of a block, as wide as its greatest one asked for."""
+    return np.frombuffer(row.column("ids")[i].as_py(), f"<i{row.column('width')[i].as_py()}").astype("i8")
+
+
+def whole_numbers(column) -> np.ndarray:
+    """The longs of a column of packets, one packet after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8")
+
+
+def lane_bounds(lane: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of entries by lane, the lanes that have some, and where each begins and ends."""
+    order = np.argsort(lane, kind="stable")
+    ends = np.searchsorted(lane[order], np.arange(lanes + 1))
+    used = np.flatnonzero(np.diff(ends))
+    return order, used, ends
+
+
+def packet(values: np.ndarray, used: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Longs in order of lanes as a binary value for each lane used."""
+    bounds = np.append(ends[used], ends[-1]).astype("<i4") * 8
+    return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(values, "<i8"))])
+
+
+def word_packets(blocks: DataFrame, lanes: int) -> DataFrame:
+    """Each block's distinct words with their counts, by lane of a hash."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, left, right = neighbours(np.frombuffer(batch.column("ids")[i].as_py(), "<i8"))
-                block, lang = batch.column("block")[i], batch.column("lang")[i]
-                for found in tile_counts(left, right):
-                    n = len(found[0])
-                    yield pa.record_batch([pa.repeat(block, n), pa.repeat(lang, n), *(pa.array(c, pa.int64()) for c in found)], ["block", "lang", "left", "right", "n"])
+                joined = batch.column("words")[i].as_py()
+                words = joined.split(b" ") if joined else []
+                counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i8")
+                order, used, ends = lane_bounds(np.array([zlib.crc32(w) % lanes for w in words], "i8"), lanes)
+                own = [b" ".join([words[j] for j in order[ends[k] : ends[k + 1]].tolist()]) for k in used.tolist()]
+                head = [pa.repeat(batch.column("lang")[i], len(used)), pa.array(used.astype("i4")), pa.repeat(batch.column("block")[i], len(used))]
+                yield pa.record_batch([*head, packet(order, used, ends), pa.array(own, pa.binary()), packet(counts[order], used, ends)], ["lang", "lane", "block", "codes", "words", "counts"])
+
+    return staged(blocks.select("block", "lang", "words", "counts").mapInArrow(run, WORDS), "phrase-packets")
+
+
+def pair_packets(blocks: DataFrame, lanes: int) -> DataFrame:
+    """Each block's distinct pairs of neighbouring numbers with their counts, by lane of a hash."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, left, right = neighbours(numbers(batch, i))
+                left, right, n = (np.concatenate(c) for c in zip(*tile_counts(left, right), strict=True))
+                order, used, ends = lane_bounds(pair_lane(left, right, lanes), lanes)
+                head = [pa.repeat(batch.column("lang")[i], len(used)), pa.array(used.astype("i4")), pa.repeat(batch.column("block")[i], len(used))]
+                yield pa.record_batch([*head, *(packet(c[order], used, ends) for c in (left, right, n))], ["lang", "lane", "block", "left", "right", "counts"])
+
+    return staged(blocks.select("block", "lang", "width", "ids").mapInArrow(run, PAIRS), "phrase-packets")
+
+
+def pair_lane(left: np.ndarray, right: np.ndarray, lanes: int) -> np.ndarray:
+    mixed = left.astype("u8") * np.uint64(0x9E3779B97F4A7C15) + right.astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype("i8") % lanes
+
 
-    return staged(blocks.select("block", "lang", "ids").mapInArrow(run, COUNTED), "phrase-pairs")
+def frequent_words(packets: DataFrame, least: int) -> DataFrame:
+    """(lang, lane, word, n) of the words with at least so many occurrences."""
 
+    def add(table: pa.Table) -> pa.Table:
+        words = pa.array([w for p in table.column("words").to_pylist() for w in p.split(b" ")], pa.binary()).dictionary_encode()
+        n = np.bincount(words.indices.to_numpy(), whole_numbers(table.column("counts")), len(words.dictionary)).astype("i8")
+        kept = np.flatnonzero(n >= least)
+        head = [pa.repeat(table.column(c)[0], len(kept)) for c in ("lang", "lane")]
+        return pa.table([*head, words.dictionary.take(pa.array(kept)).cast(pa.string()), pa.array(n[kept])], ["lang", "lane", "word", "n"])
 
-def ranked(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Keys of a language with at least so many occurrences, with the number ``id`` by falling frequency.
+    return packets.select("lang", "lane", "words", "counts").groupBy("lang", "lane").applyInArrow(add, "lang string, lane int, word string, n long")
+
+
+def frequent_pairs(packets: DataFrame, least: int) -> DataFrame:
+    """(lang, lane, left, right, n) of the pairs with at least so many occurrences."""
+
+    def add(table: pa.Table) -> pa.Table:
+        left, right, n = sorted_sums(*(whole_numbers(table.column(c)) for c in ("left", "right", "counts")))
+        kept = n >= least
+        head = [pa.repeat(table.column(c)[0], int(kept.sum())) for c in ("lang", "lane")]
+        return pa.table([*head, *(pa.array(c[kept], pa.int64()) for c in (left, right, n))], ["lang", "lane", "left", "right", "n"])
+
+    return packets.select("lang", "lane", "left", "right", "counts").groupBy("lang", "lane").applyInArrow(add, "lang string, lane int, left long, right long, n long")
+
+
+def ranked(frequent: DataFrame, keys: list[str]) -> DataFrame:
+    """Frequent keys of a language with the number ``id`` by falling frequency.
 
     The order is one of ranges, so no language falls to one task; a row's number
     is its place in its range and what the ranges before hold of its language.
     """
-    frequent = counted.groupBy("lang", *keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     order = ["lang", F.desc("n"), *keys]
     parted = frequent.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = staged(parted.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "*"), "phrase-ranked")
     ranges = placed.groupBy("part", "lang").agg(F.count("*").alias("size"), F.min("at").alias("first"))  # a row for each range and language
     before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranges.select("part", "lang", (before - F.col("first")).alias("shift"))
-    return placed.join(starts, ["part", "lang"]).select("lang", *keys, "n", (F.col("at") + F.col("shift")).alias("id"))
+    return placed.join(starts, ["part", "lang"]).select("lang", "lane", *keys, "n", (F.col("at") + F.col("shift")).alias("id"))
+
+
+def word_tables(packets: DataFrame, words: DataFrame) -> DataFrame:
+    """For each block and lane the block's own numbers of frequent words, with the words' ranks."""
+
+    def meet(own: pa.Table, known: pa.Table) -> pa.Table:
+        number = dict(zip(known.column("word").cast(pa.binary()).to_pylist(), known.column("id").to_pylist(), strict=True))
+        rows = []
+        for block, codes, joined in zip(*(own.column(c).to_pylist() for c in ("block", "codes", "words")), strict=True):
+            ids = np.array([number.get(w, -1) for w in joined.split(b" ")], "<i8")
+            rows.append((block, np.frombuffer(codes, "<i8")[ids >= 0].tobytes(), ids[ids >= 0].tobytes()))
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+        return pa.table(columns, ["block", "codes", "ids"])
+
+    left, right = packets.select("lang", "lane", "block", "codes", "words").groupBy("lang", "lane"), words.select("lang", "lane", "word", "id").groupBy("lang", "lane")
+    met = left.cogroup(right).applyInArrow(meet, "block long, codes binary, ids binary")
+    return met.groupBy("block").agg(*(F.collect_list(c).alias(f"known_{c}") for c in ("codes", "ids")))  # no more than the block's words
 
 
-def renumbered_words(blocks: DataFrame, own: DataFrame) -> DataFrame:
+def pair_tables(packets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each block and lane the block's frequent pairs with their ranks."""
+
+    def meet(own: pa.Table, known: pa.Table) -> pa.Table:
+        left, right, ids = (known.column(c).to_numpy() for c in ("left", "right", "id"))
+        rows = []
+        for block, a, b in zip(*(own.column(c).to_pylist() for c in ("block", "left", "right")), strict=True):
+            a, b = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
+            found = lookup(left, right, ids, a, b)
+            rows.append((block, *(c[found >= 0].astype("<i8").tobytes() for c in (a, b, found))))
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+        return pa.table(columns, ["block", "left", "right", "ids"])
+
+    own, known = packets.select("lang", "lane", "block", "left", "right").groupBy("lang", "lane"), pairs.select("lang", "lane", "left", "right", "id").groupBy("lang", "lane")
+    met = own.cogroup(known).applyInArrow(meet, "block long, left binary, right binary, ids binary")
+    return met.groupBy("block").agg(*(F.collect_list(c).alias(f"known_{c}") for c in ("left", "right", "ids")))  # no more than the block's pairs
+
+
+NUMBERED = "block long, lang string, width int, ids binary"
+
+
+def numbered(batch: pa.RecordBatch, i: int, ids: np.ndarray) -> pa.RecordBatch:
+    """A block with new numbers, in four bytes each if they fit."""
+    width = 4 if ids.max(initial=0) < 1 << 31 else 8
+    return pa.record_batch([batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([width], pa.int32()), pa.array([ids.astype(f"<i{width}").tobytes()], pa.binary())], ["block", "lang", "width", "ids"])
+
+
+def renumbered_words(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Blocks with the ranks of their words in place of their own numbers."""
 
     def run(batches):
@@ -172,49 +289,39 @@ def renumbered_words(blocks: DataFrame, own: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i4")
                 ranks = np.full(int(ids.max(initial=-1)) + 2, -1, "<i8")  # the last one for the -1 between pieces
-                pairs = batch.column("pairs")[i].values
-                if pairs is not None and len(pairs):
-                    ranks[pairs.field("code").to_numpy()] = pairs.field("id").to_numpy()
-                yield pa.record_batch([batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([ranks[ids].tobytes()], pa.binary())], ["block", "lang", "ids"])
+                ranks[whole_numbers(batch.column("known_codes")[i].values)] = whole_numbers(batch.column("known_ids")[i].values)
+                yield numbered(batch, i, ranks[ids])
 
-    tables = own.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("pairs"))  # no more than the block's words
-    joined = blocks.select("block", "lang", "ids").join(tables, "block")
-    return staged(joined.mapInArrow(run, "block long, lang string, ids binary"), "phrase-ids")
+    return staged(blocks.select("block", "lang", "ids").join(tables, "block").mapInArrow(run, NUMBERED), "phrase-ids")
 
 
-def renumbered_pairs(blocks: DataFrame, own: DataFrame) -> DataFrame:
+def renumbered_pairs(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Blocks with the ranks of their pairs at the place of each pair's first number; blocks without a frequent pair go."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
+                ids = numbers(batch, i)
                 at, left, right = neighbours(ids)
-                pairs = batch.column("pairs")[i].values
-                known = np.zeros(len(pairs), [("left", "<i8"), ("right", "<i8")])
-                known["left"], known["right"] = pairs.field("left").to_numpy(), pairs.field("right").to_numpy()
-                wanted = np.zeros(len(left), known.dtype)
-                wanted["left"], wanted["right"] = left, right
                 out = np.full(len(ids), -1, "<i8")
-                out[at] = lookup(known, pairs.field("id").to_numpy(), wanted)
-                yield pa.record_batch([batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([out.tobytes()], pa.binary())], ["block", "lang", "ids"])
+                out[at] = lookup(*(whole_numbers(batch.column(f"known_{c}")[i].values) for c in ("left", "right", "ids")), left, right)
+                yield numbered(batch, i, out)
 
-    tables = own.groupBy("block").agg(F.collect_list(F.struct("left", "right", "id")).alias("pairs"))  # no more than the block's pairs
-    return staged(blocks.join(tables, "block").mapInArrow(run, "block long, lang string, ids binary"), "phrase-ids")
+    return staged(blocks.join(tables, "block").mapInArrow(run, NUMBERED), "phrase-ids")
 
 
-def lookup(known: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The ids of the wanted pairs, -1 for those that are not known (which must not be empty)."""
-    firsts, lefts = np.unique(known["left"], return_inverse=True)
-    span = int(known["right"].max()) + 1
-    keys = lefts * span + known["right"]
+def lookup(left: np.ndarray, right: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The ids of the pairs (a, b) among the pairs (left, right), -1 for those that are not there."""
+    if not len(ids):
+        return np.full(len(a), -1, "i8")
+    firsts, rows = np.unique(left, return_inverse=True)
+    span = int(right.max()) + 1
+    keys = rows * span + right
     order = np.argsort(keys)
-    row = np.minimum(np.searchsorted(firsts, wanted["left"]), len(firsts) - 1)
-    there = (firsts[row] == wanted["left"]) & (wanted["right"] < span)
-    own = row * span + wanted["right"]
-    place = np.minimum(np.searchsorted(keys, own, sorter=order), len(keys) - 1)
-    there &= keys[order[place]] == own
-    return np.where(there, ids[order[place]], -1)
+    row = np.minimum(np.searchsorted(firsts, a), len(firsts) - 1)
+    own = row * span + b
+    place = order[np.minimum(np.searchsorted(keys, own, sorter=order), len(keys) - 1)]
+    return np.where((firsts[row] == a) & (b < span) & (keys[place] == own), ids[place], -1)
 
 
 def _exact(number: Column | str) -> Column:
@@ -254,19 +361,20 @@ def uncovered(candidates: DataFrame, longer_ones: DataFrame, percent: int) -> Da
 def mine(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The first phrases of each language: lang, rank, phrase, a, l, r, n and score."""
     blocks = word_blocks(docs)
-    spoken = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = ranked(spoken, ["word"], settings.least)
-    ids = renumbered_words(blocks, spoken.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "code", "id"))
+    n = blocks.agg(F.sum("n")).head()[0] or 0
+    lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LANE))
+    packets = word_packets(blocks, lanes)
+    words = ranked(frequent_words(packets, settings.least), ["word"])
+    ids = renumbered_words(blocks, word_tables(packets, words))
     phrases = words.select("lang", "id", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("heads"), F.array("n").alias("tails"))
     levels = []
     for m in range(2, settings.most_words + 1):
-        counted = count_pairs(ids)
-        pairs = ranked(counted, ["left", "right"], settings.least)
+        packets = pair_packets(ids, lanes)
+        pairs = ranked(frequent_pairs(packets, settings.least), ["left", "right"])
         phrases = staged(longer(phrases, pairs), "phrases")
         levels.append(phrases)
         if m < settings.most_words:
-            own = counted.join(pairs.select("lang", "left", "right", "id"), ["lang", "left", "right"]).select("block", "left", "right", "id")
-            ids = renumbered_pairs(ids, own)
+            ids = renumbered_pairs(ids, pair_tables(packets, pairs))
     kept = None
     for m, level in enumerate(levels, 2):
         found = scored(level, m)
