@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .spans import joined, match_spans, tagged
+from .spans import cut_out, joined, let, match_spans, pieces_of, tagged
 
 #: The kinds of the contract in its order, then the kind this method adds.
 KINDS = ("email", "ip", "card", "phone")
@@ -94,16 +94,10 @@ def added_spans(text: Column) -> Column:
     return tagged(F.filter(match_spans(text, IBAN), lambda s: mod97(F.regexp_replace(s["body"], r"\x20", ""))), "iban", 4)
 
 
-def span_score(text: Column, span: Column, near: int = NEAR) -> Column:
-    """The kind's prior, raised when one of its context words stands within ``near`` code points of the span."""
+def span_score(pieces: Column, span: Column, near: int = NEAR) -> Column:
+    """The kind's prior, raised when one of its context words stands within ``near`` code points of the span in a text in pieces."""
     begin = F.greatest(span["start"] - near, F.lit(0))
-    around = F.lower(
-        F.concat_ws(
-            " ",
-            F.substring(text, (begin + 1).cast("int"), (span["start"] - begin).cast("int")),
-            F.substring(text, (span["end"] + 1).cast("int"), F.lit(near)),
-        )
-    )
+    around = F.lower(F.concat_ws(" ", cut_out(pieces, begin, span["start"]), cut_out(pieces, span["end"], span["end"] + near)))
     score = F.lit(0.0)
     for kind in (*KINDS, *ADDED):
         words = r"(?<![\p{L}\p{N}])(?:" + "|".join(CONTEXT[kind]) + r")(?![\p{L}\p{N}])"
@@ -121,5 +115,5 @@ def find_pii(docs: DataFrame, near: int = NEAR) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("all")).alias("spans"),
-        F.array_join(F.transform("all", lambda s: span_score(F.col("body"), s, near).cast("string")), ",").alias("scores"),
+        F.when(F.size("all") > 0, let(pieces_of(F.col("body")), lambda p: F.array_join(F.transform("all", lambda s: span_score(p, s, near).cast("string")), ","))).otherwise("").alias("scores"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .spans import joined, let, match_spans, tagged
+from .spans import before_each, cut_out, joined, let, match_spans, pieces_of, tagged
 
 #: The kinds of the contract, in its order.
 KINDS = ("assign", "access", "hex")
@@ -49,9 +49,10 @@ CLASSES = (
     EntropyClass("entropy_mixed", DIGITS + LOWER + LOWER.upper(), r"(?<![A-Za-z0-9+/_=-])[0-9A-Za-z]{20,}+(?![A-Za-z0-9+/_=-])", 3.6),
 )
 
-#: Candidates that match one of these are no secrets: words without a digit, numbers, UUIDs and rules drawn in text.
+#: Candidates that match one of these are no secrets: paths, names and identifiers (no letter follows a digit, and no five
+#: digits each other), numbers, UUIDs and rules drawn in text.
 ALLOWED = (
-    r"^[A-Za-z_/=+-]+$",
+    r"^(?!.*(?:[0-9][A-Za-z]|[0-9]{5}))",
     r"^[0-9_/=+-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
@@ -180,18 +181,16 @@ def redact_secrets(docs: DataFrame, window: int = 20, classes=CLASSES, allowed=A
     text included.
     """
     body, spans = F.col("body"), F.col("spans")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(st: Column, s: Column) -> Column:
-        fresh = s["start"] >= st["at"]
-        before = F.substring(body, (st["at"] + 1).cast("int"), (s["start"] - st["at"]).cast("int"))
-        return F.struct(
-            F.greatest(st["at"], s["end"]).alias("at"), F.when(fresh, F.concat(st["out"], before, F.lit(mark))).otherwise(st["out"]).alias("out")
-        )
+    def clean(found: Column) -> Column:
+        """The pieces of text between findings, joined by the mark; a finding that begins within those before it adds none."""
+        ends = F.transform(found, lambda s: s["end"])
+        reached = F.transform(F.arrays_zip(found.alias("s"), before_each(ends, F.greatest).alias("at")), lambda z: F.struct(z["s"]["start"].alias("start"), z["at"].alias("at")))
+        kept = F.concat(F.filter(reached, lambda r: r["start"] >= r["at"]), F.array(F.struct(F.length(body).cast("long").alias("start"), F.array_max(ends).alias("at"))))
+        return let(pieces_of(body), lambda p: F.array_join(F.transform(kept, lambda k: cut_out(p, k["at"], k["start"])), mark))
 
-    clean = F.aggregate(spans, begin, step, lambda st: F.concat(st["out"], F.substring(body, (st["at"] + 1).cast("int"), F.length(body))))
     done = with_spans(docs, window, classes, allowed).select(
-        "row", F.when(F.size(spans) > 0, clean).otherwise(F.col("row.text").cast("string")).alias("clean"), (F.size(spans) > 0).alias("hit")
+        "row", F.when(F.size(spans) > 0, let(spans, clean)).otherwise(F.col("row.text").cast("string")).alias("clean"), (F.size(spans) > 0).alias("hit")
     )
     columns = []
     for name, kind in docs.dtypes:

@@ -32,11 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, staged, whole_text
-from .quality import held_out
 from .words import byte_kinds, words_of
 
 FOLDS, OUT = 3, 1
@@ -80,8 +79,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, outside, most: int)
     return found.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "least.text")
 
 
-def is_held_out(doc_id):
-    return held_out(doc_id, FOLDS, OUT)
+def is_held_out(doc_id: Column) -> Column:
+    """Whether a row is kept from training; rows without a doc_id are not held out, and carry no label."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == OUT, F.lit(False))
 
 
 def vocabulary(examples: DataFrame, settings: Settings) -> list[str]:

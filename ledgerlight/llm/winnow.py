@@ -10,7 +10,8 @@ the first one).  A text shorter than k has one entry, the hash of the whole
 text; an empty text has an empty fingerprint.  Null text counts as empty; long
 texts are read whole; an empty table gives an empty result; other columns do
 not matter, whatever their names.  Documents of one doc_id stand in the order
-of their texts, those without a doc_id come last.
+of a hash of their texts (then of the texts), however many they are and however
+the table is partitioned; those without a doc_id come last.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def with_next(docs: DataFrame, schema: str, make, parts: int | None = None) -> D
     Documents are dealt to ranges of doc_id, and the rows of one doc_id (or of
     none) that are more than ``HEAVY_ROWS`` and would fill several ranges to
     ranges of a hash of their text.  Rows of one doc_id follow each other by
-    these ranges, then by their text.  What follows a range's last document is
+    that hash, then by their text, so the order is one whether or not they are
+    dealt to several ranges.  What follows a range's last document is
     the first of the next range, which goes along as a guest; the bounds and
     those firsts are a few numbers for each range.
     """
@@ -135,14 +137,14 @@ def with_next(docs: DataFrame, schema: str, make, parts: int | None = None) -> D
         null = keys.isna().to_numpy()
         ids = keys.fillna(0).to_numpy("i8")
         place = np.searchsorted(cuts, ids, side="right")
-        share = (ties.to_numpy("i8").view("u8") >> np.uint64(11)) / float(1 << 53)
+        share = ((ties.to_numpy("i8") ^ np.int64(-(1 << 63))).view("u8") >> np.uint64(11)) / float(1 << 53)  # rises with the hash
         at = np.maximum(place - 1, 0)
         split = np.where((place > 0) & (cuts[at] == ids), many[at], 0) if len(cuts) else np.zeros(len(ids), "i8")
         within = np.where(split > 0, 1 + (share * split).astype("i8"), 0)
         return pd.Series(np.where(null, -(share * nulls).astype("i8"), (place + 1) * (1 << 20) - within))
 
     tied = rows.withColumn("tie", F.xxhash64("text")).withColumn("part", range_of("doc_id", "tie"))
-    first = F.min_by(F.struct("doc_id", "tie"), F.struct((-F.col("doc_id")).alias("down"), "text")).alias("head")
+    first = F.min_by(F.struct("doc_id", "tie"), F.struct((-F.col("doc_id")).alias("down"), "tie", "text")).alias("head")
     heads = tied.groupBy("part").agg(first).orderBy(F.desc("part")).collect()
     hosts: dict[tuple, list[int]] = {}
     for r, above in zip(heads, [*heads[-1:], *heads[:-1]], strict=True):
@@ -150,9 +152,9 @@ def with_next(docs: DataFrame, schema: str, make, parts: int | None = None) -> D
     places = spark.createDataFrame([(i, t, h) for (i, t), own in hosts.items() for h in own], "first_id long, first_tie long, host long")
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
     chosen = tied.join(F.broadcast(places.select("first_id", "first_tie").distinct()), same, "left_semi")  # a row for each range
-    guests = chosen.groupBy("doc_id", "tie").agg(F.first("text").alias("text")).join(F.broadcast(places), same)
-    dealt = tied.select("doc_id", "text", "part", F.lit(False).alias("guest")).unionByName(guests.select("doc_id", "text", F.col("host").alias("part"), F.lit(True).alias("guest")))
-    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
+    guests = chosen.groupBy("doc_id", "tie").agg(F.min("text").alias("text")).join(F.broadcast(places), same)
+    dealt = tied.select("doc_id", "tie", "text", "part", F.lit(False).alias("guest")).unionByName(guests.select("doc_id", "tie", "text", F.col("host").alias("part"), F.lit(True).alias("guest")))
+    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "tie", "text")
 
     def run(batches):
         held = None  # (part, doc_id, text) that waits for its next; or a part whose guest has come
