@@ -11,9 +11,9 @@ them are counted in the same way.
 
 What a block counted leaves it in packets, one for each lane that a pair's hash
 falls to; a lane adds up the packets of all blocks and keeps what is frequent.
-A block never looks a pair up in a table of all pairs: its packets meet the
-numbered pairs of their lane once more, and what is frequent comes back to it
-as its own small table.  All counts are exact and cover all texts.
+A block never looks a pair up in a table of all pairs: the frequent part of its
+packets meets the numbered pairs of its lane and comes back to it as its own
+small table.  Numbers travel as narrow, compressed differences.  All counts are exact and cover all texts.
 
 Null text counts as empty, a null language as ``und``; a word is never cut,
 whatever its length; rows that repeat count each for itself; an empty table
@@ -22,6 +22,7 @@ gives an empty result; other columns do not matter, whatever their names.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -45,6 +46,7 @@ TILES = 1024
 BLOCK_BYTES = 8 << 20
 #: Words of the corpus for each lane at most, which bounds what a lane adds up.
 LANE = 1 << 21
+CODEC = pa.Codec("zstd", compression_level=1)
 WORDS = "lang string, lane int, block long, codes binary, words binary, counts binary"
 PAIRS = "lang string, lane int, block long, left binary, right binary, counts binary"
 
@@ -70,9 +72,9 @@ def word_blocks(docs: DataFrame) -> DataFrame:
         for distinct, codes in held:
             parts.append(np.where(codes >= 0, place[np.maximum(codes, 0) + at], -1) if len(distinct) else codes)
             at += len(distinct)
-        ids = np.concatenate(parts).astype("<i4")
+        ids = np.concatenate(parts)
         counts = np.bincount(ids[ids >= 0], minlength=len(whole.dictionary)).astype("i8")
-        binary = (ids.tobytes(), b" ".join(whole.dictionary.to_pylist()), counts.astype("<i8").tobytes())  # no word holds a blank
+        binary = (squeezed(ids + 1), text_squeezed(b" ".join(whole.dictionary.to_pylist())), squeezed(counts))  # no word holds a blank
         columns = [pa.array([lang]), pa.array([int(counts.sum())]), *(pa.array([v], pa.binary()) for v in binary)]
         return pa.record_batch(columns, ["lang", "n", "ids", "words", "counts"])
 
@@ -136,28 +138,50 @@ def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, ids[at], ids[at + 1]
 
 
-def numbers(row: pa.RecordBatch, i: int) -> np.ndarray:
-    """The numbers of a block, as wide as its greatest one asked for."""
-    return np.frombuffer(row.column("ids")[i].as_py(), f"<i{row.column('width')[i].as_py()}").astype("i8")
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers of at least 0 in as few bytes each as the greatest one needs, their bytes of one rank together, compressed."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view("u1").reshape(-1, width).T)
+    return struct.pack("<BQ", width, len(values)) + (CODEC.compress(planes, asbytes=True) if len(values) else b"")
 
 
-def whole_numbers(column) -> np.ndarray:
-    """The longs of a column of packets, one packet after another."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<i8")
+def released(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", data)
+    if not n:
+        return np.zeros(0, "i8")
+    planes = np.frombuffer(CODEC.decompress(memoryview(data)[9:], width * n, asbytes=True), "u1").reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype("i8")
 
 
-def lane_bounds(lane: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of entries by lane, the lanes that have some, and where each begins and ends."""
-    order = np.argsort(lane, kind="stable")
-    ends = np.searchsorted(lane[order], np.arange(lanes + 1))
-    used = np.flatnonzero(np.diff(ends))
-    return order, used, ends
+def text_squeezed(text: bytes) -> bytes:
+    return struct.pack("<Q", len(text)) + CODEC.compress(text, asbytes=True)
+
+
+def text_released(data: bytes) -> bytes:
+    return CODEC.decompress(memoryview(data)[8:], struct.unpack_from("<Q", data)[0], asbytes=True)
+
+
+def rises(values: np.ndarray) -> np.ndarray:
+    """The differences of rising numbers from 0 on."""
+    return np.diff(values, prepend=0)
+
+
+def all_released(column) -> np.ndarray:
+    """The numbers of all packets of a column, one after another."""
+    parts = [released(v) for v in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, "i8")
+
 
+def all_risen(column) -> np.ndarray:
+    parts = [np.cumsum(released(v)) for v in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, "i8")
 
-def packet(values: np.ndarray, used: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Longs in order of lanes as a binary value for each lane used."""
-    bounds = np.append(ends[used], ends[-1]).astype("<i4") * 8
-    return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(values, "<i8"))])
+
+def lane_bounds(order: np.ndarray, lane: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For entries in an order by lane: the lanes that have some, and where each begins and ends."""
+    ends = np.searchsorted(lane[order], np.arange(lanes + 1))
+    return np.flatnonzero(np.diff(ends)), ends
 
 
 def word_packets(blocks: DataFrame, lanes: int) -> DataFrame:
@@ -166,30 +190,37 @@ def word_packets(blocks: DataFrame, lanes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                joined = batch.column("words")[i].as_py()
+                joined = text_released(batch.column("words")[i].as_py())
                 words = joined.split(b" ") if joined else []
-                counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i8")
-                order, used, ends = lane_bounds(np.array([zlib.crc32(w) % lanes for w in words], "i8"), lanes)
-                own = [b" ".join([words[j] for j in order[ends[k] : ends[k + 1]].tolist()]) for k in used.tolist()]
+                counts = released(batch.column("counts")[i].as_py())
+                lane = np.array([zlib.crc32(w) % lanes for w in words], "i8")
+                order = np.argsort(lane, kind="stable")
+                used, ends = lane_bounds(order, lane, lanes)
+                own = [order[ends[k] : ends[k + 1]] for k in used.tolist()]
+                rows = [(squeezed(rises(o)), text_squeezed(b" ".join([words[j] for j in o.tolist()])), squeezed(counts[o])) for o in own]
                 head = [pa.repeat(batch.column("lang")[i], len(used)), pa.array(used.astype("i4")), pa.repeat(batch.column("block")[i], len(used))]
-                yield pa.record_batch([*head, packet(order, used, ends), pa.array(own, pa.binary()), packet(counts[order], used, ends)], ["lang", "lane", "block", "codes", "words", "counts"])
+                yield pa.record_batch([*head, *(pa.array([r[c] for r in rows], pa.binary()) for c in range(3))], ["lang", "lane", "block", "codes", "words", "counts"])
 
     return staged(blocks.select("block", "lang", "words", "counts").mapInArrow(run, WORDS), "phrase-packets")
 
 
 def pair_packets(blocks: DataFrame, lanes: int) -> DataFrame:
-    """Each block's distinct pairs of neighbouring numbers with their counts, by lane of a hash."""
+    """Each block's distinct pairs of neighbouring numbers with their counts, by lane of a hash and in order."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, left, right = neighbours(numbers(batch, i))
+                _, left, right = neighbours(released(batch.column("ids")[i].as_py()) - 1)
                 left, right, n = (np.concatenate(c) for c in zip(*tile_counts(left, right), strict=True))
-                order, used, ends = lane_bounds(pair_lane(left, right, lanes), lanes)
+                lane = pair_lane(left, right, lanes)
+                order = np.lexsort((right, left, lane))
+                used, ends = lane_bounds(order, lane, lanes)
+                own = [order[ends[k] : ends[k + 1]] for k in used.tolist()]
                 head = [pa.repeat(batch.column("lang")[i], len(used)), pa.array(used.astype("i4")), pa.repeat(batch.column("block")[i], len(used))]
-                yield pa.record_batch([*head, *(packet(c[order], used, ends) for c in (left, right, n))], ["lang", "lane", "block", "left", "right", "counts"])
+                rows = [(squeezed(rises(left[o])), squeezed(right[o]), squeezed(n[o])) for o in own]
+                yield pa.record_batch([*head, *(pa.array([r[c] for r in rows], pa.binary()) for c in range(3))], ["lang", "lane", "block", "left", "right", "counts"])
 
-    return staged(blocks.select("block", "lang", "width", "ids").mapInArrow(run, PAIRS), "phrase-packets")
+    return staged(blocks.select("block", "lang", "ids").mapInArrow(run, PAIRS), "phrase-packets")
 
 
 def pair_lane(left: np.ndarray, right: np.ndarray, lanes: int) -> np.ndarray:
@@ -197,29 +228,70 @@ def pair_lane(left: np.ndarray, right: np.ndarray, lanes: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype("i8") % lanes
 
 
-def frequent_words(packets: DataFrame, least: int) -> DataFrame:
-    """(lang, lane, word, n) of the words with at least so many occurrences."""
+def frequent_words(packets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, lane, word, n) of the words with at least so many occurrences, and the packets without all others."""
 
     def add(table: pa.Table) -> pa.Table:
-        words = pa.array([w for p in table.column("words").to_pylist() for w in p.split(b" ")], pa.binary()).dictionary_encode()
-        n = np.bincount(words.indices.to_numpy(), whole_numbers(table.column("counts")), len(words.dictionary)).astype("i8")
-        kept = np.flatnonzero(n >= least)
-        head = [pa.repeat(table.column(c)[0], len(kept)) for c in ("lang", "lane")]
-        return pa.table([*head, words.dictionary.take(pa.array(kept)).cast(pa.string()), pa.array(n[kept])], ["lang", "lane", "word", "n"])
+        parts = [text_released(p).split(b" ") for p in table.column("words").to_pylist()]
+        words = pa.array([w for p in parts for w in p], pa.binary()).dictionary_encode()
+        own = words.indices.to_numpy()
+        n = np.bincount(own, all_released(table.column("counts")), len(words.dictionary)).astype("i8")
+        often = n >= least
+        kept = np.flatnonzero(often)
+        distinct = words.dictionary.take(pa.array(kept))
+        rows, at = [(None, None, text_squeezed(b" ".join(distinct.to_pylist())), squeezed(n[kept]))], 0
+        for block, codes, p in zip(table.column("block").to_pylist(), table.column("codes").to_pylist(), parts, strict=True):
+            stays = np.flatnonzero(often[own[at : at + len(p)]])
+            at += len(p)
+            if len(stays):
+                rows.append((block, squeezed(rises(np.cumsum(released(codes))[stays])), text_squeezed(b" ".join([p[j] for j in stays.tolist()])), None))
+        return parcel(table, rows if len(kept) else [], ("block", "codes", "words", "counts"))
+
+    met = staged(packets.groupBy("lang", "lane").applyInArrow(add, WORDS), "phrase-frequent")
+
+    def listed(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, n = text_released(batch.column("words")[i].as_py()).split(b" "), released(batch.column("counts")[i].as_py())
+                yield pa.record_batch([pa.repeat(batch.column("lang")[i], len(n)), pa.repeat(batch.column("lane")[i], len(n)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], ["lang", "lane", "word", "n"])
 
-    return packets.select("lang", "lane", "words", "counts").groupBy("lang", "lane").applyInArrow(add, "lang string, lane int, word string, n long")
+    return met.filter("block IS NULL").mapInArrow(listed, "lang string, lane int, word string, n long"), met.filter("block IS NOT NULL")
 
 
-def frequent_pairs(packets: DataFrame, least: int) -> DataFrame:
-    """(lang, lane, left, right, n) of the pairs with at least so many occurrences."""
+def frequent_pairs(packets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, lane, left, right, n) of the pairs with at least so many occurrences, and the packets without all others."""
 
     def add(table: pa.Table) -> pa.Table:
-        left, right, n = sorted_sums(*(whole_numbers(table.column(c)) for c in ("left", "right", "counts")))
-        kept = n >= least
-        head = [pa.repeat(table.column(c)[0], int(kept.sum())) for c in ("lang", "lane")]
-        return pa.table([*head, *(pa.array(c[kept], pa.int64()) for c in (left, right, n))], ["lang", "lane", "left", "right", "n"])
+        left, right = all_risen(table.column("left")), all_released(table.column("right"))
+        a, b, n = sorted_sums(left, right, all_released(table.column("counts")))
+        often = n >= least
+        a, b, n = a[often], b[often], n[often]
+        rows, at = [(None, squeezed(rises(a)), squeezed(b), squeezed(n))], 0
+        sizes = [struct.unpack_from("<BQ", v)[1] for v in table.column("right").to_pylist()]
+        there = lookup(a, b, n, left, right) > 0
+        for block, size in zip(table.column("block").to_pylist(), sizes, strict=True):
+            stays = at + np.flatnonzero(there[at : at + size])
+            at += size
+            if len(stays):
+                rows.append((block, squeezed(rises(left[stays])), squeezed(right[stays]), None))
+        return parcel(table, rows if len(n) else [], ("block", "left", "right", "counts"))
+
+    met = staged(packets.groupBy("lang", "lane").applyInArrow(add, PAIRS), "phrase-frequent")
+
+    def listed(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right, n = np.cumsum(released(batch.column("left")[i].as_py())), released(batch.column("right")[i].as_py()), released(batch.column("counts")[i].as_py())
+                yield pa.record_batch([pa.repeat(batch.column("lang")[i], len(n)), pa.repeat(batch.column("lane")[i], len(n)), pa.array(left), pa.array(right), pa.array(n)], ["lang", "lane", "left", "right", "n"])
+
+    return met.filter("block IS NULL").mapInArrow(listed, "lang string, lane int, left long, right long, n long"), met.filter("block IS NOT NULL")
+
 
-    return packets.select("lang", "lane", "left", "right", "counts").groupBy("lang", "lane").applyInArrow(add, "lang string, lane int, left long, right long, n long")
+def parcel(table: pa.Table, rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
+    """Rows with the language and lane of a group."""
+    head = [pa.array([table.column(c)[0].as_py()] * len(rows), k) for c, k in (("lang", pa.string()), ("lane", pa.int32()))]
+    kinds = [pa.int64(), *[pa.binary()] * (len(names) - 1)]
+    return pa.table([*head, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["lang", "lane", *names])
 
 
 def ranked(frequent: DataFrame, keys: list[str]) -> DataFrame:
@@ -238,16 +310,12 @@ def ranked(frequent: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def word_tables(packets: DataFrame, words: DataFrame) -> DataFrame:
-    """For each block and lane the block's own numbers of frequent words, with the words' ranks."""
+    """For each block the block's own numbers of frequent words with their ranks, a pair of lists for each lane."""
 
     def meet(own: pa.Table, known: pa.Table) -> pa.Table:
         number = dict(zip(known.column("word").cast(pa.binary()).to_pylist(), known.column("id").to_pylist(), strict=True))
-        rows = []
-        for block, codes, joined in zip(*(own.column(c).to_pylist() for c in ("block", "codes", "words")), strict=True):
-            ids = np.array([number.get(w, -1) for w in joined.split(b" ")], "<i8")
-            rows.append((block, np.frombuffer(codes, "<i8")[ids >= 0].tobytes(), ids[ids >= 0].tobytes()))
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-        return pa.table(columns, ["block", "codes", "ids"])
+        ids = [squeezed(np.array([number[w] for w in text_released(p).split(b" ")], "i8")) for p in own.column("words").to_pylist()]
+        return pa.table([own.column("block"), own.column("codes"), pa.array(ids, pa.binary())], ["block", "codes", "ids"])
 
     left, right = packets.select("lang", "lane", "block", "codes", "words").groupBy("lang", "lane"), words.select("lang", "lane", "word", "id").groupBy("lang", "lane")
     met = left.cogroup(right).applyInArrow(meet, "block long, codes binary, ids binary")
@@ -255,30 +323,24 @@ def word_tables(packets: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def pair_tables(packets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each block and lane the block's frequent pairs with their ranks."""
+    """For each block the block's frequent pairs with their ranks, three lists for each lane."""
 
     def meet(own: pa.Table, known: pa.Table) -> pa.Table:
         left, right, ids = (known.column(c).to_numpy() for c in ("left", "right", "id"))
-        rows = []
-        for block, a, b in zip(*(own.column(c).to_pylist() for c in ("block", "left", "right")), strict=True):
-            a, b = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
-            found = lookup(left, right, ids, a, b)
-            rows.append((block, *(c[found >= 0].astype("<i8").tobytes() for c in (a, b, found))))
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-        return pa.table(columns, ["block", "left", "right", "ids"])
+        found = [squeezed(lookup(left, right, ids, np.cumsum(released(a)), released(b))) for a, b in zip(own.column("left").to_pylist(), own.column("right").to_pylist(), strict=True)]
+        return pa.table([own.column("block"), own.column("left"), own.column("right"), pa.array(found, pa.binary())], ["block", "left", "right", "ids"])
 
     own, known = packets.select("lang", "lane", "block", "left", "right").groupBy("lang", "lane"), pairs.select("lang", "lane", "left", "right", "id").groupBy("lang", "lane")
     met = own.cogroup(known).applyInArrow(meet, "block long, left binary, right binary, ids binary")
     return met.groupBy("block").agg(*(F.collect_list(c).alias(f"known_{c}") for c in ("left", "right", "ids")))  # no more than the block's pairs
 
 
-NUMBERED = "block long, lang string, width int, ids binary"
+NUMBERED = "block long, lang string, ids binary"
 
 
 def numbered(batch: pa.RecordBatch, i: int, ids: np.ndarray) -> pa.RecordBatch:
-    """A block with new numbers, in four bytes each if they fit."""
-    width = 4 if ids.max(initial=0) < 1 << 31 else 8
-    return pa.record_batch([batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([width], pa.int32()), pa.array([ids.astype(f"<i{width}").tobytes()], pa.binary())], ["block", "lang", "width", "ids"])
+    """A block with new numbers, -1 (stored as 0) where there is none."""
+    return pa.record_batch([batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([squeezed(ids + 1)], pa.binary())], ["block", "lang", "ids"])
 
 
 def renumbered_words(blocks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -287,9 +349,9 @@ def renumbered_words(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i4")
-                ranks = np.full(int(ids.max(initial=-1)) + 2, -1, "<i8")  # the last one for the -1 between pieces
-                ranks[whole_numbers(batch.column("known_codes")[i].values)] = whole_numbers(batch.column("known_ids")[i].values)
+                ids = released(batch.column("ids")[i].as_py()) - 1
+                ranks = np.full(int(ids.max(initial=-1)) + 2, -1, "i8")  # the last one for the -1 between pieces
+                ranks[all_risen(batch.column("known_codes")[i].values)] = all_released(batch.column("known_ids")[i].values)
                 yield numbered(batch, i, ranks[ids])
 
     return staged(blocks.select("block", "lang", "ids").join(tables, "block").mapInArrow(run, NUMBERED), "phrase-ids")
@@ -301,10 +363,11 @@ def renumbered_pairs(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = numbers(batch, i)
+                ids = released(batch.column("ids")[i].as_py()) - 1
                 at, left, right = neighbours(ids)
-                out = np.full(len(ids), -1, "<i8")
-                out[at] = lookup(*(whole_numbers(batch.column(f"known_{c}")[i].values) for c in ("left", "right", "ids")), left, right)
+                out = np.full(len(ids), -1, "i8")
+                known = [all_risen(batch.column("known_left")[i].values), *(all_released(batch.column(f"known_{c}")[i].values) for c in ("right", "ids"))]
+                out[at] = lookup(*known, left, right)
                 yield numbered(batch, i, out)
 
     return staged(blocks.join(tables, "block").mapInArrow(run, NUMBERED), "phrase-ids")
@@ -364,13 +427,14 @@ def mine(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     n = blocks.agg(F.sum("n")).head()[0] or 0
     lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LANE))
     packets = word_packets(blocks, lanes)
-    words = ranked(frequent_words(packets, settings.least), ["word"])
+    frequent, packets = frequent_words(packets, settings.least)
+    words = ranked(frequent, ["word"])
     ids = renumbered_words(blocks, word_tables(packets, words))
     phrases = words.select("lang", "id", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("heads"), F.array("n").alias("tails"))
     levels = []
     for m in range(2, settings.most_words + 1):
-        packets = pair_packets(ids, lanes)
-        pairs = ranked(frequent_pairs(packets, settings.least), ["left", "right"])
+        frequent, packets = frequent_pairs(pair_packets(ids, lanes), settings.least)
+        pairs = ranked(frequent, ["left", "right"])
         phrases = staged(longer(phrases, pairs), "phrases")
         levels.append(phrases)
         if m < settings.most_words:
