@@ -57,7 +57,7 @@ class Settings:
     neighbours: int = 24
     power: float = 3.0
     prior: float = 0.5
-    block: int = 128
+    block: int = 1024
     threshold: float = 0.7
 
 
