@@ -107,12 +107,16 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 
 
 def place_pieces(pieces: DataFrame, capacity: int, lanes: int = LANES) -> DataFrame:
-    """``pieces`` (read twice, so best a written table) with sequence_id and offset.
+    """``pieces`` with sequence_id and offset.
+
+    They are read twice and must be a written table; ``salt`` is a number of each
+    row's own that was written with it, so that rows which are all alike are
+    dealt to many lanes too.
 
     To the driver go the counts by length and lane: at most capacity x lanes numbers.
     """
     spark = pieces.sparkSession
-    laned = pieces.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lanes)).cast("int"))
+    laned = pieces.withColumn("lane", F.pmod(F.xxhash64("salt"), F.lit(lanes)).cast("int"))
     tally = np.zeros((capacity + 1, lanes), "i8")
     for r in laned.groupBy("length", "lane").count().toLocalIterator():
         tally[r["length"], r["lane"]] = r["count"]
@@ -133,7 +137,7 @@ def place_pieces(pieces: DataFrame, capacity: int, lanes: int = LANES) -> DataFr
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*kept, pa.array(sequence), pa.array(runs[of, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    own = Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = laned.withColumn("nth", F.row_number().over(own).cast("long"))
     kind = dict(pieces.dtypes)["doc_id"]
     return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
@@ -141,4 +145,5 @@ def place_pieces(pieces: DataFrame, capacity: int, lanes: int = LANES) -> DataFr
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece with its place; only documents over the capacity are cut."""
-    return place_pieces(staged(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    pieces = token_pieces(docs, path, capacity, end_id).withColumn("salt", F.monotonically_increasing_id())
+    return place_pieces(staged(pieces, "pieces"), capacity)

@@ -12,6 +12,7 @@ hash.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import SharedFiles, fresh_path, slices, whole_text
 
 WORDS = re.compile(r"\w+|[^\w\s]+")
 #: Words whose hash a worker remembers.
@@ -122,13 +123,24 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
                     ["doc_id", "label", "index", "value"],
                 )
 
+    url = fresh_path(docs.sparkSession, "features")
+
     def fit(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["index"], r["value"]))
+        """Goes through the rows several times; their features lie in a file, of which a row's part is mapped when its turn comes."""
+        name, at, places = uuid.uuid4().hex, 0, []
+        with SharedFiles(url).writer(name) as write:
+            for batch in batches:
+                for doc_id, label, index, value in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
+                    places.append((zlib.crc32(str(doc_id).encode()), doc_id, label, at, len(index) // 4))
+                    write(index)
+                    write(value)
+                    at += len(index) + len(value)
+        data = SharedFiles(url).map(name)
+        places.sort()
         model = Ftrl(settings)
         for _ in range(settings.epochs):
-            for r in rows:
-                model.learn(np.frombuffer(r["index"], "<u4"), np.frombuffer(r["value"], "<f4"), r["label"])
+            for _, _, label, at, n in places:
+                model.learn(np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<f4", n, at + 4 * n), label)
         weights = model.weights(np.arange(len(model.z))).astype("<f4")
         yield pa.record_batch([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
