@@ -78,6 +78,16 @@ STREET = r"^\s*\S{1,25}?(?:上る|上ル|下る|下ル|東入る|東入ル|東
 BLOCK_HYPHEN = r"^\s*([0-9]+)-"
 BLOCK_CHO = r"^\s*([0-9]+|[〇一二三四五六七八九十]+)丁(?=\s*[0-9])"
 
+# What stands between a corporation's kind and a name, and how addresses write areas and house numbers.
+CORPORATION_BODY = r"(?:\S{1,20}?(?:会|団|社|機構|法人))?"
+AREA_MARK = "大字|(?<=[^0-9])字(?=[^0-9])"
+BLOCK_MARK = "([0-9]+)(?:丁目|番地?の?|号?の(?=[0-9]))"
+NUMBER_MARK = "([0-9]+)号"
+SPACE_BEFORE_NUMBER = r"(?<=[^0-9\s-]) (?=[0-9])"
+UP_TO_HOUSE_NUMBER = "^(?:[0-9]+(?=[条線地区割])|[^0-9])*?[0-9]+(?:-[0-9]+)*(?![0-9条線地区割])"
+LINE_NUMERAL = "(?<![一二三四五六七八九十])([一二三四五六七八九]?十[一二三四五六七八九]?|[一二三四五六七八九])(?=条|線)"
+BLOCK_NUMERAL = "([〇一二三四五六七八九十]+)(?=丁目)"
+
 # What scanners ask for: folders, endings of files, and the names that are no such thing.
 PROBED_FOLDERS = ("cgi-bin", "phpmyadmin", "pma")
 PROBED_ENDINGS = (".sql", ".bak")

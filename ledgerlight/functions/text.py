@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .fixed import (
-    ABBREVIATED, CORPORATIONS, ERAS, MARKERS, PREFECTURES, PRIVATE_USE, PROBED_ENDINGS, PROBED_FOLDERS, SPARED_PATH,
-    SPARED_SEGMENT, SPELLINGS, UNKNOWN_CHARACTER,
+    ABBREVIATED, AREA_MARK, BLOCK_MARK, BLOCK_NUMERAL, CORPORATION_BODY, CORPORATIONS, ERAS, LINE_NUMERAL, MARKERS, NUMBER_MARK,
+    PREFECTURES, PRIVATE_USE, PROBED_ENDINGS, PROBED_FOLDERS, SPACE_BEFORE_NUMBER, SPARED_PATH, SPARED_SEGMENT, SPELLINGS,
+    UNKNOWN_CHARACTER, UP_TO_HOUSE_NUMBER,
 )
 
 KANJI = {"〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -38,13 +39,12 @@ def kanji_number(text: str) -> int:
 
 @F.pandas_udf(StringType())
 def _block_numerals(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else re.sub("([〇一二三四五六七八九十]+)(?=丁目)", lambda m: str(kanji_number(m[1])), t))
+    return texts.map(lambda t: None if t is None else re.sub(BLOCK_NUMERAL, lambda m: str(kanji_number(m[1])), t))
 
 
 @F.pandas_udf(StringType())
 def _line_numerals(texts: pd.Series) -> pd.Series:
-    numeral = "(?<![一二三四五六七八九十])([一二三四五六七八九]?十[一二三四五六七八九]?|[一二三四五六七八九])(?=条|線)"
-    return texts.map(lambda t: None if t is None else re.sub(numeral, lambda m: str(kanji_number(m[1])), t))
+    return texts.map(lambda t: None if t is None else re.sub(LINE_NUMERAL, lambda m: str(kanji_number(m[1])), t))
 
 
 def replace_private_use(text: Column) -> Column:
@@ -74,8 +74,7 @@ def normalize_for_matching(text: Column, variants: dict[str, str] | None = None)
 
 def _without_corporation(name: Column, kinds: str) -> Column:
     """A name after the corporation of one of the kinds that it begins with; names of nothing else stay whole."""
-    body = r"(?:\S{1,20}?(?:会|団|社|機構|法人))?"
-    rest = F.regexp_replace(name, f"^(?:社団|財団)?(?:{kinds})(?:社団|財団)?{body}", "")
+    rest = F.regexp_replace(name, f"^(?:社団|財団)?(?:{kinds})(?:社団|財団)?{CORPORATION_BODY}", "")
     return F.coalesce(F.nullif(rest, F.lit("")), name)
 
 
@@ -98,11 +97,10 @@ def address_key(address: Column, variants: dict[str, str] | None = None) -> Colu
     """
     whole = F.trim(F.regexp_replace(normalize_for_matching(address, variants), r"(?U)\s+", " "))
     local = F.regexp_replace(whole, f"^(?:{'|'.join(PREFECTURES.values())}) *", "")
-    local = _line_numerals(F.regexp_replace(local, "大字|(?<=[^0-9])字(?=[^0-9])", ""))
-    hyphened = F.regexp_replace(local, "([0-9]+)(?:丁目|番地?の?|号?の(?=[0-9]))", "$1-")
-    tokens = F.regexp_replace(F.regexp_replace(hyphened, "([0-9]+)号", "$1"), r"(?<=[^0-9\s-]) (?=[0-9])", "")
-    named = "(?:[0-9]+(?=[条線地区割])|[^0-9])*?"
-    upto = F.regexp_extract(tokens, f"^{named}[0-9]+(?:-[0-9]+)*(?![0-9条線地区割])", 0)
+    local = _line_numerals(F.regexp_replace(local, AREA_MARK, ""))
+    hyphened = F.regexp_replace(local, BLOCK_MARK, "$1-")
+    tokens = F.regexp_replace(F.regexp_replace(hyphened, NUMBER_MARK, "$1"), SPACE_BEFORE_NUMBER, "")
+    upto = F.regexp_extract(tokens, UP_TO_HOUSE_NUMBER, 0)
     return F.coalesce(F.nullif(upto, F.lit("")), tokens)
 
 

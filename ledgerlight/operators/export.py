@@ -7,6 +7,7 @@ import json
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,14 +127,44 @@ def digests(rows: DataFrame, key: str | list[str], line: str, order: list[str])
     return ordered.select(*keys, line).mapInArrow(run, f"{made}, records long, bytes long, sha256 string")
 
 
-def export_manifest(spark, path: str, rows: DataFrame, scope: dict) -> dict:
-    """Describes the written files (format, area, records, bytes, sha256) and writes ``manifest.json`` as the last of the set."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+#: Bytes of a file that a task holds at a time.
+CHUNK = 4 << 20
+
+
+def file_digests(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Files (path) with bytes and sha256, each read as a stream in pieces, so that a task's memory does not grow with a file."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, name = fs.FileSystem.from_uri(path)
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(name, compression=None) as source:  # the bytes as they are, not what is in them
+                    while piece := source.read(chunk):
+                        digest.update(piece)
+                        size += len(piece)
+                yield pa.record_batch([pa.array([path]), pa.array([size]), pa.array([digest.hexdigest()])], ["path", "bytes", "sha256"])
+
+    return files.select("path").mapInArrow(run, "path string, bytes long, sha256 string")
+
+
+def described_files(spark, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(format, prefecture, bytes, sha256, path) of a set's files; their names come from a scan that reads no content, and are dealt to all tasks."""
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = F.regexp_extract("path", "/(csv|csv_all|jsonl|jsonl_all)/", 1)
     area = F.nullif(F.regexp_extract("path", "/area=([^/]+)/", 1), F.lit(""))
-    described = files.select(name.alias("format"), area.alias("prefecture"), F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"), "path")
+    return file_digests(named.repartition(tasks, "path"), chunk).select(name.alias("format"), area.alias("prefecture"), "bytes", "sha256", "path")
+
+
+def export_manifest(spark, path: str, rows: DataFrame, scope: dict) -> dict:
+    """Describes the written files (format, area, records, bytes, sha256) and writes the manifest as the last of the set.
+
+    It is one document that lists all files, a few for each million rows, so
+    this list goes through the driver; what is in the files does not.
+    """
     counts = {r["prefecture_code"]: r["count"] for r in rows.groupBy("prefecture_code").count().collect()}
-    listed = [r.asDict() | {"records": counts.get(r["prefecture"]) if r["prefecture"] else sum(counts.values())} for r in described.orderBy("path").toLocalIterator()]
+    listed = [r.asDict() | {"records": counts.get(r["prefecture"]) if r["prefecture"] else sum(counts.values())} for r in described_files(spark, path).orderBy("path").toLocalIterator()]
     last = rows.agg(F.max("updated_at").cast("string").alias("last")).head()["last"]
     manifest = {"generated_at": datetime.now(UTC).isoformat(), "data_updated_at": last, "scope": scope, "files": listed}
     spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{path}/manifest")

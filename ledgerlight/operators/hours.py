@@ -206,8 +206,18 @@ def exclude_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 
 
-def not_contiguous(rows: DataFrame, key: str, order: str, unit: list[str]) -> DataFrame:
-    """Keys whose rows are not listed together within a unit, with their number of runs."""
-    own = Window.partitionBy(*unit).orderBy(order)
-    fresh = rows.withColumn("_new", F.when(F.col(key).eqNullSafe(F.lag(key).over(own)), 0).otherwise(1))
-    return fresh.groupBy(*unit, key).agg(F.sum("_new").alias("runs")).filter("runs > 1")
+def not_contiguous(rows: DataFrame, key: str, order: str, unit: list[str], stretch: int = 100_000) -> DataFrame:
+    """Keys whose rows are not listed together within a unit, with their number of runs.
+
+    ``order`` is a number, as that of a row in its file.  Runs are counted within
+    stretches of it, and a run that goes on from the last row of the stretch
+    before counts once, so no task goes through a whole unit.
+    """
+    dealt = rows.withColumn("_part", F.floor(F.col(order) / stretch))
+    own = Window.partitionBy(*unit, "_part").orderBy(order)
+    fresh = F.when(F.row_number().over(own) == 1, 1).when(F.col(key).eqNullSafe(F.lag(key).over(own)), 0).otherwise(1)
+    runs = dealt.withColumn("_new", fresh).groupBy(*unit, key).agg(F.sum("_new").alias("runs"))
+    ends = dealt.groupBy(*unit, "_part").agg(F.min_by(F.struct(F.col(key).alias("v")), order).alias("_first"), F.max_by(F.struct(F.col(key).alias("v")), order).alias("_last"))
+    stitched = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(*unit).orderBy("_part")))  # a row for each stretch
+    again = stitched.filter(F.col("_before").isNotNull() & F.col("_first.v").eqNullSafe(F.col("_before.v"))).select(*unit, F.col("_first.v").alias(key), F.lit(-1).cast("long").alias("runs"))
+    return runs.unionByName(again).groupBy(*unit, key).agg(F.sum("runs").alias("runs")).filter("runs > 1")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BLOCK, BLOCK_CHO, BLOCK_HYPHEN, COUNTY_OR_CITY, HOURS_SOURCE, LAND_SOURCE, PARCEL, PARCEL_BASE, PHARMACY, PREFECTURES, RESIDENCE, STREET, TOWN
-from ..functions.geo import haversine, line_middle
+from ..functions.geo import METRES_PER_DEGREE, haversine, line_middle
 from ..functions.text import address_key, house_numbers, name_key, normalize_for_matching, normalize_station
 
 
@@ -22,20 +22,37 @@ def municipality_names(municipalities: DataFrame, variants: dict[str, str] | Non
     return full.unionByName(short.join(full, ["prefecture_code", "name"], "left_anti"))
 
 
+#: By so many first characters names are told apart before their lengths are tried.
+HEAD = 3
+
+
+def begun_by(rows: DataFrame, names: DataFrame, scope: list[str], text: str, name: str) -> DataFrame:
+    """Rows with each name of their scope that their text begins with.
+
+    Of the names that share a text's first characters only the lengths are looked
+    up, and of the text only its beginnings of these lengths meet the names, by
+    equality.  So a row gives as many candidates as such names have lengths, and
+    most of them are hits.
+    """
+    some = names.filter(F.length(name) > 0)
+    lengths = some.groupBy(*scope, F.substring(name, 1, HEAD).alias("_head")).agg(F.collect_set(F.length(name)).alias("_lengths"))
+    heads = F.array_distinct(F.array(*[F.substring(text, 1, n) for n in range(1, HEAD + 1)]))
+    tried = rows.withColumn("_head", F.explode(heads)).join(lengths, [*scope, "_head"])
+    beginnings = F.transform(F.filter("_lengths", lambda n: n <= F.length(text)), lambda n: F.substring(F.col(text), F.lit(1), n))
+    asked = tried.select(*rows.columns, F.explode(beginnings).alias("_begins"))
+    return asked.join(some.withColumn("_begins", F.col(name)), [*scope, "_begins"]).drop("_begins")
+
+
 def prefix_matches(rows: DataFrame, names: DataFrame, scope: list[str], text: str, key: list[str]) -> DataFrame:
     """(key, code, n): of each row the longest name of its scope that its text begins with, and the name's length.
 
-    The lengths that names of a scope have are few.  Of each text only its
-    beginnings of these lengths are met with the names, by equality, so a row
-    gives as many candidates as there are lengths, and texts stay where they are.
+    No more of a text is carried along than the longest name has characters.
     """
     near = names.select(*scope, F.col("name").alias("_name"), F.col("code").alias("_code"))
-    lengths = near.groupBy(*scope).agg(F.collect_set(F.length("_name")).alias("_lengths"))
-    some = rows.select(*dict.fromkeys([*key, *scope]), F.col(text).alias("_text")).join(lengths, scope)
-    heads = F.transform(F.filter("_lengths", lambda n: (n > 0) & (n <= F.length("_text"))), lambda n: F.substring(F.col("_text"), F.lit(1), n))
-    asked = some.select(*dict.fromkeys([*key, *scope]), F.explode(heads).alias("_name"))
-    found = asked.join(near, [*scope, "_name"])
+    longest = near.agg(F.coalesce(F.max(F.length("_name")), F.lit(0)).alias("_most"))
+    some = rows.select(*dict.fromkeys([*key, *scope]), F.substring(F.col(text), F.lit(1), longest.scalar()).alias("_text"))
     order = F.struct(F.length("_name").alias("n"), F.col("_code").alias("code"))
+    found = begun_by(some, near, scope, "_text", "_name")
     return found.groupBy(*key).agg(F.max(order).alias("b")).select(*key, "b.code", "b.n")
 
 
@@ -56,7 +73,7 @@ def resolve_municipality(rows: DataFrame, names: DataFrame, key: list[str], vari
         own = F.when(F.col("prefecture_code") == code, label).otherwise(own)
     plain = normalize_for_matching(F.col("address"), variants)
     text = F.when(F.startswith(plain, own), F.substr(plain, F.length(own) + 1)).otherwise(plain)
-    asked = rows.select(*key, "prefecture_code", text.alias("_address"))
+    asked = rows.select(*dict.fromkeys([*key, "prefecture_code"]), text.alias("_address"))
     direct = longest_prefix(asked, names, ["prefecture_code"], "_address", key)
     place = F.instr(F.col("_address"), F.lit("島"))
     island = asked.filter((place > 0) & (place <= 6)).join(direct.select(*key), key, "left_anti")
@@ -102,8 +119,8 @@ def match_town(rows: DataFrame, spellings: DataFrame, key: list[str]) -> DataFra
     """
     tidy = lambda c: F.regexp_replace(c, r"^\s*(大字|字)?", "")
     tries = F.array(F.struct(F.lit(0).alias("turn"), tidy(F.col("remainder")).alias("text")), F.struct(F.lit(1).alias("turn"), F.when(F.col("remainder").rlike(STREET), tidy(F.regexp_replace("remainder", STREET, ""))).alias("text")))
-    asked = rows.select(*key, "lg_code", F.explode(tries).alias("t")).select(*key, "lg_code", "t.*").filter("text IS NOT NULL").withColumn("_head", F.substring("text", 1, 1))
-    met = asked.join(spellings.withColumn("_head", F.substring("spelling", 1, 1)), ["lg_code", "_head"]).filter(F.startswith("text", F.col("spelling")))
+    asked = rows.select(*key, "lg_code", F.explode(tries).alias("t")).select(*key, "lg_code", "t.*").filter("text IS NOT NULL")
+    met = begun_by(asked, spellings, ["lg_code"], "text", "spelling")
     after = F.substr("text", F.length("spelling") + 1)
     hyphen, cho = BLOCK_HYPHEN, BLOCK_CHO
     number = F.regexp_replace(F.regexp_extract("_after", cho, 1), "^0+(?=[0-9])", "")
@@ -243,22 +260,63 @@ def assign_match(rows: DataFrame, matches: DataFrame, key: str, seen_at) -> Data
     return both.withColumns({"updated_at": at, "medical_info_net_id": F.col("_m"), "name_kana": F.col("_k"), "website_url": F.col("_w")}).select(*rows.columns)
 
 
-def nearest(points: DataFrame, places: DataFrame, key: list[str], values: list[str], reach: float = 0.03, cell: float = 0.03) -> DataFrame:
+#: Positions that a cell holds before it is split, and how often a cell can be split in four.
+CROWDED, DEEPEST = 1000, 6
+
+
+def split_cells(places: DataFrame, cell: float, most: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """Cells with places (_y, _x, depth) and, of split ones, a place for each cell of each depth (_y, _x, level, _cy, _cx, _ry, _rx).
+
+    A cell's depth is how often it is halved both ways until none of its parts
+    holds more than ``most`` positions.
+    """
+    part = lambda c, level: F.floor(F.col(c) / (F.lit(cell) / F.pow(F.lit(2.0), level)))
+    sizes = places.groupBy("_y", "_x").agg(F.count("*").alias("n"))
+    crowded = places.join(sizes.filter(F.col("n") > most).select("_y", "_x"), ["_y", "_x"], "left_semi")
+    levels = crowded.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))))
+    parts = levels.groupBy("_y", "_x", "level", part("_lat", F.col("level")).alias("_cy"), part("_lon", F.col("level")).alias("_cx")).agg(F.count("*").alias("n"), F.min(F.struct("_lat", "_lon")).alias("at"))
+    fullest = parts.groupBy("_y", "_x", "level").agg(F.max("n").alias("n"))
+    depth = fullest.groupBy("_y", "_x").agg(F.coalesce(F.min(F.when(F.col("n") <= most, F.col("level"))), F.lit(DEEPEST)).alias("depth"))
+    cells = sizes.join(depth, ["_y", "_x"], "left").select("_y", "_x", F.coalesce("depth", F.lit(0)).alias("depth"))
+    return cells, parts.select("_y", "_x", "level", "_cy", "_cx", F.col("at._lat").alias("_ry"), F.col("at._lon").alias("_rx"))
+
+
+def nearest(points: DataFrame, places: DataFrame, key: list[str], values: list[str], reach: float = 0.03, cell: float = 0.03, most: int = CROWDED) -> DataFrame:
     """Points (lat, lon) with the ``values`` of the nearest place (lat, lon, id) within ``reach`` degrees either way; nulls without one.
 
-    Both are dealt to cells; a point meets the places of its own and the eight
-    cells around it.
+    Both are dealt to cells, and crowded cells are split until no part holds more
+    than ``most`` positions (of places at one position the one of least id
+    counts).  A point first takes the distance to one place of each part around
+    it, from the whole cell down to the smallest, as a bound; then it meets only
+    the parts within the least of these distances.
     """
     if reach > cell:
         raise ValueError("cells must be as wide as the reach")
-    at = lambda c: F.floor(c / cell)
-    around = lambda c: F.explode(F.array(*[at(F.col(c)) + v for v in (-1, 0, 1)]))
-    near = places.select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *[F.col(v).alias(f"_v_{v}") for v in values], at(F.col("lat")).alias("_y"), at(F.col("lon")).alias("_x"))
-    spread = points.select(*key, "lat", "lon").withColumn("_y", around("lat")).withColumn("_x", around("lon"))
-    met = spread.join(near, ["_y", "_x"]).filter((F.abs(F.col("lat") - F.col("_lat")) <= reach) & (F.abs(F.col("lon") - F.col("_lon")) <= reach))
-    order = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), "_id")
-    best = met.groupBy(*key).agg(F.min_by(F.struct(*[F.col(f"_v_{v}").alias(v) for v in values]), order).alias("b"))
-    return points.join(best, key, "left").select(*points.columns, *[F.col(f"b.{v}").alias(v) for v in values])
+    at = lambda c: F.floor(F.col(c) / cell)
+    size = F.lit(cell) / F.pow(F.lit(2.0), F.col("depth"))
+    told = F.struct(F.col("id").alias("_id"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    alone = places.groupBy(F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon")).agg(F.min_by(told, "id").alias("_p"))
+    near = alone.withColumns({"_y": at("_lat"), "_x": at("_lon")})
+    cells, parts = split_cells(near.select("_y", "_x", "_lat", "_lon"), cell, most)
+    leaves = near.join(cells, ["_y", "_x"]).withColumns({"_cy": F.floor(F.col("_lat") / size), "_cx": F.floor(F.col("_lon") / size)})
+    asked = points.select(*key, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    # a place's distance around a point bounds how far its nearest one can be
+    steps = asked.withColumns({"_y": at("lat"), "_x": at("lon"), "level": F.explode(F.sequence(F.lit(0), F.lit(DEEPEST)))})
+    own = steps.withColumns({c: F.floor(F.col(v) / (F.lit(cell) / F.pow(F.lit(2.0), F.col("level")))) for c, v in (("_cy", "lat"), ("_cx", "lon"))})
+    known = own.join(parts, ["_y", "_x", "level", "_cy", "_cx"]).filter((F.abs(F.col("lat") - F.col("_ry")) <= reach) & (F.abs(F.col("lon") - F.col("_rx")) <= reach))
+    bounds = known.groupBy(*key).agg(F.min(haversine(F.col("lat"), F.col("lon"), F.col("_ry"), F.col("_rx"))).alias("_far"))
+    high = F.coalesce(F.col("_far") / METRES_PER_DEGREE * 1.002 + 1e-9, F.lit(reach))  # a degree is a little shorter than METRES_PER_DEGREE says
+    wide = F.coalesce(high / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(90.0)))), F.lit(1e-6)), F.lit(reach))
+    boxed = asked.join(bounds, key, "left").withColumns({"_h": F.least(high, F.lit(reach)), "_w": F.least(wide, F.lit(reach))})
+    across = lambda c, by, s: F.sequence(F.floor((F.col(c) - F.col(by)) / s), F.floor((F.col(c) + F.col(by)) / s))
+    spread = boxed.withColumn("_y", F.explode(across("lat", "_h", F.lit(cell)))).withColumn("_x", F.explode(across("lon", "_w", F.lit(cell))))
+    within = spread.join(cells, ["_y", "_x"]).withColumn("_cy", F.explode(across("lat", "_h", size))).withColumn("_cx", F.explode(across("lon", "_w", size)))
+    within = within.filter((F.floor(F.col("_cy") / F.pow(F.lit(2.0), F.col("depth"))) == F.col("_y")) & (F.floor(F.col("_cx") / F.pow(F.lit(2.0), F.col("depth"))) == F.col("_x")))
+    met = within.select(*key, "lat", "lon", "_y", "_x", "_cy", "_cx").join(leaves.drop("depth"), ["_y", "_x", "_cy", "_cx"])
+    met = met.filter((F.abs(F.col("lat") - F.col("_lat")) <= reach) & (F.abs(F.col("lon") - F.col("_lon")) <= reach))
+    order = F.struct(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), F.col("_p._id"))
+    best = met.groupBy(*key).agg(F.min_by("_p", order).alias("b"))
+    return points.join(best, key, "left").select(*points.columns, *[F.col(f"b._v_{v}").alias(v) for v in values])
 
 
 def stale_locations(rows: DataFrame) -> DataFrame:
@@ -284,10 +342,16 @@ def store_locations(rows: DataFrame, found: DataFrame, key: str, seen_at) -> Dat
 
 
 def land_locations(features: DataFrame, names: DataFrame, prefecture: Column, variants: dict[str, str] | None = None) -> DataFrame:
-    """Typed rows of a land registry's points whose municipality can be read off their address."""
-    p = features.select(F.monotonically_increasing_id().alias("id"), F.col("properties.P04_001").cast("int").alias("institution_type"), F.col("properties.P04_002").alias("name"), F.col("properties.P04_003").alias("address"), F.get("geometry.coordinates", F.lit(1)).alias("latitude"), F.get("geometry.coordinates", F.lit(0)).alias("longitude")).withColumn("prefecture_code", prefecture)
-    placed = resolve_municipality(p, names, ["id"], variants).filter("municipality_code IS NOT NULL")
-    return placed.withColumns({"name_key": name_key(F.col("name"), variants), "address_key": address_key(F.col("remainder"), variants)}).drop("remainder")
+    """Typed rows of a land registry's points whose municipality can be read off their address.
+
+    A row's municipality follows from its prefecture and address alone, so these
+    are what is looked up, each distinct one once.
+    """
+    p = features.select(F.col("properties.P04_001").cast("int").alias("institution_type"), F.col("properties.P04_002").alias("name"), F.col("properties.P04_003").alias("address"), F.get("geometry.coordinates", F.lit(1)).alias("latitude"), F.get("geometry.coordinates", F.lit(0)).alias("longitude")).withColumn("prefecture_code", prefecture)
+    asked = p.select("prefecture_code", "address").filter("address IS NOT NULL AND prefecture_code IS NOT NULL").distinct()
+    placed = resolve_municipality(asked, names, ["prefecture_code", "address"], variants).filter("municipality_code IS NOT NULL")
+    keyed = placed.withColumn("address_key", address_key(F.col("remainder"), variants)).drop("remainder")
+    return p.join(keyed, ["prefecture_code", "address"]).withColumn("name_key", name_key(F.col("name"), variants))
 
 
 def station_points(features: DataFrame) -> DataFrame:

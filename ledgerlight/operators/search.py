@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, in_box
@@ -57,6 +57,48 @@ def has_words(rows: DataFrame, query: str, columns: list[str], most: int = 5, no
     return rows
 
 
+#: Lengths of the runs of characters by which words are looked up.
+GRAMS = (1, 2)
+
+
+def grams_of(text: Column) -> Column:
+    """The distinct runs of one and of two characters of a text."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.concat(chars, pairs))
+
+
+def write_word_index(rows: DataFrame, key: str, columns: list[str], path: str, blocks: int = 64) -> None:
+    """Writes ``rows`` in blocks, and postings (gram, block, key) in the order of grams, for ``indexed_words``.
+
+    ``columns`` hold normalized text.  Postings are as many as the texts have
+    distinct pairs of characters: for names and addresses, not for long texts.
+    """
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")
+    rows.select("*", block).hint("rebalance", "_block").write.mode("overwrite").partitionBy("_block").parquet(f"{path}/rows")
+    texts = F.flatten(F.array(*[grams_of(F.lower(F.coalesce(c, F.lit("")))) for c in columns]))
+    postings = rows.select(F.col(key), block, F.explode(F.array_distinct(texts)).alias("gram"))
+    postings.repartitionByRange("gram", key).sortWithinPartitions("gram", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/grams")
+
+
+def indexed_words(spark: SparkSession, path: str, query: str, key: str, columns: list[str], most: int = 5) -> DataFrame:
+    """The rows of a word index in which each word of the query is part of one of the columns.
+
+    Rows that have all runs of characters of the words are proposed by the
+    postings, whose filter reaches the scan; only blocks with a proposed row are
+    read, and each proposed row is looked at for the words themselves.
+    """
+    words = [unicodedata.normalize("NFKC", w).lower() for w in search_words(query, most)]
+    grams = sorted({w[i : i + n] for w in words for n in GRAMS for i in range(len(w) - n + 1) if n == min(max(GRAMS), len(w))})
+    stored = spark.read.parquet(f"{path}/rows")
+    if not grams:
+        return stored.drop("_block")
+    proposed = spark.read.parquet(f"{path}/grams").filter(F.col("gram").isin(grams)).groupBy("_block", key).agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+    blocks = [r["_block"] for r in proposed.select("_block").distinct().collect()]  # no more than there are blocks
+    near = stored.filter(F.col("_block").isin(blocks)).join(proposed.select("_block", key), ["_block", key], "left_semi")
+    return has_words(near, query, columns, most, normalized=True).drop("_block")
+
+
 def nearby(rows: DataFrame, lat: float, lon: float, metres: float = 1000, at: tuple[str, str] = ("latitude", "longitude")) -> DataFrame:
     """Rows within a radius, with ``distance``; the box around it comes first."""
     y, x = F.col(at[0]), F.col(at[1])
@@ -81,12 +123,39 @@ def page(rows: DataFrame, number: int = 1, per_page: int = 25, by: str = "id", u
     return sort_facilities(rows, by, unique).offset((number - 1) * per_page).limit(per_page)
 
 
+def after_cursor(by: str, unique: str, cursor: tuple) -> Column:
+    """Whether a row comes after a cursor (values of ``by`` and the unique column), nulls first.
+
+    The bound on ``by`` alone stands in front, as a condition that scans can take.
+    """
+    if by == unique:
+        return F.col(unique) > F.lit(cursor[-1])
+    first, last = F.lit(cursor[0]), F.lit(cursor[1])
+    if cursor[0] is None:
+        return F.col(by).isNotNull() | (F.col(unique) > last)
+    return (F.col(by) >= first) & ((F.col(by) > first) | (F.col(unique) > last))
+
+
 def page_after(rows: DataFrame, cursor: tuple | None, per_page: int = 25, by: str = "id", unique: str = "id") -> DataFrame:
     """The rows after a cursor, which is the last row's values of ``by`` and the unique column."""
-    names = [unique] if by == unique else [by, unique]
     if cursor is not None:
-        rows = rows.filter(F.struct(*names) > F.struct(*[F.lit(v).alias(n) for n, v in zip(names, cursor, strict=True)]))
-    return rows.orderBy(*names).limit(per_page)
+        rows = rows.filter(after_cursor(by, unique, cursor))
+    return rows.orderBy(*dict.fromkeys([by, unique])).limit(per_page)
+
+
+def write_ordered(rows: DataFrame, path: str, by: str, unique: str, group_bytes: int = 8 << 20) -> None:
+    """Writes rows in the order of pages: files of ranges, each in order, so that a page's bound skips all row groups before it by their statistics.
+
+    Times are written as microseconds, as the older form of them has no statistics.
+    """
+    conf, form = rows.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
+    order = [F.asc_nulls_first(c) for c in dict.fromkeys([by, unique])]
+    before = conf.get(form)
+    conf.set(form, "TIMESTAMP_MICROS")
+    try:
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+    finally:
+        conf.set(form, before)
 
 
 def capped_count(rows: DataFrame, cap: int = 10_001) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ACTIVE, BASELINE, CLOSED, CREATED, DETECTED, REMOVED, REPROCESSED, UPDATED
@@ -25,7 +25,7 @@ class Layout:
     watermark: str = "last_seen_download"
     #: What must appear in a run before a row of it can be closed.
     completeness: tuple[str, ...] = ("institution_type", "prefecture_code")
-    #: The column by which rows of one key in an edition follow each other; without it the order is that of their values as text.
+    #: The column by which rows of one key in an edition follow each other; without it such rows must be alike.
     order: str | None = None
     #: What events of rows that appear or go tell of them.
     described: tuple[str, ...] = ("name", "address")
@@ -62,10 +62,14 @@ def diff_attributes(old: Column, new: Column, kinds: dict[str, str]) -> Column:
 
 
 def last_of_key(rows: DataFrame, layout: Layout) -> DataFrame:
-    """(key, new): of each key the last row's attributes, status and what completeness is about."""
+    """(key, new): of each key the last row's attributes, status and what completeness is about; without an order, rows of a key that differ are an error."""
     values = F.struct(*layout.attributes, "status", *layout.carried)
-    last = F.struct(F.col(layout.order), F.to_json(values)) if layout.order else F.to_json(values)
-    return rows.groupBy(*layout.key).agg(F.max_by(values, last).alias("new"))
+    if layout.order:
+        return rows.groupBy(*layout.key).agg(F.max_by(values, F.struct(layout.order, F.to_json(values))).alias("new"))
+    text = F.to_json(values)
+    unlike = F.raise_error(F.concat(F.lit("rows of one key differ, and the layout has no order: "), F.to_json(F.struct(*layout.key))))
+    found = rows.groupBy(*layout.key).agg(F.max_by(values, text).alias("new"), (F.min(text) == F.max(text)).alias("_alike"))
+    return found.select(*layout.key, F.when(F.col("_alike"), F.col("new")).otherwise(unlike).alias("new"))
 
 
 def compare(master: DataFrame, incoming: DataFrame, layout: Layout) -> DataFrame:
@@ -233,6 +237,41 @@ def enrich_by_code(master: DataFrame, listed: DataFrame, code: Column, columns:
     return both.select(*fresh), counts
 
 
+def enrich_observed(master: DataFrame, listed: DataFrame, code: Column, columns: list[str], seen_at) -> tuple[DataFrame, Counters]:
+    """As ``enrich_by_code``, with the counters (matched, changed, listed) observed while the new master is written, so that nothing is read twice.
+
+    What is listed is counted where the join's right side passes; the counters
+    are there once the new master was written.
+    """
+    listing, passing = Observation("listed"), Observation("passed")
+    found = listed.select(F.col("code").alias("_code"), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit")).dropDuplicates(["_code"]).observe(listing, F.count("*").alias("listed"))
+    both = master.withColumn("_code", code).join(found, "_code", "left")
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_new_{c}"))
+    both = both.withColumn("_changed", changed).observe(passing, F.count_if("_hit").alias("matched"), F.count_if("_changed").alias("changed"))
+    fresh = [F.col(f"_new_{c}").alias(c) if c in columns else F.when(F.col("_changed"), F.lit(seen_at)).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in master.columns]
+    return both.select(*fresh), Counters(listing, passing)
+
+
+class Counters:
+    """Numbers observed by a job; they are there once it is done."""
+
+    def __init__(self, *observed: Observation):
+        self.observed = observed
+
+    @property
+    def get(self) -> dict[str, int]:
+        return {name: n for o in self.observed for name, n in o.get.items()}
+
+
+def observed_outcomes(compared: DataFrame) -> tuple[DataFrame, Counters]:
+    """The compared rows, with the number of each outcome observed as they pass."""
+    seen = Observation("outcomes")
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "reopened", "updated", "unchanged", "missing")]
+    return compared.observe(seen, *counts), Counters(seen)
+
+
 def prune_out_of_scope(master: DataFrame, events: DataFrame, ledger: DataFrame, prefectures: list[str], types: list[int], categories: list[int], key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What stays of master, events and downloads; a download stays if any prefecture it covers is in scope."""
     kept = in_scope(master, prefectures, types)

@@ -117,14 +117,14 @@ def geojson_points(spark, sf_dir):
     return read.select("properties.name", "properties.kind", F.get("geometry.coordinates", F.lit(0)).alias("lon"), F.get("geometry.coordinates", F.lit(1)).alias("lat"))
 
 
-def log_lines(spark, sf_dir) -> str:
+def log_lines(spark, sf_dir, where: str = "true", path: str | None = None) -> str:
     """Events as lines of an access log; the folder they are in."""
-    path = scratch(spark, "log")
+    path = path or scratch(spark, "log")
     request = F.struct(F.col("user_id").cast("string").alias("remote_ip"), F.concat(F.lit("/"), F.when(F.col("user_id") % 13 == 0, ".env").otherwise(F.col("event_type")), F.lit("?q")).alias("uri"))
     status = F.when(F.col("value") > 100, 404).when(F.col("value") > 60, 429).otherwise(200)
     line = F.to_json(F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), status.alias("status"), F.col("event_id").cast("string").alias("msg"), request.alias("request")))
-    rows = table(spark, sf_dir, "events")
-    rows.select(F.when(F.col("event_id") % 17 == 0, "broken").otherwise(line).alias("value")).write.text(path, compression="gzip")
+    rows = table(spark, sf_dir, "events").filter(where)
+    rows.select(F.when(F.col("event_id") % 17 == 0, "broken").otherwise(line).alias("value")).write.mode("append").text(path, compression="gzip")
     return path
 
 
@@ -148,6 +148,23 @@ def access_days(spark, sf_dir):
     return spark.read.parquet(out).select(F.to_date(F.from_utc_timestamp("start", "Asia/Tokyo")).alias("day"), "status", "n", "probes")
 
 
+@query("""
+WITH e AS (SELECT CASE WHEN value > 100 THEN 404 WHEN value > 60 THEN 429 ELSE 200 END AS status, user_id % 13 = 0 AS probe, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, ts, event_id % 7 = 3 AS second FROM events WHERE event_id % 17 > 0),
+w AS (SELECT max(ts) FILTER (NOT second) - INTERVAL 1 DAY AS one, max(ts) - INTERVAL 1 DAY AS two FROM e),
+d AS (SELECT e.*, day + INTERVAL 15 HOUR <= one AS before, day + INTERVAL 15 HOUR <= two AS closed FROM e, w)
+SELECT 'day' AS kind, day, CAST(status AS INTEGER) AS status, count(*) AS n, count(*) FILTER (probe) AS probes FROM d WHERE closed AND NOT (second AND before) GROUP BY ALL
+UNION ALL SELECT 'late', NULL, NULL, count(*), NULL FROM d WHERE second AND before""")
+def access_days_closed(spark, sf_dir):
+    """The log arrives in two parts, the second after the first closed its days; each day is written once, and what is late is counted."""
+    root = scratch(spark, "days-closed")
+    late = 0
+    for where in ("event_id % 7 <> 3", "event_id % 7 = 3"):
+        stream = jobs.read_access_stream(spark, log_lines(spark, sf_dir, where, f"{root}/log"))
+        late += jobs.run_access_days(stream, f"{root}/days", f"{root}/checkpoint")["late"]
+    days = spark.read.parquet(f"{root}/days").select(F.lit("day").alias("kind"), F.to_date(F.from_utc_timestamp("start", "Asia/Tokyo")).alias("day"), "status", "n", "probes")
+    return days.unionByName(spark.createDataFrame([("late", None, None, late, None)], "kind string, day date, status int, n long, probes long"))
+
+
 # ---- the ledger
 
 
@@ -279,6 +296,23 @@ def export_manifest(spark, sf_dir):
     return spark.createDataFrame([(f["format"], f["prefecture"], f["records"]) for f in listed], "format string, prefecture string, records long").distinct()
 
 
+@query("""
+SELECT format, prefecture, records, true AS same FROM (SELECT 'csv' AS format, lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') AS prefecture, count(*) AS records FROM customer GROUP BY 2
+UNION ALL SELECT 'jsonl', lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0'), count(*) FROM customer GROUP BY 2 UNION ALL SELECT 'csv_all', NULL, count(*) FROM customer UNION ALL SELECT 'jsonl_all', NULL, count(*) FROM customer)""")
+def export_digests(spark, sf_dir):
+    """Bytes and digests of the manifest, read in pieces, against those of the whole files."""
+    from ..functions.fixed import BUREAUS
+
+    path, rows = scratch(spark, "export"), facilities(spark, sf_dir)
+    export.export_bulk(rows, municipalities(spark, sf_dir), BUREAUS, path)
+    listed = export.described_files(spark, path, chunk=1000)
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    told = listed.join(whole.select("path", F.length("content").alias("size"), F.sha2("content", 256).alias("digest")), "path", "full")
+    same = F.coalesce((F.col("bytes") == F.col("size")) & (F.col("sha256") == F.col("digest")), F.lit(False))
+    counts = rows.groupBy(F.col("prefecture_code").alias("prefecture")).agg(F.count("*").alias("records")).unionByName(rows.agg(F.count("*").alias("records")).select(F.lit(None).cast("string").alias("prefecture"), "records"))
+    return told.groupBy("format", "prefecture").agg(F.bool_and(same).alias("same")).join(counts.withColumnRenamed("prefecture", "_p"), F.col("prefecture").eqNullSafe(F.col("_p"))).select("format", "prefecture", "records", "same")
+
+
 @query("""
 SELECT what, due FROM (VALUES ('first', true), ('same', false), ('other scope', true)) AS t(what, due) UNION ALL SELECT 'newer', max(c_custkey) >= 0 FROM customer""")
 def exports_due(spark, sf_dir):

@@ -7,10 +7,12 @@ whole tables.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import access_log, events, export, hours, matching, records, search, snapshot, stats
+from ..operators import access_log, events, export, hours, matching, records, search, snapshot, stats, versions
 from ..sources import ledger, links
 from ..streaming import jobs
 from .base import QUERIES, SQL, query, scratch, table
@@ -88,6 +90,7 @@ def level_report(spark, sf_dir):
 
 # Edition B also holds every fourth order twice; the later row counts.
 LAYOUT = snapshot.Layout(key=("o_orderkey",), attributes=("o_orderpriority", "o_totalprice"), order="row_no", described=("o_orderpriority",))
+SCOPED = replace(LAYOUT, key=(*LAYOUT.completeness, "o_orderkey"))
 SEEN = "2024-02-01 00:00:00"
 EDITIONS_SQL = """
 WITH base AS (SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderstatus AS institution_type, CAST(o_custkey % 5 AS VARCHAR) AS prefecture_code FROM orders),
@@ -152,28 +155,33 @@ SELECT o_orderkey, CASE WHEN missing AND NOT (institution_type = 'P' AND prefect
 CASE WHEN missing THEN old_p ELSE new_p END AS o_orderpriority, CAST(CASE WHEN missing THEN 1 ELSE 2 END AS BIGINT) AS last_seen_download FROM c"""
 
 
+def master_of(spark, sf_dir):
+    """The first edition as a master by scope, with the second edition."""
+    first, incoming = editions(spark, sf_dir)
+    master = versions.Master(spark, scratch(spark, "master"), SCOPED, first.schema)
+    master.create(first)
+    return master, incoming
+
+
 @query(EDITIONS_SQL + MASTER_SQL)
 def snapshot_master(spark, sf_dir):
-    master, incoming = editions(spark, sf_dir)
-    after, _ = snapshot.apply_snapshot(master, incoming, 2, "2024-02-01", SEEN, LAYOUT)
-    closed, _ = snapshot.reconcile_closures(after, incoming, 2, "2024-02-01", SEEN, LAYOUT)
-    return closed.select("o_orderkey", "status", "o_orderpriority", "last_seen_download")
+    """The edition meets only the scopes that it is about; the others stay as they were written."""
+    master, incoming = master_of(spark, sf_dir)
+    master.apply(1, incoming, 2, "2024-02-01", SEEN)
+    return master.read().select("o_orderkey", "status", "o_orderpriority", "last_seen_download")
 
 
 @query(EDITIONS_SQL + MASTER_SQL)
 def snapshot_streamed(spark, sf_dir):
-    """The edition arrives as a stream, in two parts."""
-    store = scratch(spark, "snapshots")
-    master, incoming = editions(spark, sf_dir)
-    master.write.parquet(f"{store}/master/0")
+    """The edition arrives as a stream, half of it before and half after the job was stopped and started again."""
+    master, incoming = master_of(spark, sf_dir)
     parts = incoming.withColumns({"download_id": F.lit(2).cast("long"), "published_on": F.lit("2024-02-01").cast("date"), "part": (F.col("o_orderkey") % 2).cast("int")})
-    for part in (0, 1):
-        parts.filter(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{store}/inbox")
-    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{store}/inbox")
     expected = spark.sql("SELECT CAST(2 AS long) AS download_id, 2 AS parts")
-    job = jobs.run_snapshots(stream, expected, store, LAYOUT, SEEN, f"{store}/checkpoint")
-    job.awaitTermination()
-    return spark.read.parquet(f"{store}/master/{job.lastProgress['batchId'] + 1}").select("o_orderkey", "status", "o_orderpriority", "last_seen_download")
+    for part in (0, 1):
+        parts.filter(F.col("part") == part).write.mode("append").parquet(f"{master.root}/inbox")
+        stream = spark.readStream.schema(parts.schema).parquet(f"{master.root}/inbox")
+        jobs.run_snapshots(stream, expected, master, SEEN, f"{master.root}/checkpoint").awaitTermination()
+    return master.read().select("o_orderkey", "status", "o_orderpriority", "last_seen_download")
 
 
 @query(EDITIONS_SQL + "SELECT o_orderkey, 'gone' AS side FROM c WHERE missing UNION ALL SELECT o_orderkey, 'new' FROM c WHERE fresh")
@@ -205,6 +213,27 @@ def enrich_by_code(spark, sf_dir):
     return snapshot.enrich_by_code(master, listed, F.col("c_custkey"), ["started"], 2)[0]
 
 
+@query("""
+SELECT (SELECT count(*) FROM nation) AS listed, count(*) AS matched, count(*) FILTER (n_name LIKE '%1%') AS changed FROM customer JOIN nation ON n_nationkey = c_custkey""")
+def enrich_counters(spark, sf_dir):
+    """Counters that are observed while the new master is written."""
+    started = F.when(F.col("n_name").contains("1"), F.lit("earlier")).otherwise(F.col("n_name")).alias("started")
+    master = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_custkey") == F.col("n_nationkey"), "left").select("c_custkey", started, F.lit(1).alias("updated_at"))
+    listed = table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS code", "n_name AS started")
+    after, counters = snapshot.enrich_observed(master, listed, F.col("c_custkey"), ["started"], 2)
+    after.write.parquet(scratch(spark, "enriched"))
+    found = counters.get
+    return spark.createDataFrame([(found["listed"], found["matched"], found["changed"])], "listed long, matched long, changed long")
+
+
+@query(EDITIONS_SQL + "SELECT outcome, count(*) AS n FROM c GROUP BY 1")
+def snapshot_observed(spark, sf_dir):
+    """Outcomes that are counted while the comparison is written."""
+    compared, counters = snapshot.observed_outcomes(snapshot.compare(*editions(spark, sf_dir), LAYOUT))
+    compared.select("o_orderkey", "outcome").write.parquet(scratch(spark, "compared"))
+    return spark.createDataFrame([(o, n) for o, n in counters.get.items() if n], "outcome string, n long")
+
+
 @query("SELECT 'customer' AS name, count(*) AS n, CAST(max(c_custkey) AS VARCHAR) AS last FROM customer UNION ALL SELECT 'part', count(*), CAST(max(p_partkey) AS VARCHAR) FROM part")
 def change_fingerprint(spark, sf_dir):
     return snapshot.change_fingerprint({"customer": table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "updated_at"), "part": table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "updated_at")})
@@ -271,6 +300,24 @@ def keyset_page(spark, sf_dir):
     return search.page_after(rows, (datetime(1998, 3, 1), 700), 100, "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1998-03-01', 700) ORDER BY o_orderdate, o_orderkey LIMIT 100")
+def keyset_page_ordered(spark, sf_dir):
+    """The page from a table that is laid out in the order of pages: row groups before the cursor are skipped by their statistics."""
+    from datetime import datetime
+
+    path = scratch(spark, "ordered")
+    search.write_ordered(table(spark, sf_dir, "orders"), path, "o_orderdate", "o_orderkey")
+    return search.page_after(spark.read.parquet(path), (datetime(1998, 3, 1), 700), 100, "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring')) AND (contains(lower(p_name), 'd#1') OR contains(lower(p_brand), 'd#1'))")
+def word_search_indexed(spark, sf_dir):
+    """Words looked up by their pairs of characters; only blocks with a proposed row are read."""
+    path = scratch(spark, "words")
+    search.write_word_index(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand"], path)
+    return search.indexed_words(spark, path, " RING　d#1 ", "p_partkey", ["p_name", "p_brand"]).select("p_partkey")
+
+
 @query("SELECT CAST(least(count(*), 10001) AS BIGINT) AS total, count(*) >= 10001 AS is_capped FROM lineitem WHERE l_quantity > 10")
 def capped_count(spark, sf_dir):
     return search.capped_count(table(spark, sf_dir, "lineitem").filter("l_quantity > 10"))
@@ -492,10 +539,8 @@ SELECT doc_id, code, n FROM m WHERE k = 1
 """)
 def longest_prefix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    words = F.split("text", " ")
-    one = docs.select("lang", "doc_id", F.get(words, F.lit(0)).alias("name"))
-    two = docs.select("lang", "doc_id", F.array_join(F.slice(words, 1, 2), " ").alias("name"))
-    names = one.unionByName(two).filter("name <> ''").groupBy("lang", "name").agg(F.min("doc_id").alias("code"))
+    begins = F.explode(F.array(F.substring_index("text", " ", 1), F.substring_index("text", " ", 2)))
+    names = docs.select("lang", "doc_id", begins.alias("name")).filter("name <> ''").groupBy("lang", "name").agg(F.min("doc_id").alias("code"))
     return matching.prefix_matches(docs, names, ["lang"], "text", ["doc_id"]).select("doc_id", "code", F.col("n").cast("long").alias("n"))
 
 

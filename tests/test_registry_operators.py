@@ -39,20 +39,20 @@ def test_texts(spark):
     assert len(fixed.MARKERS) == 74 and len(fixed.PRIVATE_USE) == 55 and len(fixed.PREFECTURES) == 47
 
 
-ROW = ["1", "01,1248,9", "青空病院", "〒060－0001札幌市中央区1番地", "011(123)4567", "開設者", "管理者", "昭47. 3. 1", "療養　　206", "病院"]
+ROW = ["1", "07,3355,2", "港診療所", "〒231－0861横浜市中区元町3丁目", "045(212)3456", "開設者", "管理者", "平12. 9.15", "療養　　 48", "病院"]
 
 
 def test_records(spark):
-    rows = [("u", 1, ["医療機関一覧"]), ("u", 2, ROW), ("u", 3, ["", "", "", "", "", "", "", "新規", "一般　 200　 一般31", "現存"]), ("u", 4, ["", "", "", "", "", "", "", "令5. 3. 1", "内　小児科", ""])]
+    rows = [("u", 1, ["医療機関一覧"]), ("u", 2, ROW), ("u", 3, ["", "", "", "", "", "", "", "新規", "一般　 120　 一般15", "現存"]), ("u", 4, ["", "", "", "", "", "", "", "令6. 7.10", "外　小児科", ""])]
     rows += [("u", 5, ["", "", "", "", "", "", "", "更新", "", "休止"]), ("u", 6, ["2", "12", "x", "bad"]), ("v", 1, ROW)]
     grouped = records.group_records(spark.createDataFrame(rows, "unit string, row_no int, cells array<string>").repartition(3))
     assert sorted((r.unit, r.record, len(r.cells)) for r in grouped.collect()) == [("u", 1, 4), ("u", 2, 1), ("v", 1, 1)]
     mapped = records.map_records(grouped, F.lit(1))
     good, bad = records.split_errors(mapped, fail=False)
     r = good.filter("unit = 'u'").head()
-    assert (r.facility_code, r.institution_type, r.status, r.name, r.postal_code, r.phone_number) == ("0112489", 1, fixed.SUSPENDED, "青空塚病院", "060-0001", "011-123-4567")
-    assert r.designated_on == D(1972, 3, 1) and [tuple(h) for h in r.designation_history] == [("新規", D(2023, 3, 1)), ("更新", None)]
-    assert r.bed_counts == {"療養": 206, "一般": 231} and r.department_categories == [1, 3]
+    assert (r.facility_code, r.institution_type, r.status, r.name, r.postal_code, r.phone_number) == ("0733552", 1, fixed.SUSPENDED, "港塚診療所", "231-0861", "045-212-3456")
+    assert r.designated_on == D(2000, 9, 15) and [tuple(h) for h in r.designation_history] == [("新規", D(2024, 7, 10)), ("更新", None)]
+    assert r.bed_counts == {"療養": 48, "一般": 135} and r.department_categories == [2, 3]
     assert "facility code" in bad.head()["_error"]
     with pytest.raises(Exception, match="facility code"):
         records.split_errors(mapped)[0].collect()
