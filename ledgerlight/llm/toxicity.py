@@ -201,7 +201,7 @@ class Index:
         self.ends = np.searchsorted(cell, np.arange(terms * max(1, self.blocks) + 1)).reshape(-1)
         self.most = np.zeros(terms * max(1, self.blocks))
         np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, -1)
+        self.most = self.most.reshape(terms, max(1, self.blocks))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above zero (ties by number) and their cosines, in order."""
