@@ -49,10 +49,11 @@ CLASSES = (
     EntropyClass("entropy_mixed", DIGITS + LOWER + LOWER.upper(), r"(?<![A-Za-z0-9+/_=-])[0-9A-Za-z]{20,}+(?![A-Za-z0-9+/_=-])", 3.6),
 )
 
-#: Candidates that match one of these are no secrets: paths, names and identifiers (no letter follows a digit, and no five
-#: digits each other), numbers, UUIDs and rules drawn in text.
+#: Candidates that match one of these are no secrets: words, also with a digit at their end, paths and words joined by marks
+#: (no letter follows a digit, and no five digits each other), numbers, UUIDs and rules drawn in text.
 ALLOWED = (
-    r"^(?!.*(?:[0-9][A-Za-z]|[0-9]{5}))",
+    r"^[A-Za-z]*[0-9]?$",
+    r"^(?=.*[/_=+-])(?!.*(?:[0-9][A-Za-z]|[0-9]{5}))",
     r"^[0-9_/=+-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
@@ -185,7 +186,7 @@ def redact_secrets(docs: DataFrame, window: int = 20, classes=CLASSES, allowed=A
     def clean(found: Column) -> Column:
         """The pieces of text between findings, joined by the mark; a finding that begins within those before it adds none."""
         ends = F.transform(found, lambda s: s["end"])
-        reached = F.transform(F.arrays_zip(found.alias("s"), before_each(ends, F.greatest).alias("at")), lambda z: F.struct(z["s"]["start"].alias("start"), z["at"].alias("at")))
+        reached = F.transform(F.arrays_zip(found.alias("s"), before_each(ends, lambda a, b: F.greatest(a, b)).alias("at")), lambda z: F.struct(z["s"]["start"].alias("start"), z["at"].alias("at")))
         kept = F.concat(F.filter(reached, lambda r: r["start"] >= r["at"]), F.array(F.struct(F.length(body).cast("long").alias("start"), F.array_max(ends).alias("at"))))
         return let(pieces_of(body), lambda p: F.array_join(F.transform(kept, lambda k: cut_out(p, k["at"], k["start"])), mark))
 
