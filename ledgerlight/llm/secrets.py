@@ -49,10 +49,11 @@ CLASSES = (
     EntropyClass("entropy_mixed", DIGITS + LOWER + LOWER.upper(), r"(?<![A-Za-z0-9+/_=-])[0-9A-Za-z]{20,}+(?![A-Za-z0-9+/_=-])", 3.6),
 )
 
-#: Candidates that match one of these are no secrets: words, also with a digit at their end, paths and words joined by marks
+#: Candidates that match one of these are no secrets: words, words run together by capitals, paths and words joined by marks
 #: (no letter follows a digit, and no five digits each other), numbers, UUIDs and rules drawn in text.
 ALLOWED = (
-    r"^[A-Za-z]*[0-9]?$",
+    r"^[A-Za-z]+$",
+    r"^[a-z]{0,30}(?:[A-Z][a-z]{1,30}){1,30}[0-9]{0,2}$",
     r"^(?=.*[/_=+-])(?!.*(?:[0-9][A-Za-z]|[0-9]{5}))",
     r"^[0-9_/=+-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
