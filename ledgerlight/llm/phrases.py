@@ -201,7 +201,7 @@ def word_packets(blocks: DataFrame, lanes: int) -> DataFrame:
                 head = [pa.repeat(batch.column("lang")[i], len(used)), pa.array(used.astype("i4")), pa.repeat(batch.column("block")[i], len(used))]
                 yield pa.record_batch([*head, *(pa.array([r[c] for r in rows], pa.binary()) for c in range(3))], ["lang", "lane", "block", "codes", "words", "counts"])
 
-    return staged(blocks.select("block", "lang", "words", "counts").mapInArrow(run, WORDS), "phrase-packets")
+    return blocks.select("block", "lang", "words", "counts").mapInArrow(run, WORDS)
 
 
 def pair_packets(blocks: DataFrame, lanes: int) -> DataFrame:
@@ -220,7 +220,7 @@ def pair_packets(blocks: DataFrame, lanes: int) -> DataFrame:
                 rows = [(squeezed(rises(left[o])), squeezed(right[o]), squeezed(n[o])) for o in own]
                 yield pa.record_batch([*head, *(pa.array([r[c] for r in rows], pa.binary()) for c in range(3))], ["lang", "lane", "block", "left", "right", "counts"])
 
-    return staged(blocks.select("block", "lang", "ids").mapInArrow(run, PAIRS), "phrase-packets")
+    return blocks.select("block", "lang", "ids").mapInArrow(run, PAIRS)
 
 
 def pair_lane(left: np.ndarray, right: np.ndarray, lanes: int) -> np.ndarray:
@@ -344,7 +344,7 @@ def numbered(batch: pa.RecordBatch, i: int, ids: np.ndarray) -> pa.RecordBatch:
 
 
 def renumbered_words(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Blocks with the ranks of their words in place of their own numbers."""
+    """Blocks with the ranks of their words in place of their own numbers; the join has one plan at all sizes."""
 
     def run(batches):
         for batch in batches:
@@ -354,7 +354,7 @@ def renumbered_words(blocks: DataFrame, tables: DataFrame) -> DataFrame:
                 ranks[all_risen(batch.column("known_codes")[i].values)] = all_released(batch.column("known_ids")[i].values)
                 yield numbered(batch, i, ranks[ids])
 
-    return staged(blocks.select("block", "lang", "ids").join(tables, "block").mapInArrow(run, NUMBERED), "phrase-ids")
+    return staged(blocks.select("block", "lang", "ids").join(tables.hint("merge"), "block").mapInArrow(run, NUMBERED), "phrase-ids")
 
 
 def renumbered_pairs(blocks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def renumbered_pairs(blocks: DataFrame, tables: DataFrame) -> DataFrame:
                 out[at] = lookup(*known, left, right)
                 yield numbered(batch, i, out)
 
-    return staged(blocks.join(tables, "block").mapInArrow(run, NUMBERED), "phrase-ids")
+    return staged(blocks.join(tables.hint("merge"), "block").mapInArrow(run, NUMBERED), "phrase-ids")
 
 
 def lookup(left: np.ndarray, right: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
