@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from ledgerlight.llm import lm, quality, topk, winnow
 from pyspark.sql import functions as F
 
@@ -245,10 +246,15 @@ def plain_winnow(text, k=winnow.K, window=winnow.WINDOW):
     return [(i, hashes[i]) for i in sorted(kept)]
 
 
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_winnowing(spark, monkeypatch):
     texts = [None, "", "short", "é🙂x" * 5, "a" * 500, sentence(50), sentence(2000), sentence(30), "x" * 13, "tail " * 9]
     rows = [(i * 7 % 31, t) for i, t in enumerate(texts)] + [(500, sentence(9)), (500, sentence(9)), (500, sentence(9)), (None, "none"), (None, "zero")]
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1] or ""), r[1] or ""))
     want = []
     for (i, t), (_, other) in zip(order, [*order[1:], order[0]], strict=True):
         t, other = t or "", other or ""
@@ -297,6 +303,22 @@ def test_winnowing_splits_a_doc_id_of_many_rows(spark, monkeypatch):
     assert len(falls) == len(chain) and rises <= 1 and max(per_task.values()) < 400
 
 
+def test_one_order_at_any_number_of_ranges(spark, monkeypatch):
+    """Many rows of one doc_id follow each other in the same order whether or not they fill several ranges."""
+    monkeypatch.setattr(winnow, "HEAVY_ROWS", 100)
+    rows = [(7, f"text {i}") for i in range(6000)] + [(i, f"other {i}") for i in range(1000)] + [(None, f"none {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1]), r[1]))
+    want = sorted(((i, t, other) for (i, t), (_, other) in zip(order, [*order[1:], order[0]], strict=True)), key=str)
+
+    def make(ids, texts, following):
+        return winnow.pa.record_batch([winnow.pa.array(ids, winnow.pa.int64()), winnow.pa.array(texts), winnow.pa.array(following)], ["doc_id", "text", "next"])
+
+    for parts in (1, 2, 16, 64):
+        got = winnow.with_next(docs, "doc_id long, text string, next string", make, parts).collect()
+        assert sorted(map(tuple, got), key=str) == want, parts
+
+
 def test_shared_runs_share_an_entry():
     run = sentence(20)[: winnow.K + winnow.WINDOW - 1]
     for _ in range(20):
