@@ -116,16 +116,19 @@ def apply_snapshot(
     ledger: DataFrame | None = None,
     reimport: bool = False,
     derive: dict[str, Column] | None = None,
+    compared: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The new master (rows not in the edition as they were) and the events of rows created, reopened or changed.
 
+    ``compared`` is what ``compare`` gave for both, if it was written already.
+
     ``ledger`` (id, published_on, superseded_at), if given, makes reopenings and
     changes against a row last seen in the same edition reprocessings.
     ``derive`` gives columns that follow from others, over the new master's own
     columns; they are made anew for rows of such events.  A row whose address
     changed loses its position.
     """
-    compared = compare(master, incoming, layout)
+    compared = compare(master, incoming, layout) if compared is None else compared
     seen = F.col("new").isNotNull()
     moved = F.col("outcome").isin("created", "reopened", "updated")
     relocated = F.lit(False)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .snapshot import Layout, apply_snapshot, reconcile_closures
+from .snapshot import Layout, apply_snapshot, compare, reconcile_closures
 
 KEPT = 2
 
@@ -105,11 +105,14 @@ class Master:
             raise ValueError(f"step {step} cannot follow {steps}")
         scopes = self._scopes(edition)
         before = self.read(scopes, steps[-1])
-        after, logged = apply_snapshot(before, edition, download_id, published_on, seen_at, self.layout, ledger, reimport, derive)
+        compare(before, edition, self.layout).write.mode("overwrite").parquet(f"{self.root}/compared/{step}")  # both sides meet once
+        compared = self.spark.read.parquet(f"{self.root}/compared/{step}")
+        after, logged = apply_snapshot(before, edition, download_id, published_on, seen_at, self.layout, ledger, reimport, derive, compared)
         closed, gone = reconcile_closures(after, edition, download_id, published_on, seen_at, self.layout, failed)
         self._write(closed, step)
         logged.unionByName(gone).write.mode("overwrite").parquet(f"{self.root}/events/{step}")
         self._commit(step, self.pointer(steps[-1]) | dict.fromkeys(scopes, step))
+        self.remove(f"compared/{step}")
         self.retain()
         return True
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching
-from .base import query, table
+from .base import query, scratch, table
 
 AT = "2024-06-01 00:00:00"
 
@@ -46,7 +46,9 @@ def matched_towns(spark, sf_dir):
     )
     rest = F.concat(F.when(F.col("c_custkey") % 10 == 7, F.lit("無い")).otherwise(F.when(F.col("c_custkey") % 10 == 3, F.lit("大字")).otherwise("")), town, F.lit("1-"), F.col("c_nationkey").cast("string"))
     rows = table(spark, sf_dir, "customer").join(part, F.col("c_custkey") == F.col("p_partkey")).select("c_custkey", (F.col("p_size") % 10).cast("string").alias("lg_code"), rest.alias("remainder"))
-    return matching.match_town(rows, matching.town_spellings(towns), ["c_custkey"]).select("c_custkey", "machiaza_id", "residential", "rest")
+    path = scratch(spark, "spellings")  # they are made once, for all rows that ask
+    matching.town_spellings(towns).write.parquet(path)
+    return matching.match_town(rows, spark.read.parquet(path), ["c_custkey"]).select("c_custkey", "machiaza_id", "residential", "rest")
 
 
 @query("""
