@@ -1,16 +1,18 @@
 """Text functions: normal forms, keys for matching, era dates, web addresses.
 
-NFKC and kanji numerals have no built-in function and run as Arrow-vectorised
-UDFs; all else is built-in expressions.  Null in gives null out.
+NFKC and kanji numerals have no built-in function and run as Arrow UDFs, which
+hold a slice of a batch as Python strings; all else is built-in expressions.
+Null in gives null out.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,11 +24,22 @@ from .fixed import (
 )
 
 KANJI = {"〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+#: Characters that NFKC leaves as they are, whatever stands beside them: ASCII, Latin and Cyrillic letters, kana, ideographs and usual marks.
+INERT = r"\x{0}-\x{9F}\x{BF}-\x{131}\x{14A}-\x{17E}\x{400}-\x{482}\x{2018}-\x{2023}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A0}-\x{30FE}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+#: Texts of a batch that are Python strings at a time: so many, and in the mean so many bytes.
+SLICE, SLICE_BYTES = 1024, 1 << 20
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _by_slices(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """Each text changed, slice by slice, so that a batch of long texts is never Python strings as a whole."""
+    step = max(1, min(SLICE, SLICE_BYTES * len(texts) // (texts.nbytes + 1)))
+    made = [pa.array([None if t is None else change(t) for t in texts.slice(i, step).to_pylist()], texts.type) for i in range(0, len(texts), step)]
+    return pa.concat_arrays(made) if made else texts
+
+
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    return _by_slices(texts, lambda t: unicodedata.normalize("NFKC", t))
 
 
 def kanji_number(text: str) -> int:
@@ -37,14 +50,14 @@ def kanji_number(text: str) -> int:
     return (KANJI[tens[-1]] if tens and KANJI.get(tens[-1]) else 1) * 10 + (KANJI[ones[-1]] if ones else 0)
 
 
-@F.pandas_udf(StringType())
-def _block_numerals(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else re.sub(BLOCK_NUMERAL, lambda m: str(kanji_number(m[1])), t))
+@F.arrow_udf(StringType())
+def _block_numerals(texts: pa.Array) -> pa.Array:
+    return _by_slices(texts, lambda t: re.sub(BLOCK_NUMERAL, lambda m: str(kanji_number(m[1])), t))
 
 
-@F.pandas_udf(StringType())
-def _line_numerals(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else re.sub(LINE_NUMERAL, lambda m: str(kanji_number(m[1])), t))
+@F.arrow_udf(StringType())
+def _line_numerals(texts: pa.Array) -> pa.Array:
+    return _by_slices(texts, lambda t: re.sub(LINE_NUMERAL, lambda m: str(kanji_number(m[1])), t))
 
 
 def replace_private_use(text: Column) -> Column:
@@ -54,8 +67,8 @@ def replace_private_use(text: Column) -> Column:
 
 
 def normalize_text(text: Column, variants: dict[str, str] | None = None) -> Column:
-    """NFKC, then single characters by the map of variants."""
-    normal = nfkc(text)
+    """NFKC, then single characters by the map of variants; only texts that NFKC may change go through Python."""
+    normal = F.coalesce(nfkc(F.when(~text.rlike(rf"\A[{INERT}]*+\z"), text)), text)
     return F.translate(normal, "".join(variants), "".join(variants.values())) if variants else normal
 
 
@@ -112,9 +125,9 @@ def house_numbers(rest: Column) -> Column:
     return F.struct(part(1).alias("first"), part(2).alias("second"))
 
 
-@F.pandas_udf(StringType())
-def _quoted(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else re.sub(r"[^\x21-\x7E]+", lambda m: quote(m[0], safe=""), t))
+@F.arrow_udf(StringType())
+def _quoted(texts: pa.Array) -> pa.Array:
+    return _by_slices(texts, lambda t: re.sub(r"[^\x21-\x7E]+", lambda m: quote(m[0], safe=""), t))
 
 
 def clean_url(text: Column, most: int = 500) -> Column:

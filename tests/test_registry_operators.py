@@ -4,8 +4,11 @@ import datetime
 import hashlib
 import io
 import json
+import tracemalloc
+import unicodedata
 import zipfile
 
+import pyarrow as pa
 import pytest
 from ledgerlight.functions import fixed, geo, text
 from ledgerlight.operators import documents, events, export, hours, matching, records, search, snapshot
@@ -39,6 +42,32 @@ def test_texts(spark):
     assert len(fixed.MARKERS) == 74 and len(fixed.PRIVATE_USE) == 55 and len(fixed.PREFECTURES) == 47
 
 
+def test_a_batch_of_long_texts_is_never_python_strings_as_a_whole():
+    texts = pa.array(["ａé" * 10_000, None] * 800)  # 40 MB
+    tracemalloc.start()
+    made = text.nfkc.func(texts)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 8 << 20
+    assert made.to_pylist() == ["aé" * 10_000, None] * 800
+    assert [text.nfkc.func(pa.array(t, pa.string())).to_pylist() for t in ([], [None], ["", "ｱ"])] == [[], [None], ["", "ア"]]
+
+
+def test_texts_that_nfkc_leaves_as_they_are_do_not_go_through_python(spark, monkeypatch):
+    sent = F.udf(lambda t: None if t is None else f"<{t}>", "string")
+    monkeypatch.setattr(text, "nfkc", sent)
+    assert values(spark, ["", "Größe\n漢字 かな", None, "e\u0301", "か\u3099", "ﾊﾟ", "a\n𠀀", "한"], text.normalize_text) == ["", "Größe\n漢字 かな", None, "<e\u0301>", "<か\u3099>", "<ﾊﾟ>", "<a\n𠀀>", "<한>"]
+
+
+def test_inert_characters_are_inert(spark):
+    every = spark.range(0x110000).select("id").filter("id NOT BETWEEN 55296 AND 57343")
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    inert = [chr(r[0]) for r in every.filter(char.rlike(f"^[{text.INERT}]$")).collect()]
+    second = {d[-1] for c in range(0x110000) if len(d := unicodedata.normalize("NFD", chr(c))) > 1}  # those that join what stands before
+    assert len(inert) > 27_000
+    assert [c for c in inert if not unicodedata.is_normalized("NFKC", c) or unicodedata.combining(c) or c in second] == []
+
+
 ROW = ["1", "07,3355,2", "港診療所", "〒231－0861横浜市中区元町3丁目", "045(212)3456", "開設者", "管理者", "平12. 9.15", "療養　　 48", "病院"]
 
 
