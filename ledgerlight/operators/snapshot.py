@@ -7,6 +7,8 @@ A key that an edition holds twice counts with its last row and gives one event.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -210,9 +212,16 @@ def reconcile_closures(master: DataFrame, seen: DataFrame, download_id: int, pub
     return closed, events
 
 
-def appeared_and_gone(before: DataFrame, after: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    a, b = before.select(*key).distinct(), after.select(*key).distinct()
-    return b.join(a, key, "left_anti"), a.join(b, key, "left_anti")
+def appeared_and_gone(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key, side): the distinct keys that only ``after`` has (new) or only ``before`` (gone); a key with a null equals none, so it is both.
+
+    Both tables meet in one grouping and no join, so a task holds each of its keys once, with two bits.
+    """
+    sides = before.select(*key, F.lit(1).alias("_sides")).unionByName(after.select(*key, F.lit(2).alias("_sides")))
+    found = sides.groupBy(*key).agg(F.bit_or("_sides").alias("_sides"))
+    unequal = reduce(or_, [F.col(k).isNull() for k in key])
+    side = F.when(F.col("_sides") == 1, F.array(F.lit("gone"))).when(F.col("_sides") == 2, F.array(F.lit("new"))).when(unequal, F.array(F.lit("gone"), F.lit("new")))
+    return found.select(*key, F.explode(side).alias("side"))
 
 
 def run_counters(compared: DataFrame) -> DataFrame:

@@ -186,8 +186,7 @@ def snapshot_streamed(spark, sf_dir):
 
 @query(EDITIONS_SQL + "SELECT o_orderkey, 'gone' AS side FROM c WHERE missing UNION ALL SELECT o_orderkey, 'new' FROM c WHERE fresh")
 def snapshot_keys(spark, sf_dir):
-    fresh, gone = snapshot.appeared_and_gone(*editions(spark, sf_dir), ["o_orderkey"])
-    return gone.withColumn("side", F.lit("gone")).unionByName(fresh.withColumn("side", F.lit("new")))
+    return snapshot.appeared_and_gone(*editions(spark, sf_dir), ["o_orderkey"])
 
 
 @query("""

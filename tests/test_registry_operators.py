@@ -68,6 +68,16 @@ def test_inert_characters_are_inert(spark):
     assert [c for c in inert if not unicodedata.is_normalized("NFKC", c) or unicodedata.combining(c) or c in second] == []
 
 
+def test_keys_that_appear_or_go_meet_in_one_grouping(spark):
+    before = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", None), (None, 7)], "k string, n int")
+    after = spark.createDataFrame([(2, "b"), (1, "b"), (2, "b"), (None, "c")], "n int, k string")
+    found = snapshot.appeared_and_gone(before, after, ["k", "n"])
+    expected = [("a", 1, "gone"), ("b", 2, "new"), ("c", None, "gone"), ("c", None, "new"), (None, 7, "gone")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 ROW = ["1", "07,3355,2", "港診療所", "〒231－0861横浜市中区元町3丁目", "045(212)3456", "開設者", "管理者", "平12. 9.15", "療養　　 48", "病院"]
 
 
