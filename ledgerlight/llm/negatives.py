@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from .common import staged
 from .topk import LEAST, MOST, PLAIN, scores
 
-#: Rows of a chunk and of a block, twice as many if all are of one label.
+#: Rows of a chunk and of a block, twice as many at most.
 CHUNK, BLOCK = 2048, 256
 #: Dimensions that are worked off together.
 BAND = 16
 #: Pairs are finished one by one when no more than one in so many is left.
 FEW = 12
-#: Blocks of which a task holds the best rows found so far.
-HELD = 64
+#: Blocks of which a task holds the best rows found so far; a block meets all chunks of a lane before the next one comes.
+HELD = 4
 #: Parts of a window, from its end on, that the rounds cover.
 ROUNDS = (1 / 8, 1 / 2, 1.0)
 #: Lower and upper end of a negative's score, in percent of the positive's.
@@ -80,9 +80,10 @@ def is_plain(v: np.ndarray) -> bool:
 
 
 def grouped(rows: DataFrame, size: int, *columns: str) -> DataFrame:
-    """Rows of one label together, a group of about twice ``size`` at most, however often a label or a row repeats."""
-    parts = -(-rows.count() // (2 * size))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, parts))))
+    """Rows of one label together, in as few groups of about twice ``size`` at most as the label needs, however often a label or a row repeats."""
+    counts = rows.groupBy("label").agg(F.ceil(F.count("*") / (2 * size)).alias("parts")).filter("parts > 1")  # a row for each 2 * size rows at most
+    sized = rows.join(F.broadcast(counts), "label", "left")
+    dealt = sized.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))))
     return dealt.groupBy("label", "group").agg(F.collect_list(F.struct(*columns)).alias("members")).drop("group")
 
 
@@ -250,12 +251,16 @@ class Best:
 
 
 def first_rows(chunks: DataFrame, anchors: DataFrame, slots: int, k: int, same: bool) -> DataFrame:
-    """The first k rows of each open window: of the anchor's label, or of other labels."""
+    """The first k rows of each open window: of the anchor's label, or of other labels.
+
+    Blocks are copied to each lane, so their file says little about the size of
+    the copies: they are merged by lane, never broadcast.
+    """
     lanes = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks_of(anchors, slots)
     spread = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     alike = F.col("label") == F.col("q_label")
-    met = chunks.withColumnRenamed("lane", "own_lane").join(spread, (F.col("own_lane") == F.col("lane")) & (alike if same else ~alike))
+    met = spread.hint("merge").join(chunks.withColumnRenamed("lane", "own_lane"), (F.col("own_lane") == F.col("lane")) & (alike if same else ~alike))
 
     def run(batches):
         found: dict[int, Best] = {}

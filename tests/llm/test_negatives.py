@@ -103,3 +103,25 @@ def test_windows_close_at_once_where_they_can(spark):
     found = negatives.fill(chunks, anchors, windows, 1, 3, True)
     assert sorted(r.vec_id for r in found.filter("anchor_id = 50").collect()) == [0, 1, 2]
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    """Copies of the blocks for each lane outgrow a broadcast, however small the file of the blocks is."""
+    plans = []
+    monkeypatch.setattr(negatives, "staged", lambda df, name, f=negatives.staged: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or f(df, name))
+    check(spark, vectors(3, 300, 8))
+    found = [plan for name, plan in plans if name == "found"]
+    assert found and not any("BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan for plan in found)
+
+
+def test_each_label_has_as_few_groups_as_it_needs(spark):
+    rows = spark.range(470).selectExpr("id", "IF(id < 400, id % 10, IF(id < 410, 77, 88)) AS label")
+    sizes = [(r.label, len(r.members)) for r in negatives.grouped(rows, 20, "id").collect()]
+    assert sorted(label for label, _ in sizes) == sorted([*range(10), 77, 88, 88])  # 40, 10 and 60 rows
+    assert sum(n for _, n in sizes) == 470
+
+
+def test_one_block_held_at_a_time(spark, monkeypatch):
+    for name, n in (("CHUNK", 8), ("BLOCK", 2), ("HELD", 1)):
+        monkeypatch.setattr(negatives, name, n)
+    check(spark, vectors(12, 500, 9, labels=3, spread=0.5))
