@@ -22,6 +22,7 @@ from .fixed import (
     PREFECTURES, PRIVATE_USE, PROBED_ENDINGS, PROBED_FOLDERS, SPACE_BEFORE_NUMBER, SPARED_PATH, SPARED_SEGMENT, SPELLINGS,
     UNKNOWN_CHARACTER, UP_TO_HOUSE_NUMBER,
 )
+from .variants import VARIANTS
 
 KANJI = {"〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 #: Characters that NFKC leaves as they are, whatever stands beside them: ASCII, Latin and Cyrillic letters, kana, ideographs and usual marks.
@@ -67,9 +68,10 @@ def replace_private_use(text: Column) -> Column:
 
 
 def normalize_text(text: Column, variants: dict[str, str] | None = None) -> Column:
-    """NFKC, then single characters by the map of variants; only texts that NFKC may change go through Python."""
+    """NFKC, then single characters by a map of variants, ``VARIANTS`` if none is given; only texts that NFKC may change go through Python."""
     normal = F.coalesce(nfkc(F.when(~text.rlike(rf"\A[{INERT}]*+\z"), text)), text)
-    return F.translate(normal, "".join(variants), "".join(variants.values())) if variants else normal
+    usual = VARIANTS if variants is None else variants
+    return F.translate(normal, "".join(usual), "".join(usual.values())) if usual else normal
 
 
 def normalize_address(text: Column, variants: dict[str, str] | None = None) -> Column:

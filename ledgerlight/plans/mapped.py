@@ -133,7 +133,7 @@ def normal_forms(spark, sf_dir):
     kanji = F.element_at(F.array(*[F.lit(c) for c in DIGITS]), (F.col("c_custkey") % 9 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
-        text.normalize_text(F.concat(F.translate("c_name", *WIDE), F.lit("髙")), {"髙": "高"}).alias("plain"),
+        text.normalize_text(F.concat(F.translate("c_name", *WIDE), F.lit("髙"))).alias("plain"),
         text.normalize_address(F.concat(key, F.lit("ー"), nation, F.lit("ビルー"))).alias("address"),
         text.normalize_station(F.concat("c_mktsegment", F.lit("　"), key, F.lit(" ヶ丘"))).alias("station"),
         text.normalize_for_matching(F.concat(key, F.lit("‐"), nation, kanji, F.lit("丁目ケ"))).alias("matching"),

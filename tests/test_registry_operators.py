@@ -11,7 +11,9 @@ import zipfile
 import pyarrow as pa
 import pytest
 from ledgerlight.functions import fixed, geo, text
+from ledgerlight.functions.variants import VARIANTS
 from ledgerlight.operators import documents, events, export, hours, matching, records, search, snapshot
+from ledgerlight.plans import mapped
 from ledgerlight.sources import files, ledger, links
 from ledgerlight.streaming import jobs
 from pyspark.sql import functions as F
@@ -42,6 +44,18 @@ def test_texts(spark):
     assert len(fixed.MARKERS) == 74 and len(fixed.PRIVATE_USE) == 55 and len(fixed.PREFECTURES) == 47
 
 
+def test_variant_kanji_become_usual_ones_in_every_normal_form(spark, tmp_path):
+    assert len(VARIANTS) == 368 and VARIANTS["髙"] == "高" and not set(VARIANTS) & set(VARIANTS.values())
+    assert values(spark, ["澤田クリニック　ＡＢＣ", "髙橋", "德田", "\ufa19社", "渡邉﨑", "山田太郎", "", None], text.normalize_text) == ["沢田クリニック ABC", "高橋", "徳田", "神社", "渡辺崎", "山田太郎", "", None]
+    assert values(spark, ["髙"], lambda c: text.normalize_text(c, {})) == ["髙"]
+    forms = [text.normalize_address, text.normalize_station, text.normalize_for_matching, text.name_key, text.address_key]
+    assert [values(spark, ["澤"], make) for make in forms] == [["沢"]] * len(forms)
+    docs = ["a", "澤 é", "ｱ", None]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in ("a", "沢 é", "ア", None)]
+    assert [r[1] for r in mapped.normalize_text(spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+
+
 def test_a_batch_of_long_texts_is_never_python_strings_as_a_whole():
     texts = pa.array(["ａé" * 10_000, None] * 800)  # 40 MB
     tracemalloc.start()
