@@ -108,9 +108,7 @@ def chunks_of(vectors: DataFrame) -> DataFrame:
                 for plain, some in parted(members):
                     yield packed(batch.column("label")[i].as_py(), range(len(some)), [n for n, _ in some], [v for _, v in some], plain)
 
-    lanes = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = grouped(vectors, CHUNK, "id", "v").mapInArrow(run, PACKED).select(F.monotonically_increasing_id().alias("chunk"), "*")
-    return staged(numbered.withColumn("lane", F.pmod(F.xxhash64("chunk"), F.lit(lanes)).cast("int")), "chunks")
+    return staged(grouped(vectors, CHUNK, "id", "v").mapInArrow(run, PACKED).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
 
 
 def unpacked(row: dict, prefix: str = ""):
@@ -254,13 +252,15 @@ def first_rows(chunks: DataFrame, anchors: DataFrame, slots: int, k: int, same:
     """The first k rows of each open window: of the anchor's label, or of other labels.
 
     Blocks are copied to each lane, so their file says little about the size of
-    the copies: they are merged by lane, never broadcast.
+    the copies: they are merged by lane, never broadcast.  There are no more
+    lanes than chunks.
     """
-    lanes = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(1, min(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count()))
     blocks = blocks_of(anchors, slots)
     spread = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     alike = F.col("label") == F.col("q_label")
-    met = spread.hint("merge").join(chunks.withColumnRenamed("lane", "own_lane"), (F.col("own_lane") == F.col("lane")) & (alike if same else ~alike))
+    dealt = chunks.withColumn("own_lane", F.pmod(F.xxhash64("chunk"), F.lit(lanes)).cast("int"))
+    met = spread.hint("merge").join(dealt, (F.col("own_lane") == F.col("lane")) & (alike if same else ~alike))
 
     def run(batches):
         found: dict[int, Best] = {}
